@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import by_batch, prepare, row_key, texts_of, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in so many blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton, which takes some hundred times as many; a larger benchmark is scanned for in
+#: so many blocks.
+BLOCK_BYTES = 1 << 18
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lower-cases A-Z and makes a space of every ASCII byte that no word has.
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -146,11 +146,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return both.select("doc_id", "n_words", join_runs(all_runs).alias("runs"), join_spans(all_spans).alias("spans"), items.alias("items"))
 
 
-def contaminated(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-    """A function that makes a boolean column of a text column: whether any window of an item is in it. No row moves."""
-    spark = prepare(benchmark.sparkSession)
-    parts = [_hit(spark.sparkContext.broadcast(windows_of(items, width))) for items in _blocks(benchmark, item_col, text_col, block_bytes)]
-    return lambda text: reduce(lambda a, b: a | b, [p(text) for p in parts])
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in whose text no window of an item is. No row moves; a benchmark beyond block_bytes
+    takes a pass for each block. Nulls as in contamination()."""
+    spark = prepare(docs.sparkSession)
+    for i, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+        hit = _hit(spark.sparkContext.broadcast(windows_of(items, width)))
+        docs = (written(docs, "uncontaminated") if i else docs).where(~hit(F.col(text_col)))
+    return docs
 
 
 def _hit(shared):
