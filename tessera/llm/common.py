@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with texts of a few kB that is a few MB. Spark also closes a batch by its bytes.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch at most (a single row may be larger).
+BATCH_ROWS, BATCH_BYTES = 512, "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets what every operator here relies on: small Arrow batches, so that long texts stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

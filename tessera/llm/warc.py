@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, scratch
+from tessera.llm.common import prepare, scratch, written
 
 #: Bytes of a record's block: a longer one goes on in continuation records. Bytes of a chunk of the HTTP framing.
 SEGMENT, CHUNK = 8192, 4096
 #: Bytes of records in a file, before compression.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 #: Records' dates; archives of the same pages are the same.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -192,7 +192,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         return pd.DataFrame({"page_id": pd.array([row[1]], "Int64"), "payload_bytes": [row[3]], "payload_digest": [row[4]]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    rows = files.mapInArrow(parse, READ_DDL)
+    rows = written(files.mapInArrow(parse, READ_DDL), "records")  # digests, and the blocks of parted records only
     none = F.lit(None).cast("long")
     whole = rows.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest")
     spread = rows.where("record_type = 'segment'").groupBy("origin").applyInPandas(joined, "page_id long, payload_bytes long, payload_digest string")
