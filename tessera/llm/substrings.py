@@ -8,8 +8,8 @@ their phrases have the same trigger bytes:
 - a trigger that occurs once has nothing repeated in its phrase;
 - a phrase that occurs twice or more repeats with all of its windows, whatever the corpus' size;
 - where several phrases share a trigger, the order of their suffixes decides. Only classes of suffixes that agree in
-  their first L bytes matter, not the order among them, so each distinct phrase's suffixes are sorted into classes by hash.
-Only the last kind costs a row a byte, and only once for each distinct phrase.
+  their first L bytes matter, not the order among them, so each distinct phrase's suffixes are put into classes: together
+  where a trigger has few phrases, else a row a suffix, dealt by trigger and hash.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, row_key, texts_of
+from tessera.llm.common import prepare, row_key, texts_of, written
 
 LENGTH, K = 200, 32
+#: Distinct phrases of a trigger that are compared in one row at most.
+TOGETHER = 256
 #: Bytes hashed at once. A longer text goes on in the next block.
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
@@ -127,22 +129,72 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([squeeze.compress(x) for x in texts_of(batch.column(3))], type=pa.binary())], schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())]))
 
 
-SUFFIXES = pa.schema([("trigger", pa.int64()), ("suffix", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
+PIECES = pa.schema([("trigger", pa.int64()), ("alone", pa.bool_()), ("few", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("piece", pa.binary())])
 
 
-def suffix_classes(length: int):
-    """A row for each suffix of each phrase that it gets with a text."""
+def extractor(length: int):
+    """The bytes of each phrase that is asked for of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, open_up = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor()
+        open_up = zstandard.ZstdDecompressor()
         for batch in batches:
+            rows = []
             for k1, k2, z, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = open_up.decompress(z)
-                at = [i for x in own for i in range(x["lo"], x["hi"] + 1)]
-                trigger = np.repeat(np.array([x["trigger"] for x in own], np.int64), [x["hi"] - x["lo"] + 1 for x in own])
-                names = np.array([digest(text[i : i + length], 1) for i in at], np.uint64).view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(names), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), pa.array(at, type=pa.int32())], schema=SUFFIXES)
+                rows += [(x["trigger"], x["alone"], x["few"], k1, k2, x["lo"], text[x["lo"] : x["hi"] + length]) for x in own]
+            for i in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), PIECES, strict=True)], schema=PIECES)
+
+    return run
+
+
+SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def classes_together(length: int):
+    """Of all phrases of a trigger: the runs of suffix starts whose classes have others. Those of phrases that occur again
+    are known to be repeated, and only stand for comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for group in batch.column(0).to_pylist():
+                own = {(x["k1"], x["k2"], x["lo"]): x for x in group}
+                seen: dict[bytes, int] = {}
+                for x in own.values():
+                    for i in range(len(x["piece"]) - length + 1):
+                        w = x["piece"][i : i + length]
+                        seen[w] = seen.get(w, 0) + 1
+                for (k1, k2, lo), x in own.items():
+                    if x["alone"]:
+                        begin = None
+                        n = len(x["piece"]) - length + 1
+                        for i in range(n + 1):
+                            shared = i < n and seen[x["piece"][i : i + length]] > 1
+                            if shared and begin is None:
+                                begin = i
+                            elif not shared and begin is not None:
+                                out.append((k1, k2, lo + begin, lo + i - 1))
+                                begin = None
+            for i in range(0, len(out), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 8192], strict=True), SPANS, strict=True)], schema=SPANS)
+
+    return run
+
+
+SUFFIXES = pa.schema([("trigger", pa.int64()), ("suffix", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
+
+
+def suffix_rows(length: int):
+    """A row for each suffix of each phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for trigger, alone, k1, k2, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                n = len(piece) - length + 1
+                names = np.array([digest(piece[i : i + length], 1) for i in range(n)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, trigger, np.int64)), pa.array(names), pa.array([alone] * n), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], schema=SUFFIXES)
 
     return run
 
@@ -185,14 +237,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
     parse = rows.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(parser(length, k), PARSE)
     shared = parse.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1").select("trigger", (F.col("a") == F.col("b")).alias("same"))
-    again = parse.join(shared, "trigger")
+    again = written(parse.join(shared, "trigger"), "parse")  # little of the parse: triggers that occur again
     mixed = again.where("not same")
-    dictionary = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
-    whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(mixed.join(dictionary.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("k1", "k2", "lo", "hi"))
-    text = rows.mapInArrow(packed, "k1 long, k2 long, doc_id long, z binary").repartition("k1", "k2")
-    asked = dictionary.select("one.*", "trigger").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "trigger")).alias("own"))
-    suffixes = text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").mapInArrow(suffix_classes(length), "trigger long, suffix long, k1 long, k2 long, at int").distinct()
+    dictionary = mixed.groupBy("trigger", "phrase").agg((F.count("*") == 1).alias("alone"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(mixed.join(dictionary.where("not alone").select("trigger", "phrase"), ["trigger", "phrase"]).select("k1", "k2", "lo", "hi"))
+    sizes = dictionary.groupBy("trigger").agg((F.count("*") <= TOGETHER).alias("few"))
+    asked = dictionary.join(sizes, "trigger").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.lo", "one.hi", "trigger", "alone", "few")).alias("own"))
+    text = rows.mapInArrow(packed, "k1 long, k2 long, doc_id long, z binary")
+    pieces = written(text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").mapInArrow(extractor(length), "trigger long, alone boolean, few boolean, k1 long, k2 long, lo int, piece binary"), "pieces")
+    groups = pieces.where("few").groupBy("trigger").agg(F.collect_list(F.struct("alone", "k1", "k2", "lo", "piece")).alias("own")).select("own")
+    together = groups.mapInArrow(classes_together(length), "k1 long, k2 long, lo int, hi int")
+    suffixes = pieces.where("not few").select("trigger", "alone", "k1", "k2", "lo", "piece").distinct().mapInArrow(suffix_rows(length), "trigger long, suffix long, alone boolean, k1 long, k2 long, at int")
     several = suffixes.groupBy("trigger", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "suffix")
-    single = suffixes.join(several, ["trigger", "suffix"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    gone = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    dealt = suffixes.where("alone").join(several, ["trigger", "suffix"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    gone = whole.unionByName(together).unionByName(dealt).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return text.join(gone, ["k1", "k2"], "left").select("doc_id", "z", "lo", "hi").mapInArrow(remover(length), "doc_id long, n_bytes long, spans array<long>, kept binary")
