@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import archive, retrieval, texts
+
+PARTS = (retrieval.CATALOG, texts.CATALOG, archive.CATALOG)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.sql.items()}
