@@ -9,7 +9,8 @@ their phrases have the same trigger bytes:
 - a phrase that occurs twice or more repeats with all of its windows, whatever the corpus' size;
 - where several phrases share a trigger, the order of their suffixes decides. Only classes of suffixes that agree in
   their first L bytes matter, not the order among them, so each distinct phrase's suffixes are put into classes: together
-  where a trigger has few phrases, else a row a suffix, dealt by trigger and hash.
+  where a trigger has few phrases; else phrases are cut into shorter ones, which meet only if they share the bytes that all
+  of their windows have, twice; and what is still too many is dealt out a row a suffix.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import prepare, row_key, texts_of, written
 
 LENGTH, K = 200, 32
-#: Distinct phrases of a trigger that are compared in one row at most.
-TOGETHER = 256
+#: Distinct phrases of a trigger that are compared in one row at most, and windows of the pieces into which the phrases of
+#: larger groups are cut, step by step.
+TOGETHER, CUTS = 1024, (24, 6)
 #: Bytes hashed at once. A longer text goes on in the next block.
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
@@ -100,8 +102,8 @@ def blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, in
         yield [(r, o) for r, o, _ in parts], b"".join(x for _, _, x in parts), [len(x) for _, _, x in parts]
 
 
-PARSE = "k1 long, k2 long, lo int, hi int, trigger long, phrase long"
-PARSE_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64())])
+PARSE = "k1 long, k2 long, lo int, hi int, at int, trigger long, phrase long"
+PARSE_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64())])
 
 
 def parser(length: int, k: int):
@@ -118,7 +120,7 @@ def parser(length: int, k: int):
                 part = np.searchsorted(np.cumsum(sizes), lo, "right")
                 rows = np.array([r for r, _ in own])[part]
                 shift = np.array([o for _, o in own])[part] - np.concatenate(([0], np.cumsum(sizes)))[part]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(k2[rows]), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)), pa.array(trigger), pa.array(names)], schema=PARSE_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(k2[rows]), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)), pa.array((at - lo).astype(np.int32)), pa.array(trigger), pa.array(names)], schema=PARSE_SCHEMA)
 
     return parse
 
@@ -129,7 +131,8 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([squeeze.compress(x) for x in texts_of(batch.column(3))], type=pa.binary())], schema=pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())]))
 
 
-PIECES = pa.schema([("trigger", pa.int64()), ("alone", pa.bool_()), ("few", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("piece", pa.binary())])
+PIECES = pa.schema([("trigger", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("at", pa.int32()), ("piece", pa.binary())])
+PIECES_DDL = "trigger long, alone boolean, k1 long, k2 long, lo int, at int, piece binary"
 
 
 def extractor(length: int):
@@ -141,7 +144,7 @@ def extractor(length: int):
             rows = []
             for k1, k2, z, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = open_up.decompress(z)
-                rows += [(x["trigger"], x["alone"], x["few"], k1, k2, x["lo"], text[x["lo"] : x["hi"] + length]) for x in own]
+                rows += [(x["trigger"], x["alone"], k1, k2, x["lo"], x["at"], text[x["lo"] : x["hi"] + length]) for x in own]
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), PIECES, strict=True)], schema=PIECES)
 
@@ -182,6 +185,29 @@ def classes_together(length: int):
     return run
 
 
+def cutter(length: int, width: int):
+    """Pieces of `width` windows of each phrase, named by the bytes that all of a piece's windows share. Places count from
+    the trigger, which equal windows have at equal places, so equal windows are in pieces of one name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            rows = []
+            for trigger, alone, k1, k2, lo, at, piece in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                n = len(piece) - length + 1
+                i = 0
+                while i < n:
+                    begin = i - (i - at) % width  # of the whole piece: at the phrase's ends less of it is there
+                    j = min(n, begin + width)
+                    core = piece[begin + width - 1 : begin + length]  # is in each window of the piece
+                    rows.append((digest(b"%d %d %d " % (trigger, width, begin - at) + core, 3) - (1 << 63), alone, k1, k2, lo + i, at - i, piece[i : j - 1 + length]))
+                    i = j
+            for i in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), PIECES, strict=True)], schema=PIECES)
+
+    return run
+
+
 SUFFIXES = pa.schema([("trigger", pa.int64()), ("suffix", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
 
 
@@ -225,6 +251,27 @@ def remover(length: int):
     return run
 
 
+def _classes(pieces: DataFrame, length: int, cuts: tuple[int, ...]) -> DataFrame:
+    """k1, k2, lo, hi: runs of window starts in pieces (distinct rows) whose windows are in another piece of the trigger."""
+    columns = pieces.columns
+    sizes = pieces.groupBy("trigger").agg((F.count("*") <= TOGETHER).alias("few"))
+    sized = pieces.join(sizes, "trigger")
+    groups = sized.where("few").groupBy("trigger").agg(F.collect_list(F.struct("alone", "k1", "k2", "lo", "piece")).alias("own")).select("own")
+    found = groups.mapInArrow(classes_together(length), "k1 long, k2 long, lo int, hi int")
+    many = sized.where("not few").select(columns)
+    if not cuts:
+        suffixes = many.select("trigger", "alone", "k1", "k2", "lo", "piece").mapInArrow(suffix_rows(length), "trigger long, suffix long, alone boolean, k1 long, k2 long, at int")
+        several = suffixes.groupBy("trigger", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "suffix")
+        return found.unionByName(suffixes.where("alone").join(several, ["trigger", "suffix"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    cut_up = written(many.mapInArrow(cutter(length, cuts[0]), PIECES_DDL).withColumn("name", F.xxhash64("piece")), "cut")
+    equal = cut_up.groupBy("trigger", "name").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one"))
+    marked = cut_up.join(equal, ["trigger", "name"])
+    again = marked.where("alone and n > 1").select("k1", "k2", "lo", (F.col("lo") + F.octet_length("piece") - length).alias("hi"))
+    stands = (F.col("one.k1") == F.col("k1")) & (F.col("one.k2") == F.col("k2")) & (F.col("one.lo") == F.col("lo"))
+    distinct = marked.where(stands).withColumn("alone", F.expr("alone and n = 1")).select(columns)
+    return found.unionByName(again).unionByName(_classes(distinct, length, cuts[1:]))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (begin and end of each maximal removed run, flat), kept (the bytes that are left). One row a
     row of docs. Removed: each byte that some `length`-byte string covers which also starts anywhere else, in the same text
@@ -239,16 +286,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = parse.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1").select("trigger", (F.col("a") == F.col("b")).alias("same"))
     again = written(parse.join(shared, "trigger"), "parse")  # little of the parse: triggers that occur again
     mixed = again.where("not same")
-    dictionary = mixed.groupBy("trigger", "phrase").agg((F.count("*") == 1).alias("alone"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    dictionary = mixed.groupBy("trigger", "phrase").agg((F.count("*") == 1).alias("alone"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one"))
     whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(mixed.join(dictionary.where("not alone").select("trigger", "phrase"), ["trigger", "phrase"]).select("k1", "k2", "lo", "hi"))
-    sizes = dictionary.groupBy("trigger").agg((F.count("*") <= TOGETHER).alias("few"))
-    asked = dictionary.join(sizes, "trigger").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.lo", "one.hi", "trigger", "alone", "few")).alias("own"))
+    asked = dictionary.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.lo", "one.hi", "one.at", "trigger", "alone")).alias("own"))
     text = rows.mapInArrow(packed, "k1 long, k2 long, doc_id long, z binary")
-    pieces = written(text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").mapInArrow(extractor(length), "trigger long, alone boolean, few boolean, k1 long, k2 long, lo int, piece binary"), "pieces")
-    groups = pieces.where("few").groupBy("trigger").agg(F.collect_list(F.struct("alone", "k1", "k2", "lo", "piece")).alias("own")).select("own")
-    together = groups.mapInArrow(classes_together(length), "k1 long, k2 long, lo int, hi int")
-    suffixes = pieces.where("not few").select("trigger", "alone", "k1", "k2", "lo", "piece").distinct().mapInArrow(suffix_rows(length), "trigger long, suffix long, alone boolean, k1 long, k2 long, at int")
-    several = suffixes.groupBy("trigger", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "suffix")
-    dealt = suffixes.where("alone").join(several, ["trigger", "suffix"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    gone = whole.unionByName(together).unionByName(dealt).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    pieces = text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").mapInArrow(extractor(length), PIECES_DDL)
+    single = _classes(written(pieces.distinct(), "pieces"), length, CUTS)
+    gone = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return text.join(gone, ["k1", "k2"], "left").select("doc_id", "z", "lo", "hi").mapInArrow(remover(length), "doc_id long, n_bytes long, spans array<long>, kept binary")

@@ -225,9 +225,10 @@ def test_transducer_and_scan_equal_the_library(monkeypatch):
             assert made.count(text) == len(made.library.encode(text)), repr(text)
 
 
-@pytest.mark.parametrize("together", [256, 1])
-def test_repeated_substrings(messy, clashing, empty, monkeypatch, together):
+@pytest.mark.parametrize(("together", "cuts"), [(1024, (24, 6)), (1, (24, 6)), (1, ())])
+def test_repeated_substrings(messy, clashing, empty, monkeypatch, together, cuts):
     monkeypatch.setattr(substrings, "TOGETHER", together)
+    monkeypatch.setattr(substrings, "CUTS", cuts)
     out = held(messy, clashing, empty, lambda d: substrings.without_repeats(d, length=200))
     texts = [(i, (t or "").encode()) for i, t in docs_of(messy, "doc_id", "text")]
     seen = Counter(t[j : j + 200] for _, t in texts for j in range(len(t) - 199))
