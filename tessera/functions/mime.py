@@ -249,7 +249,9 @@ def _parameter(params, name: str) -> str:
 
 def leaf_parts(raw: bytes | None) -> list[dict]:
     """The leaf parts of a BODYSTRUCTURE, with the section each is fetched by."""
-    lists = [x for x in s_expression(bytes(raw or b"")) if isinstance(x, list)]
+    top = s_expression(bytes(raw or b""))
+    named = [x[i + 1] for x in (top, *(y for y in top if isinstance(y, list))) for i, y in enumerate(x[:-1]) if isinstance(y, bytes) and y.upper() == b"BODYSTRUCTURE" and isinstance(x[i + 1], list)]
+    lists = named or [x for x in top if isinstance(x, list)]
     root = next((x for x in lists if x and isinstance(x[0], list)), lists[0] if lists else None)
     out: list[dict] = []
     waiting = [(root, "")] if root else []

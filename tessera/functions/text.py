@@ -56,8 +56,9 @@ def segment_cjk(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Index tokens: lower-cased runs of letters and digits without marks, CJK characters one by one. Null: none."""
-    text = F.translate(F.lower(segment_cjk(F.coalesce(_col(c), F.lit("")))), FOLD_FROM, FOLD_TO)
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    spaced = F.regexp_replace(F.translate(low, FOLD_FROM, FOLD_TO), f"([{CJK}])", " $1 ")
+    return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7f]"), spaced).otherwise(low), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
 def query_terms(c: Column | str) -> Column:
@@ -67,9 +68,14 @@ def query_terms(c: Column | str) -> Column:
 def estimate_tokens(c: Column | str) -> Column:
     """A model's tokens, roughly: one a CJK character, 1.3 a Latin word, a quarter any other character, and one."""
     c = _col(c)
-    cjk, words = F.regexp_count(c, F.lit(f"[{CJK}]")), F.regexp_count(c, F.lit("[A-Za-z0-9]+"))
-    other = F.greatest(F.lit(0), F.length(c) - cjk - F.length(F.regexp_replace(c, "[^A-Za-z0-9]", "")))
-    return F.when(c == "", 0).otherwise(F.floor(cjk + words * F.lit(1.3) + other * F.lit(0.25)) + 1).cast("int")
+
+    def count(rest: Column) -> Column:
+        """rest: the text with each Latin word as one w."""
+        other = F.replace(rest, F.lit("w"), F.lit(""))
+        cjk = F.when(F.octet_length(other) == F.length(other), 0).otherwise(F.length(other) - F.length(F.regexp_replace(other, f"[{CJK}]", "")))
+        return F.floor(cjk + (F.length(rest) - F.length(other)) * F.lit(1.3) + (F.length(other) - cjk) * F.lit(0.25)) + 1
+
+    return F.when(c == "", 0).otherwise(let(F.regexp_replace(c, "[A-Za-z0-9]+", "w"), count)).cast("int")
 
 
 def snippet(text: Column | str, terms: list[str], length: int = 200) -> Column:
@@ -122,7 +128,7 @@ def clip(c: Column | str, limit: int = 120) -> Column:
 def mask_address(c: Column | str) -> Column:
     """ab***@domain; a***@domain for a short name; *** without an @."""
     c = _col(c)
-    name, domain = F.substring_index(c, "@", 1), F.expr("1")
+    name = F.substring_index(c, "@", 1)
     domain = F.substring(c, F.instr(c, "@"), F.length(c))
     shown = F.when(F.length(name) > 2, F.substring(name, 1, 2)).otherwise(F.substring(name, 1, 1))
     return F.when(F.instr(c, "@") > 0, F.concat(shown, F.lit("***"), domain)).otherwise("***")
@@ -143,8 +149,7 @@ def human_size(c: Column | str) -> Column:
 def duration(c: Column | str) -> Column:
     """m:ss, or h:mm:ss from an hour on; null is --."""
     s = F.floor(F.greatest(_col(c).cast("double"), F.lit(0.0))).cast("long")
-    hours, minutes, rest = F.expr("0"), F.floor(s / 60) % 60, s % 60
-    hours = F.floor(s / 3600)
+    hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     return F.when(s.isNull(), "--").when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,26 +73,29 @@ def _scored(found: DataFrame, facts: DataFrame, plan: list[list[Phrase]], column
 def keyword_hits(docs: DataFrame, key: str, columns: list[str], plan: list[list[Phrase]], column: str | None = None) -> DataFrame:
     """variant, doc_id, score (lower is better) of the rows that have all phrases of a variant, within `column` if given.
     Statistics are over all rows of docs, whatever is filtered later. Tokens that the plan does not ask for never leave
-    the scan: rows are told apart by them before they are exploded. An empty plan finds nothing."""
-    spark = docs.sparkSession
+    the scan's stage. An empty plan finds nothing."""
     if not plan or not all(plan):
-        return spark.createDataFrame([], "variant int, doc_id long, score double")
-    own = token_columns(docs, key, columns)
+        return docs.sparkSession.createDataFrame([], "variant int, doc_id long, score double")
+    asked = _asked(plan)
+    places = F.flatten(F.transform("cols", lambda c: F.filter(F.transform(c["tokens"], lambda t, i: F.when(asked(t), F.struct(c["col"].alias("col"), i.alias("pos"), t.alias("term")))), lambda p: p.isNotNull())))
+    # texts are read once: what is left of a row, dealt by its key, serves the statistics and the hits, whose sums need it so
+    own = token_columns(docs, key, columns).select("doc_id", "len", places.alias("places")).repartition("doc_id")
     facts = own.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    slots = _slots(plan)
-    places = F.flatten(F.transform("cols", lambda c: F.filter(F.transform(c["tokens"], lambda t, i: F.struct(c["col"].alias("col"), i.alias("pos"), t.alias("term"))), lambda p: F.exists(slots, lambda s: (s["token"] == p["term"]) | (s["prefix"] & p["term"].startswith(s["token"]))))))
-    postings = own.select("doc_id", "len", F.explode(places).alias("p")).select("doc_id", "len", "p.*")
+    postings = own.select("doc_id", "len", F.explode("places").alias("p")).select("doc_id", "len", "p.*")
     return _scored(_occurrences(postings, plan), facts, plan, column)
 
 
+def _asked(plan: list[list[Phrase]]):
+    """Whether any phrase asks for a term: a function of a term's column."""
+    slots = {(t, p.prefix and i == len(p.tokens) - 1) for phrases in plan for p in phrases for i, t in enumerate(p.tokens)}
+    whole, begun = sorted(t for t, prefix in slots if not prefix), sorted(t for t, prefix in slots if prefix)
+    tests = [lambda c, x=x: c.startswith(x) for x in begun] + ([lambda c: c.isin(whole)] if whole else [])
+    return lambda c: reduce(operator.or_, [t(c) for t in tests])
+
+
 def index_hits(postings: DataFrame, lengths: DataFrame, plan: list[list[Phrase]], column: str | None = None) -> DataFrame:
     """keyword_hits() over a written index: only the row groups of the plan's terms are read."""
     if not plan or not all(plan):
         return postings.sparkSession.createDataFrame([], "variant int, doc_id long, score double")
-    near = F.lit(False)
-    for phrases in plan:
-        for p in phrases:
-            for i, t in enumerate(p.tokens):
-                near = near | (F.col("term").startswith(t) if p.prefix and i == len(p.tokens) - 1 else F.col("term") == t)
     facts = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    return _scored(_occurrences(postings.where(near), plan), facts, plan, column)
+    return _scored(_occurrences(postings.where(_asked(plan)(F.col("term"))), plan), facts, plan, column)

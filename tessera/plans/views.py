@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import read as table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,10 +29,6 @@ class Catalog:
         return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages. A label of quality 0 stands for a deletion, any label for an index run, a toxic one for a
     change after it."""

@@ -94,6 +94,7 @@ def demo_mail(spark: SparkSession, n: int, seed: int = 20240301) -> DataFrame:
                 m.set_content(f"{subject}\n\nThis is message {i} from {parseaddr(sender)[0]}.\n")
                 if i % 3 == 0:
                     m.add_attachment(b"%d,%d\n" % (i % 7, i % 5), maintype="text", subtype="csv", filename=f"table-{i % 4}.csv")
+                    m.set_boundary(f"demo-{i}")
                 out.append(bytes(m))
             yield pd.Series(out)
 
