@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import read
+
 #: Rows and bytes of one Arrow batch at most (a single row may be larger).
 BATCH_ROWS, BATCH_BYTES = 512, "4m"
 
@@ -23,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(prepare(spark), sf_dir, name)
 
 
 def scratch(spark: SparkSession) -> str:
