@@ -306,6 +306,30 @@ def text_sections(parts: Column | str, most: int = MOST_ATTACHMENT, count: int =
     return F.transform(F.slice(own, 1, count), lambda p: p["section"])
 
 
+def header_bytes(c: Column | str) -> Column:
+    """What comes before a message's first empty line, so that bodies need not be parsed, nor sent to a worker."""
+    text = F.decode(_col(c), "ISO-8859-1")
+    return F.encode(F.concat(F.get(F.split(text, "\r?\n\r?\n", 2), F.lit(0)), F.lit("\r\n\r\n")), "ISO-8859-1")
+
+
+def envelopes(raw: DataFrame, content: str = "content") -> DataFrame:
+    """All columns but the content, and message_id, subject, sender, sender_name, recipients, cc, date_utc, date_raw."""
+    own = raw.withColumn("__m", parse_mail(header_bytes(content)))
+    return own.select(*(c for c in raw.columns if c != content), *[f"__m.{n}" for n in ("message_id", "subject", "sender", "sender_name", "recipients", "cc", "date_utc", "date_raw")])
+
+
+def parts_not_fetched(parts: Column | str, most: int = MOST_ATTACHMENT) -> Column:
+    """Attachments of a message of which only text parts are fetched: what BODYSTRUCTURE says, and why they are not here."""
+    own = F.filter(_col(parts), lambda p: ~p["content_type"].startswith("text/") | (p["disposition"] == "attachment") | (p["filename"] != ""))
+
+    def attachment(p: Column, i: Column) -> Column:
+        name = F.when(p["filename"] == "", F.concat(F.lit("attachment_"), (i + 1).cast("string"))).otherwise(p["filename"])
+        reason = F.when(p["size"] > most, F.concat(F.lit(f"超过大小阈值 {most // 1048576}MB（实际 "), F.format_string("%.1f", p["size"] / F.lit(1048576.0)), F.lit("MB）"))).otherwise("整封邮件过大，未下载附件")
+        return F.struct((i + 1).cast("int").alias("part_index"), safe_filename(name, 120, "attachment").alias("filename"), p["content_type"].alias("content_type"), p["size"].alias("size_bytes"), (p["disposition"] == "inline").alias("is_inline"), F.lit(False).alias("downloaded"), reason.alias("skip_reason"))
+
+    return F.transform(own, attachment)
+
+
 def messages(raw: DataFrame, content: str = "content", most: int = MOST_ATTACHMENT, download: bool = True) -> DataFrame:
     """All columns but the content, and the message's, its attachments decided on, its body composed."""
     from tessera.functions.cleaning import compose_body

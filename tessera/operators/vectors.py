@@ -33,6 +33,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     """query_key, key, score, rank for many queries: each task multiplies its vectors with a block of queries and keeps its
     own k best, so only these move. Queries go out in blocks of a checked size."""
     spark = vectors.sparkSession
+    window = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
     blocks = max(1, -(-size[0] * max(1, size[1]) * 8 // MOST_QUERY_BYTES))
     out = None
@@ -53,9 +54,12 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 yield pd.DataFrame({query_key: np.array(ids)[q], key: pdf[key].to_numpy()[c], "score": scores[q, c]})
 
         found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(search, f"{query_key} long, {key} long, score double")
-        out = found if out is None else out.union(found)
-    window = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        best = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        if blocks > 1:  # one block is out at a time
+            best = written(best, "top-k")
+            shared.unpersist()
+        out = best if out is None else out.union(best)
+    return out
 
 
 def calibration(tops: DataFrame, kind: str = "kind", score: str = "score") -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashing
 from tessera.operators import blobs, incremental, sync
 from tessera.plans.views import MESSAGES, Catalog, messages, table
+from tessera.sources.scratch import fresh_path
 from tessera.streaming import index_stream
 
 CATALOG = Catalog()
@@ -184,10 +183,7 @@ def session_activity(spark, sf_dir):
 def stream_incremental_equals_batch(spark, sf_dir):
     """Events through a stream that merges its micro-batches into a table: the newest row of each user."""
     own = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    import uuid
-
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = fresh_path(spark, "stream")
     stream = spark.readStream.schema(own.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("at"))
     index_stream.merge_batches(stream, f"{place}/table", f"{place}/checkpoint", ["user_id"], "at").awaitTermination()
     return index_stream.latest_version(spark, f"{place}/table").select("user_id", "event_type", "ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -77,6 +77,13 @@ def percent(done: int, total: int, folders: int) -> float:
     return round(done * 100 / total, 1) if total else 100.0 if folders else 0.0
 
 
+def rates(progress: DataFrame, started: str = "started_at", now: Column | None = None) -> DataFrame:
+    """progress with elapsed seconds, messages a second, and the seconds that are left (null if that cannot be told)."""
+    elapsed = ((now if now is not None else F.current_timestamp()).cast("double") - F.col(started).cast("double")).alias("elapsed")
+    rate = F.when((F.col("elapsed") > 0.5) & (F.col("done") > 0), F.bround(F.col("done") / F.col("elapsed"), 2)).otherwise(0.0)
+    return progress.withColumn("elapsed", elapsed).withColumn("rate", rate).withColumn("eta", F.when((F.col("rate") > 0) & (F.col("total") > F.col("done")), F.bround((F.col("total") - F.col("done")) / F.col("rate"), 1)))
+
+
 def progress(stream: DataFrame) -> DataFrame:
     """stream: run_id, seq, event, folder, number, status. The state of each run after each of its batches."""
 

@@ -84,6 +84,15 @@ def test_body_structures(spark):
     assert got == {1: ("partial", ["1.1", "1.2", "3.1"]), 2: ("full", ["1.1", "1.2", "3.1"]), 3: ("full", [])}
 
 
+def test_envelopes_and_parts_left_out(spark):
+    raw = spark.createDataFrame([("1", build()), ("2", b"")], "uid string, content binary")
+    out = {r["uid"]: (r["subject"], r["sender"]) for r in mime.envelopes(raw).collect()}
+    assert out == {"1": ("报销 report", "li.lei@corp.com"), "2": (mime.NO_SUBJECT, "")}
+    assert b"hello body" not in bytes(raw.select(mime.header_bytes("content").alias("h")).first()["h"])
+    own = spark.createDataFrame([(STRUCTURE,)], "s binary").select(mime.parts_not_fetched(mime.body_structure("s"), 50 << 20).alias("a")).first()["a"]
+    assert [(a["filename"], a["downloaded"], a["skip_reason"].startswith("超过")) for a in own] == [("报", False, True), ("attachment_2", False, False)]
+
+
 @pytest.mark.parametrize("name", ["utf-8", "gb18030", "latin-1"])
 def test_charsets(name):
     assert mime.body_text("déjà vu".encode(name, "replace") if name != "gb18030" else "报销".encode(name), name)

@@ -101,6 +101,12 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert (batch["done"], batch["total"], batch["archived"], batch["failed"]) == (3, 3, 2, 1)
 
 
+def test_rates(spark):
+    own = spark.createDataFrame([(5, 10, "2024-01-01 00:00:00"), (0, 10, "2024-01-01 00:00:00"), (10, 10, "2024-01-01 00:00:00")], "done long, total long, t string").withColumn("started_at", F.to_timestamp("t"))
+    got = [(r["elapsed"], r["rate"], r["eta"]) for r in index_stream.rates(own, now=F.lit("2024-01-01 00:00:10").cast("timestamp")).collect()]
+    assert got == [(10.0, 0.5, 10.0), (10.0, 0.0, None), (10.0, 1.0, None)]
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "a", "2024-01-01 00:00:00", 1.0), (1, "a", "2024-01-01 00:10:00", 1.0), (2, "a", "2024-01-01 02:00:00", 2.0)]
     own = spark.createDataFrame(rows, "k long, event_type string, t string, value double").withColumn("ts", F.to_timestamp("t"))
