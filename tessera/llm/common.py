@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import checkpointed, scratch, written
 from tessera.sources.tables import read
 
+__all__ = ["by_batch", "checkpointed", "prepare", "row_key", "scratch", "table", "texts_of", "utf8", "written"]
+
 #: Rows and bytes of one Arrow batch at most (a single row may be larger).
 BATCH_ROWS, BATCH_BYTES = 512, "4m"
 
@@ -28,33 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(prepare(spark), sf_dir, name)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only where none is named."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            current = spark.sparkContext.getCheckpointDir()
-        own = current
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder; Spark removes the files when the frame is no longer referenced."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: str) -> tuple[Column, Column]:
     """128 bits that name a row by the given columns, nulls included; rows that agree in them share the key."""
     marked = [c for name in columns for c in (F.col(name).isNull(), F.col(name))]
