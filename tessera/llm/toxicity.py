@@ -27,10 +27,11 @@ CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 i
 COST_LEET, COST_REPEAT, COST_GAP = 1.0, 0.7, 0.3
 #: Labelled documents in the training sample at most, and bytes of each of them.
 SAMPLE, SAMPLE_BYTES = 8000, 1 << 16
-#: Beginnings of words are scored, of so many letters; each begins so many words of toxic documents at least that no
-#: other one begins, its share of toxic documents is so many deviations over the sample's, and there are so many of them at most.
-STEM = range(4, 9)
-DEVIATIONS, LEAST_DOCS, MOST_STEMS = 5.0, 6, 64
+#: A clue is so many different words of a document that begin alike, with so many letters. Each clue is in so many toxic
+#: documents at least, its share of toxic documents is so many deviations over the sample's and this high, it covers so many
+#: words of toxic documents that no other clue covers, and there are so many clues at most.
+STEM, TIMES = range(4, 9), (1, 2, 3)
+LEAST_DOCS, DEVIATIONS, SHARE, LEAST_WORDS, MOST_CLUES = 6, 5.0, 0.9, 6, 64
 PIECE = 1 << 22
 
 
@@ -145,70 +146,81 @@ def lattice_pattern(stems: list[str]) -> re.Pattern | None:
 
 
 class ToxicWords:
-    """Beginnings of restored words that tell, each one's chance of a toxic document, and that of a document without any.
-    Independent causes: a document is clean only if none of its stems, nor anything else, makes it toxic."""
+    """Clues (a beginning, and how many different words with it), each one's chance of a toxic document, and that of a
+    document without any. Independent causes: a document is clean only if none of its clues, nor anything else, makes it
+    toxic."""
 
-    def __init__(self, chars: CharModel, stems: list[str], chances: np.ndarray, base: float):
-        self.chars, self.at, self.chances, self.base = chars, {w: i for i, w in enumerate(stems)}, chances, base
-        self.pattern = lattice_pattern(stems)
-        self.memo: dict[str, tuple[int, ...]] = {}
+    def __init__(self, chars: CharModel, clues: list[tuple[str, int]], chances: np.ndarray, base: float):
+        self.chars, self.clues, self.chances, self.base = chars, clues, chances, base
+        self.stems = {s for s, _ in clues}
+        self.pattern = lattice_pattern(sorted(self.stems))
+        self.memo: dict[str, str] = {}
 
     def __getstate__(self):
-        return self.chars, list(self.at), self.chances, self.base
+        return self.chars, self.clues, self.chances, self.base
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def stems_of(self, word: str) -> tuple[int, ...]:
-        return tuple(self.at[word[:n]] for n in STEM if word[:n] in self.at)
+    def known(self, word: str) -> bool:
+        return any(word[:n] in self.stems for n in STEM)
 
-    def found(self, text: str) -> set[int]:
-        """Which stems the text has once its spans are decoded. Only lattices that hold a scored stem are decoded."""
-        out: set[int] = set()
+    def found(self, text: str) -> set[str]:
+        """The words with a scored beginning that the text has once its spans are decoded. Only lattices that hold such a
+        word are decoded."""
+        out: set[str] = set()
         if self.pattern is not None:
             for m in self.pattern.finditer(text.lower()):
                 span = m.group()[:64]
                 if span not in self.memo:
                     if len(self.memo) > 100_000:
                         self.memo.clear()
-                    self.memo[span] = self.stems_of(span) or self.stems_of(decode(span, self.chars))
-                out.update(self.memo[span])
+                    self.memo[span] = span if self.known(span) else decode(span, self.chars)
+                out.add(self.memo[span])
         return out
 
     def score(self, text: str | None) -> float:
-        return float(1 - (1 - self.base) * np.prod([1 - self.chances[i] for i in sorted(self.found(text or ""))]))
+        n = stem_counts(self.found(text or ""))
+        return float(1 - (1 - self.base) * np.prod([1 - c for (s, k), c in zip(self.clues, self.chances, strict=True) if n[s] >= k]))
 
 
-def telling_stems(rows: list[tuple[set[str], int]]) -> list[str]:
-    """Stems one after another, each that which begins the most words of toxic documents that no stem before begins."""
+def stem_counts(words: set[str]) -> Counter[str]:
+    """How many of the words begin with each stem."""
+    return Counter(w[:n] for w in words for n in STEM if len(w) >= n)
+
+
+def telling_clues(rows: list[tuple[set[str], int]]) -> list[tuple[str, int]]:
+    """Clues one after another, each that which covers the most words of toxic documents that no clue before covers."""
     rows = list({(r[1], min((zlib.crc32(w.encode()) for w in r[0] if len(w) >= 8), default=len(r[0]))): r for r in rows}.values())  # near copies share their least word, and count once
     base = sum(y for _, y in rows) / len(rows)
+    counts = [stem_counts(words) for words, _ in rows]
     seen, toxic = Counter(), Counter()
-    for words, y in rows:
-        stems = {w[:n] for w in words for n in STEM if len(w) >= n}
-        seen.update(stems)
+    for n, (_, y) in zip(counts, rows, strict=True):
+        own = [(s, k) for s, c in n.items() for k in TIMES if c >= k]
+        seen.update(own)
         if y:
-            toxic.update(stems)
-    good = {w for w, n in seen.items() if toxic[w] >= LEAST_DOCS and toxic[w] > 0.95 * n and toxic[w] - n * base > DEVIATIONS * np.sqrt(n * base * (1 - base))}
-    left = [own for words, y in rows if y for w in words if (own := {w[:n] for n in STEM if len(w) >= n} & good)]
-    gain, chosen = Counter(w for stems in left for w in stems), []
-    while gain and len(chosen) < MOST_STEMS:
-        best = max(gain, key=lambda w: (gain[w] - 10 * (seen[w] - toxic[w]), len(w), w))
-        if gain[best] < LEAST_DOCS:
+            toxic.update(own)
+    good = {c for c, n in seen.items() if toxic[c] >= LEAST_DOCS and toxic[c] > SHARE * n and toxic[c] - n * base > DEVIATIONS * np.sqrt(n * base * (1 - base))}
+    left = [own for n, (words, y) in zip(counts, rows, strict=True) if y for w in words if (own := {(w[:i], k) for i in STEM if len(w) >= i for k in TIMES if n[w[:i]] >= k} & good)]
+    gain, chosen = Counter(c for own in left for c in own), []
+    while gain and len(chosen) < MOST_CLUES:
+        best = max(gain, key=lambda c: (gain[c] - 10 * (seen[c] - toxic[c]), len(c[0]), -c[1], c[0]))
+        if gain[best] < LEAST_WORDS:
             break
         chosen.append(best)
-        gain.subtract(w for stems in left if best in stems for w in stems)
-        left, gain = [stems for stems in left if best not in stems], +gain
+        gain.subtract(c for own in left if best in own for c in own)
+        left, gain = [own for own in left if best not in own], +gain
     return sorted(chosen)
 
 
 def word_model(chars: CharModel, rows: list[tuple[set[str], int]]) -> ToxicWords:
-    stems = telling_stems(rows)
+    clues = telling_clues(rows)
     y = np.array([r[1] for r in rows], float)
-    has = np.array([[any(w.startswith(s) for w in r[0]) for s in stems] for r in rows], bool).reshape(len(rows), len(stems))
+    counts = [stem_counts(r[0]) for r in rows]
+    has = np.array([[n[s] >= k for s, k in clues] for n in counts], bool).reshape(len(rows), len(clues))
     chances = np.array([(y[own].sum() + 0.5) / (own.sum() + 1) for own in has.T])
     rest = ~has.any(1)
-    return ToxicWords(chars, stems, chances, float((y[rest].sum() + 0.5) / (rest.sum() + 1)))
+    return ToxicWords(chars, clues, chances, float((y[rest].sum() + 0.5) / (rest.sum() + 1)))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> ToxicWords:
