@@ -106,7 +106,7 @@ def within_budget(fresh: DataFrame, budget: int | None, order: tuple[str, ...] =
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")  # a row a folder
     place = F.col("__before") + F.col("__n")
     taken = F.lit(True) if not budget or budget <= 0 else place <= budget
-    return numbered.join(F.broadcast(before), list(order)).withColumn("taken", taken).drop("__n", "__before")
+    return numbered.join(before, list(order)).withColumn("taken", taken).drop("__n", "__before")
 
 
 def watermarks(planned: DataFrame, keys: tuple[str, ...] = ("account", "folder")) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +30,44 @@ def threshold(hits: DataFrame, least: float = 0.0, margin: float = 0.0, score: s
     return out.join(F.broadcast(best)).where(F.col(score) >= F.col("__best") - margin).drop("__best")
 
 
+def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of doubles; shorter ones go on with zeros, longer ones are cut, as a product over the common length
+    has it."""
+    lengths = np.asarray(pc.list_value_length(column))
+    flat = np.asarray(column.flatten(), np.float64)
+    if (lengths == dim).all():
+        return flat.reshape(len(column), dim)
+    out = np.zeros((len(column), max(dim, int(lengths.max(initial=0)))))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
+    return out[:, :dim]
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """query_key, key, score, rank for many queries: each task multiplies its vectors with a block of queries and keeps its
     own k best, so only these move. Queries go out in blocks of a checked size."""
     spark = vectors.sparkSession
     window = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
-    blocks = max(1, -(-size[0] * max(1, size[1]) * 8 // MOST_QUERY_BYTES))
+    dim = max(1, size[1])
+    blocks = max(1, -(-size[0] * dim * 8 // MOST_QUERY_BYTES))
     out = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).select(query_key, vector).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([list(r[1]) for r in rows], np.float64)))
+        rows = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).select(query_key, vector).where(F.col(vector).isNotNull()).toArrow().combine_chunks()
+        own = (np.asarray(rows.column(0).combine_chunks()), matrix_of(rows.column(1).combine_chunks(), dim)) if rows.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim)))
+        shared = spark.sparkContext.broadcast(own)
+        schema = pa.schema([(query_key, pa.int64()), (key, pa.int64()), ("score", pa.float64())])
 
-        def search(batches, shared=shared):
+        def search(batches, shared=shared, schema=schema):
             ids, matrix = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
                     continue
-                own = np.array(pdf[vector].tolist(), np.float64)
-                scores = matrix @ own.T
-                cut = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k]
-                least = np.take_along_axis(scores, cut, 1).min(1)
-                q, c = np.nonzero(scores >= least[:, None])
-                yield pd.DataFrame({query_key: np.array(ids)[q], key: pdf[key].to_numpy()[c], "score": scores[q, c]})
-
-        found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(search, f"{query_key} long, {key} long, score double")
+                scores = matrix @ matrix_of(batch.column(1), dim).T
+                at = scores.shape[1] - min(k, scores.shape[1])
+                q, c = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(np.asarray(batch.column(0))[c]), pa.array(scores[q, c])], schema=schema)
+
+        found = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(search, f"{query_key} long, {key} long, score double")
         best = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
         if blocks > 1:  # one block is out at a time
             best = written(best, "top-k")
