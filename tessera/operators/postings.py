@@ -78,10 +78,12 @@ def keyword_hits(docs: DataFrame, key: str, columns: list[str], plan: list[list[
         return docs.sparkSession.createDataFrame([], "variant int, doc_id long, score double")
     asked = _asked(plan)
     places = F.flatten(F.transform("cols", lambda c: F.filter(F.transform(c["tokens"], lambda t, i: F.when(asked(t), F.struct(c["col"].alias("col"), i.alias("pos"), t.alias("term")))), lambda p: p.isNotNull())))
-    # texts are read once: what is left of a row, dealt by its key, serves the statistics and the hits, whose sums need it so
+    # Texts are read once: what is left of a row, dealt by its key, serves the statistics and the hits, whose sums need it
+    # so. Both uses must ask for the same columns of the same rows to share it: the count names the places, and the outer
+    # explode keeps the optimizer from filtering rows by them before they are dealt.
     own = token_columns(docs, key, columns).select("doc_id", "len", places.alias("places")).repartition("doc_id")
-    facts = own.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    postings = own.select("doc_id", "len", F.explode("places").alias("p")).select("doc_id", "len", "p.*")
+    facts = own.agg(F.count_if(F.size("places") >= 0).alias("n"), F.avg("len").alias("avgdl"))
+    postings = own.select("doc_id", "len", F.explode_outer("places").alias("p")).where("p is not null").select("doc_id", "len", "p.*")
     return _scored(_occurrences(postings, plan), facts, plan, column)
 
 
