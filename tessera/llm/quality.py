@@ -15,6 +15,9 @@ from tessera.llm.model import AttentionMIL
 
 #: Bytes of a passage, and bins into which its byte pairs are hashed.
 PASSAGE, BINS = 512, 512
+#: Distances at which a passage is held against itself: words that repeat agree at their own length.
+LAGS = range(2, 17)
+FEATURES = BINS + len(LAGS) + 1
 #: Labelled documents in the training sample at most, and bytes of each of them.
 SAMPLE, SAMPLE_BYTES = 5000, 1 << 16
 #: Passages encoded at once; a longer text goes on in the next block.
@@ -36,7 +39,8 @@ KIND = _folded()
 def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of the passages of texts (bytes one after another, starts with the end), and each text's first passage.
     A passage: PASSAGE bytes of one text, the last one shorter; an empty text has one empty passage. Its features are
-    square roots of the shares of hashed byte pairs and of pairs of byte kinds."""
+    square roots of the shares of hashed byte pairs and of pairs of byte kinds, and the shares of bytes that recur at each of
+    LAGS, with the largest of these."""
     lengths = np.diff(starts)
     n = np.maximum(1, -(-lengths // PASSAGE))
     first = np.concatenate(([0], np.cumsum(n)))
@@ -44,12 +48,20 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     passage = first[text] + (np.arange(len(data)) - starts[text]) // PASSAGE
     b = data.astype(np.int64)
     after = np.append(b[1:], 0)
+    after[starts[1:][lengths > 0] - 1] = 0  # a text ends as if nothing followed
     half = BINS // 2
     pairs = ((b * 31 + after * 2654435761) >> 7) % half
     kinds = half + (KIND[b] * 37 + KIND[after]) % half
     count = np.bincount(passage * BINS + pairs, minlength=first[-1] * BINS) + np.bincount(passage * BINS + kinds, minlength=first[-1] * BINS)
-    count = count.reshape(-1, BINS).astype(np.float32)
-    return np.sqrt(count / np.maximum(1, count[:, :half].sum(1, keepdims=True))), first[:-1]
+    out = np.zeros((first[-1], FEATURES), np.float32)
+    out[:, :BINS] = count.reshape(-1, BINS)
+    size = np.maximum(1, out[:, :half].sum(1, keepdims=True))
+    out[:, :BINS] = np.sqrt(out[:, :BINS] / size)
+    for i, lag in enumerate(LAGS, BINS):
+        same = np.flatnonzero((data[lag:] == data[:-lag]) & (text[lag:] == text[:-lag])) if len(data) > lag else np.zeros(0, np.int64)
+        out[:, i] = np.bincount(passage[same], minlength=first[-1]) / size[:, 0]
+    out[:, -1] = out[:, BINS:-1].max(1)
+    return out, first[:-1]
 
 
 def score_texts(column: pa.Array, model: AttentionMIL) -> np.ndarray:
@@ -93,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     y = np.array([r["y"] for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    return AttentionMIL(BINS).fit([np.frombuffer(r["x"], np.float16).reshape(-1, BINS) for r in rows], y)
+    return AttentionMIL(FEATURES).fit([np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in rows], y)
 
 
 def scorer(spark, model: AttentionMIL | None):

@@ -36,14 +36,14 @@ PIECE = 1 << 22
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram int, n long: how often each run of ORDER symbols occurs in all texts, each text between boundaries."""
+    """gram int, n long: how often each run of ORDER symbols occurs in all texts, with ORDER - 1 boundaries between texts."""
     schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         total = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in batches:
             data, starts = utf8(batch.column(0))
-            edges = np.insert(CODE[data], starts[1:], 0)
+            edges = np.insert(CODE[data], np.repeat(starts, ORDER - 1), 0)  # no run goes from one text into the next
             for i in range(0, len(edges), PIECE):
                 part = edges[max(0, i - ORDER + 1) : i + PIECE]
                 gram = part[: len(part) - ORDER + 1].copy() if len(part) >= ORDER else part[:0]

@@ -74,6 +74,20 @@ def test_quality_learns_and_whole_texts_count(spark):
     assert np.mean([out[i] == i % 2 for i in range(300)]) > 0.98
 
 
+def test_a_text_is_encoded_alike_in_any_company():
+    from tessera.llm.common import utf8
+
+    import pyarrow as pa
+
+    texts = ["one two", "", "Shti Shti Shti " * 60, None, "x" * 1300, "é!"]
+    together, first = quality.encode(*utf8(pa.array(texts)))
+    ends = [*first[1:].tolist(), len(together)]
+    for t, a, b in zip(texts, first, ends, strict=True):
+        alone, _ = quality.encode(*utf8(pa.array([t], type=pa.string())))
+        assert np.array_equal(alone, together[a:b])
+    assert together.shape[1] == quality.FEATURES and together[first[2], -1] > 0.9
+
+
 def test_attention_gradients():
     from tessera.llm.model import AttentionMIL
 
