@@ -132,7 +132,7 @@ def restored(text: str, model: CharModel, memo: dict[str, str]) -> set[str]:
 
 def lattice_pattern(stems: list[str]) -> re.Pattern | None:
     """Matches every span whose lattice holds a word that begins with a stem: each letter, or a sign that may stand for
-    it, once or more, with gaps between all or none, no letter or digit before. What it does not match cannot be restored to any."""
+    it, once or more, with gaps between all or none, no letter or digit before."""
     if not stems:
         return None
     sign = {c: "[" + re.escape(c) + "".join(re.escape(s) for s, reads in LEET.items() if c in reads) + "]" for w in stems for c in w}
