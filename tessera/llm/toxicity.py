@@ -26,7 +26,7 @@ CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 i
 #: Natural logarithms: what the channel charges for a sign that stands for a letter, for a repeated letter dropped, for a gap dropped.
 COST_LEET, COST_REPEAT, COST_GAP = 1.0, 0.7, 0.3
 #: Labelled documents in the training sample at most, and bytes of each of them.
-SAMPLE, SAMPLE_BYTES = 8000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 6000, 1 << 16
 #: A clue is so many different words of a document that begin alike, with so many letters. Each clue is in so many toxic
 #: documents at least, its share of toxic documents is so many deviations over the sample's and this high, it covers so many
 #: words of toxic documents that no other clue covers, and there are so many clues at most.
@@ -184,24 +184,25 @@ class ToxicWords:
         return float(1 - (1 - self.base) * np.prod([1 - c for (s, k), c in zip(self.clues, self.chances, strict=True) if n[s] >= k]))
 
 
-def stem_counts(words: set[str]) -> Counter[str]:
-    """How many of the words begin with each stem."""
-    return Counter(w[:n] for w in words for n in STEM if len(w) >= n)
+def stem_counts(words: set[str], only: set[str] | None = None) -> Counter[str]:
+    """How many of the words begin with each stem, or with each of given ones."""
+    return Counter(w[:n] for w in words for n in STEM if len(w) >= n and (only is None or w[:n] in only))
 
 
 def telling_clues(rows: list[tuple[set[str], int]]) -> list[tuple[str, int]]:
     """Clues one after another, each that which covers the most words of toxic documents that no clue before covers."""
     rows = list({(r[1], min((zlib.crc32(w.encode()) for w in r[0] if len(w) >= 8), default=len(r[0]))): r for r in rows}.values())  # near copies share their least word, and count once
     base = sum(y for _, y in rows) / len(rows)
-    counts = [stem_counts(words) for words, _ in rows]
-    seen, toxic = Counter(), Counter()
-    for n, (_, y) in zip(counts, rows, strict=True):
-        own = [(s, k) for s, c in n.items() for k in TIMES if c >= k]
-        seen.update(own)
-        if y:
-            toxic.update(own)
-    good = {c for c, n in seen.items() if toxic[c] >= LEAST_DOCS and toxic[c] > SHARE * n and toxic[c] - n * base > DEVIATIONS * np.sqrt(n * base * (1 - base))}
-    left = [own for n, (words, y) in zip(counts, rows, strict=True) if y for w in words if (own := {(w[:i], k) for i in STEM if len(w) >= i for k in TIMES if n[w[:i]] >= k} & good)]
+    clues_of = lambda n: [(s, k) for s, c in n.items() for k in TIMES if c >= k]
+    toxic = Counter(c for words, y in rows if y for c in clues_of(stem_counts(words)))
+    toxic = Counter({c: n for c, n in toxic.items() if n >= LEAST_DOCS})  # few of all: only these are counted elsewhere
+    stems = {s for s, _ in toxic}
+    seen = Counter(c for words, _ in rows for c in clues_of(stem_counts(words, stems)) if c in toxic)
+    good = {c for c, n in seen.items() if toxic[c] > SHARE * n and toxic[c] - n * base > DEVIATIONS * np.sqrt(n * base * (1 - base))}
+    left = []
+    for words, y in rows:
+        n = stem_counts(words, stems) if y else Counter()
+        left += [own for w in words if y and (own := {(w[:i], k) for i in STEM if len(w) >= i for k in TIMES if n[w[:i]] >= k} & good)]
     gain, chosen = Counter(c for own in left for c in own), []
     while gain and len(chosen) < MOST_CLUES:
         best = max(gain, key=lambda c: (gain[c] - 10 * (seen[c] - toxic[c]), len(c[0]), -c[1], c[0]))
@@ -216,7 +217,8 @@ def telling_clues(rows: list[tuple[set[str], int]]) -> list[tuple[str, int]]:
 def word_model(chars: CharModel, rows: list[tuple[set[str], int]]) -> ToxicWords:
     clues = telling_clues(rows)
     y = np.array([r[1] for r in rows], float)
-    counts = [stem_counts(r[0]) for r in rows]
+    stems = {s for s, _ in clues}
+    counts = [stem_counts(r[0], stems) for r in rows]
     has = np.array([[n[s] >= k for s, k in clues] for n in counts], bool).reshape(len(rows), len(clues))
     chances = np.array([(y[own].sum() + 0.5) / (own.sum() + 1) for own in has.T])
     rest = ~has.any(1)
@@ -237,7 +239,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
 
     sample = training_sample(docs, labels, "toxic", ~held_out, id_col, text_col, most, SAMPLE_BYTES)
     found = sample.select("l_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(by_batch(make, schema), "l_id long, y int, words array<string>")
-    kept = [(r["l_id"], set(r["words"]), r["y"]) for r in found.toLocalIterator()]
+    same: dict[str, str] = {}  # one object a word
+    kept = [(r["l_id"], {same.setdefault(w, w) for w in r["words"]}, r["y"]) for r in found.toLocalIterator()]
+    del same
     rows = [(words, y) for _, words, y in sorted(kept, key=lambda r: (r[0], r[2], len(r[1])))]
     if not rows:
         return ToxicWords(chars, [], np.zeros(0), 0.5)
