@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import dot
+from tessera.sources.scratch import written
 
 #: Bytes of query vectors that are sent to every task at most; more go in blocks.
 MOST_QUERY_BYTES = 32 << 20

@@ -211,6 +211,15 @@ def test_vectors(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in batch} == {(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 3), (3, 1, 3), (3, 2, 2)}
 
 
+def test_batch_in_blocks(spark, monkeypatch):
+    own = spark.range(40).select(F.col("id").alias("vec_id"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).cast("float") for i in range(4)]).alias("embedding"))
+    asked = own.withColumnRenamed("vec_id", "query_id")
+    found = lambda: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vectors.batch_top_k(own, asked, 3).collect())
+    whole = found()
+    monkeypatch.setattr(vectors, "MOST_QUERY_BYTES", 40 * 4 * 8 // 3)
+    assert len(whole) == 120 and found() == whole
+
+
 def test_calibration(spark):
     own = spark.createDataFrame([("relevant", 0.6), ("relevant", 0.5), ("irrelevant", 0.2), ("irrelevant", 0.3)], "kind string, score double")
     r = vectors.calibration(own).first()
