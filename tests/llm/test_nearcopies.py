@@ -57,6 +57,15 @@ def test_stage_removes_edited_copies(spark):
     assert len(kept) < len(by_simhash)
 
 
+def test_repeated_doc_ids(spark):
+    """A unique text stays though its doc_id has a near copy too; of repeated rows one stays; without doc_id all stay."""
+    (_, base), (_, other), (_, third) = [edited_rows()[i] for i in (0, 19, 38)]
+    copy = base + " more"
+    rows = [(1, base), (1, base), (5, copy), (5, other), (7, third), (7, third), (7, third), (None, base), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(docs_of(corpus_pipeline.near_stage(spark, docs, ""), "doc_id", "text"), key=repr) == sorted([(1, base), (5, other), (7, third), (None, base), (None, base)], key=repr)
+
+
 def test_messy_rows(spark, messy, empty):
     docs = messy.select("doc_id", "text").where("doc_id is not null").dropDuplicates()
     rows = docs_of(docs, "doc_id", "text")
