@@ -20,6 +20,7 @@ from tessera.llm.quality import held_out_rows, training_sample
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "á": "a", "à": "a", "â": "a", "ä": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "ì": "i", "î": "i", "ï": "i", "ó": "o", "ò": "o", "ô": "o", "ö": "o", "ú": "u", "ù": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n"}
 #: Signs between the letters of a word that is spaced out.
 GAPS = " .-_*~"
+GAP = re.compile(f"[{re.escape(GAPS)}]+")
 #: Symbols of the language model: 0 for all that is no letter, a to z, and one for bytes beyond ASCII.
 SYMBOLS, ORDER = 28, 4
 CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
@@ -87,22 +88,23 @@ def readings(sign: str) -> list[tuple[str, float]]:
     return out or [("", COST_LEET)]
 
 
-def decode(span: str, model: CharModel) -> str:
+def decode(span: str, model: CharModel, split: bool = False) -> str:
     """The cheapest reading of a lower-cased span as one word: Viterbi over its lattice, states the last three symbols and
-    the last letter's run. A letter that repeats the one before may be kept or dropped."""
+    the last letter's run. A letter that repeats the one before may be kept or dropped. With split a gap may also be read
+    as the boundary of two words, a space."""
     states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
     mod = SYMBOLS ** (ORDER - 1)
     for sign in span:
         after: dict[tuple[int, str], tuple[float, str]] = {}
         for (context, last), (cost, word) in states.items():
-            for letter, charge in readings(sign):
+            for letter, charge in readings(sign) + ([(" ", 0.0)] if split and sign in GAPS else []):
                 ways = [(letter, charge)]
                 if letter and letter == last:
                     ways.append(("", COST_REPEAT))
                 for kept, price in ways:
                     to, total = (context, last), cost + price
                     if kept:
-                        code = ord(kept) - 96 if "a" <= kept <= "z" else 27
+                        code = ord(kept) - 96 if "a" <= kept <= "z" else 0 if kept == " " else 27
                         total += model.cost(context, code)
                         to = (context * SYMBOLS + code) % mod, kept
                     if to not in after or total < after[to][0]:
@@ -132,15 +134,16 @@ def restored(text: str, model: CharModel, memo: dict[str, str]) -> set[str]:
 
 def lattice_pattern(stems: list[str]) -> re.Pattern | None:
     """Matches every span whose lattice holds a word that begins with a stem: each letter, or a sign that may stand for
-    it, once or more, with gaps between all or none, no letter or digit before."""
+    it, once or more, with or without a gap after any of them, no letter or digit before."""
     if not stems:
         return None
     sign = {c: "[" + re.escape(c) + "".join(re.escape(s) for s, reads in LEET.items() if c in reads) + "]" for w in stems for c in w}
-    gap = f"[{re.escape(GAPS)}]{{1,2}}"
+    gap = f"(?:[{re.escape(GAPS)}]{{1,2}})?"
     ways = []
-    for w in sorted(stems):
+    for w in sorted(stems, key=lambda w: (-len(w), w)):  # the longest first: a spaced word's span ends with its stem
         own = [sign[c] for c in re.sub(r"(.)\1+", r"\1", w)]  # a doubled letter is one that repeats
-        ways += [f"(?<={own[0]}){own[0]}*" + "".join(f"{x}+" for x in own[1:]), f"(?<={own[0]})" + "".join(f"{gap}{x}+" for x in own[1:])]
+        last = own[-1] + ("+" if w[-1:] != w[-2:-1] else f"(?:{gap}{own[-1]})*")  # the next word may begin with the last letter
+        ways.append(f"(?<={own[0]})(?:{gap}{own[0]})*" + "".join(f"{gap}{x}(?:{gap}{x})*" for x in own[1:-1]) + (gap + last if own[1:] else ""))
     first = "".join(sorted({sign[w[0]][1:-1] for w in stems}))
     return re.compile(f"[{first}](?<![^\\W_].)(?:" + "|".join(ways) + r")[^\W_]*")  # the first letter by itself lets the scan skip fast
 
@@ -154,7 +157,7 @@ class ToxicWords:
         self.chars, self.clues, self.chances, self.base = chars, clues, chances, base
         self.stems = {s for s, _ in clues}
         self.pattern = lattice_pattern(sorted(self.stems))
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, list[str]] = {}
 
     def __getstate__(self):
         return self.chars, self.clues, self.chances, self.base
@@ -175,10 +178,17 @@ class ToxicWords:
                 if span not in self.memo:
                     if len(self.memo) > 100_000:
                         self.memo.clear()
-                    self.memo[span] = span if self.known(span) else decode(span, self.chars)
-                out.add(self.memo[span])
+                    self.memo[span] = self.read(span)
+                out.update(self.memo[span])
         return out
 
+    def read(self, span: str) -> list[str]:
+        """The words of a span. Where only single letters stand between gaps it is one word; else the decoder chooses."""
+        pieces = GAP.split(span)
+        if len(pieces) == 1:
+            return [span if self.known(span) else decode(span, self.chars)]
+        return decode(span, self.chars, any(len(set(x)) > 1 for x in pieces)).split()
+
     def score(self, text: str | None) -> float:
         n = stem_counts(self.found(text or ""))
         return float(1 - (1 - self.base) * np.prod([1 - c for (s, k), c in zip(self.clues, self.chances, strict=True) if n[s] >= k]))

@@ -370,6 +370,18 @@ def test_toxicity_restores_words(spark):
     assert all(out[i] == int(i % 5 == 0) for i in range(800))
 
 
+def test_toxicity_reads_gaps_anywhere():
+    text = "you asshole moron, as shown in the show more on the moor only as she was " * 50
+    code = toxicity.CODE[np.frombuffer(text.encode(), np.uint8)]
+    grams, counts = np.unique([int(a) * 28**3 + int(b) * 28**2 + int(c) * 28 + int(d) for a, b, c, d in zip(code, code[1:], code[2:], code[3:])], return_counts=True)  # noqa: B905
+    model = toxicity.ToxicWords(toxicity.CharModel(grams, counts), [("assh", 1), ("moro", 1), ("moron", 1)], np.array([0.9, 0.9, 0.9]), 0.01)
+    for odd in ("a s s h o l e", "m o o r o n", "mor on", "m.o.ron", "moron", "m 0 r 0 n"):
+        assert model.score(f"you {odd} you") > 0.8, odd
+    for clean in ("as shown in the show", "as she was", "the moor only", "more on the"):
+        assert model.score(clean) < 0.1, clean
+    assert model.found("moron nice") >= {"moron"}
+
+
 @pytest.mark.parametrize("least", [0, 50])
 def test_warc_round_trip(spark, least):
     r = np.random.default_rng(9)
