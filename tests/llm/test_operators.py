@@ -190,31 +190,45 @@ def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.standard_normal(12)]) for i in range(300)] + [(i, [0.5] * 12) for i in range(300, 330)]
     rows += [(400, None), (420, [1.0, None]), (440, [float("nan")] * 12), (460, [float("inf")] * 12), (480, [0.25] * 5), (500, []), (None, [1.0] * 12), rows[20], rows[21]]
+    rows += [(520, [float(x) for x in r.standard_normal(12)]), (520, [3.0] * 12)]
     vectors = spark.createDataFrame([(*x, 9, 9) for x in rows], "vec_id long, embedding array<float>, score int, v int").repartition(3)
-    use = {i: np.floor(64 * np.float32(e).astype(float)) for i, e in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()}
-    use = {i: np.pad(e, (0, 12 - len(e))) for i, e in use.items()}
+    use = [(i, np.floor(64 * np.float32(e).astype(float))) for i, e in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()]
+    use = [(i, np.pad(e, (0, 12 - len(e)))) for i, e in use]
     want = []
-    for q in use:
+    for at, (q, own) in enumerate(use):
         if q % 20 == 0:
-            best = sorted((-int(use[q] @ use[c]), c) for c in use if c != q)[:20]
+            best = sorted((-int(own @ e), c) for j, (c, e) in enumerate(use) if j != at)[:20]
             want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
-    for block in (8192, 7):
-        assert plain(topk.top_k(vectors, lambda c: c % 20 == 0, query_block=block).collect()) == plain(want)
+    for block, seed in ((8192, 4096), (7, 40), (8192, 3)):
+        assert plain(topk.top_k(vectors, lambda c: c % 20 == 0, query_block=block, seed_rows=seed).collect()) == plain(want)
     assert topk.top_k(vectors.limit(0), lambda c: c % 20 == 0).collect() == []
     few = topk.top_k(vectors.where("vec_id < 3"), lambda c: c % 20 == 0)
     assert few.count() == 2
 
 
-def test_bounds_hold_and_prune():
+@pytest.mark.parametrize("most", [100, 1e6, 1e12])
+def test_bounds_hold_at_every_level(most):
     r = np.random.default_rng(4)
-    a, b = r.standard_normal((50, 64)) * 20, r.standard_normal((60, 64)) * 20
-    for s in topk.LEVELS:
-        assert (topk.statistics(a, s) @ topk.statistics(b, s).T * 1.0001 + 1e-3 >= a @ b.T).all()
-    block = topk.Block(np.arange(50), np.floor(a).astype(np.float32), 5)
-    groups = [np.floor(a + r.standard_normal(a.shape)), *(np.floor(r.standard_normal((200, 64)) * 3) for _ in range(5))]
-    for i, g in enumerate(groups):
-        block.offer(np.arange(len(g)) + 1000 * (i + 1), g.astype(np.float32))
-    assert block.exact < block.seen
+    for dim in (1, 3, 64):
+        a, b = np.floor(r.standard_normal((50, dim)) * most), np.floor(r.standard_normal((60, dim)) * most)
+        levels = topk.levels_of(a, dim, most)
+        (za, sa), (zb, sb) = levels.of(a), levels.of(b)
+        exact, room = a @ b.T, 1e-5 * np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        for t, x, y in zip(levels.singles, sa, sb, strict=True):
+            bound = za[:, :t] @ zb[:, :t].T + x @ y.T
+            assert (bound + room >= exact).all()
+
+
+def test_only_survivors_are_scored(spark):
+    """Most pairs are settled by their bounds, also where no direction stands out, and a basis makes the first levels tell."""
+    r = np.random.default_rng(7)
+    flat, steep = r.standard_normal((6000, 64)), r.standard_normal((6000, 64)) * 2.0 ** -np.arange(0, 16, 0.25)
+    turn, _ = np.linalg.qr(r.standard_normal((64, 64)))
+    for x, share in ((flat, 0.08), (steep @ turn, 0.05)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(2)
+        seen, exact = topk.pairs_scored(vectors, lambda c: c % 20 == 0)
+        assert seen == 300 * 6000 and exact < share * seen
 
 
 def test_token_counts(messy, clashing, empty):
