@@ -78,12 +78,12 @@ def score_texts(column: pa.Array, model: AttentionMIL) -> np.ndarray:
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str, text_col: str, most: int, most_bytes: int) -> DataFrame:
-    """text, y: documents of up to `most` labelled rows for which keep holds, in the order of a hash of the id; of texts
-    over most_bytes none is in it. The cut is made on the labels alone."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str, text_col: str, most: int) -> DataFrame:
+    """l_id, text, y: documents of up to `most` labelled rows for which keep holds, in the order of a hash of the id, texts of
+    any length. The cut is made on the labels alone."""
     rows = labels.where(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label).alias("y"))
     rows = rows.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
-    own = docs.select(F.col(id_col).cast("long").alias("l_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    own = docs.select(F.col(id_col).cast("long").alias("l_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return own.join(F.broadcast(rows), "l_id").select("l_id", "text", "y")  # at most `most` ids
 
 
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
         ends = np.append(first[1:], len(x))
         return batch.column(0), batch.column(2), [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, ends, strict=True)]
 
-    sample = training_sample(docs, labels, "quality", ~held_out, id_col, text_col, most, most_bytes)
+    sample = training_sample(docs, labels, "quality", ~held_out, id_col, text_col, most)
     rows = sample.select("l_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(by_batch(make, schema), "l_id long, y int, x binary").collect()
     rows.sort(key=lambda r: (r["l_id"], r["x"]))
     y = np.array([r["y"] for r in rows], np.float32)

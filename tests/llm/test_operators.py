@@ -396,6 +396,50 @@ def test_toxicity_reads_gaps_anywhere():
     assert model.found("moron nice") >= {"moron"}
 
 
+def _toxic_model():
+    text = "you asshole moron, illmoron, loser, as shown in the show more on the moor only as she was for a loss so later " * 50
+    code = toxicity.CODE[np.frombuffer(text.encode(), np.uint8)]
+    grams, counts = np.unique([int(a) * 28**3 + int(b) * 28**2 + int(c) * 28 + int(d) for a, b, c, d in zip(code, code[1:], code[2:], code[3:])], return_counts=True)  # noqa: B905
+    chars = toxicity.CharModel(grams, counts)
+    clues = [("assh", 1), ("illmoron", 1), ("loser", 1), ("moro", 1)]
+    return toxicity.ToxicWords(chars, clues, np.full(len(clues), 0.9), 0.01)
+
+
+def test_toxicity_decodes_whole_spans_with_gaps_anywhere():
+    model = _toxic_model()
+    for odd in ("mo ron", "m oron", "mo.ro n", "l" + "o" * 70 + "ser", "l" + " o" * 70 + " s e r", "l" + "0" * 3000 + "ser", "i1lmoron", "11moron"):
+        assert model.score(f"you {odd} you") > 0.8, odd[:80]
+    for clean in ("a loss", "so later", "more on", "moor only", "lo" * 40, "see the lo sergeant"[:10]):
+        assert model.score(f"you {clean} you") < 0.1, clean
+    for endless in ("|" * 200_000, "l " * 200_000, "1" * 200_000, "m o " * 50_000, "l" + " o" * 200_000, "a s s " * 50_000):
+        assert model.score(endless) < 0.1
+
+
+def test_viterbi_finds_the_cheapest_reading():
+    """Against all readings of short spans: each sign read, dropped as a gap or a repeat, or taken as a boundary."""
+    model = _toxic_model().chars
+
+    def every(span, split, context=0, last=""):
+        if not span:
+            yield model.cost(context, 0), ""
+            return
+        sign = span[0]
+        for letter, charge in toxicity.readings(sign) + ([(" ", toxicity.COST_WORD)] if split and sign in toxicity.GAPS else []):
+            for kept, price in [(letter, charge)] + ([("", toxicity.COST_REPEAT)] if letter and letter == last else []):
+                code = (ord(kept) - 96 if "a" <= kept <= "z" else 0 if kept == " " else 27) if kept else None
+                to, now = ((context * 28 + code) % 28**3, kept) if kept else (context, last)
+                for cost, rest in every(span[1:], split, to, now):
+                    yield cost + price + (model.cost(context, code) if kept else 0), kept + rest
+
+    for span in ("m0r0n", "mo ron", "l00ser", "a s s h", "1l1", "lo.ser", "sh0w", "é1!", "||", "mooor"):
+        for split in (False, True):
+            costs = {}
+            for cost, word in every(span, split):
+                costs[word] = min(cost, costs.get(word, np.inf))
+            best = min(costs.values())
+            assert abs(costs[toxicity.decode(span, model, split)] - best) < 1e-4, (span, split)
+
+
 @pytest.mark.parametrize("least", [0, 50])
 def test_warc_round_trip(spark, least):
     r = np.random.default_rng(9)
