@@ -34,7 +34,7 @@ SAMPLE = 6000
 STEM, TIMES = range(4, 13), (1, 2, 3)
 LEAST_DOCS, DEVIATIONS, SHARE, LEAST_WORDS = 6, 5.0, 0.9, 6
 #: Rows of one label are copies if they share their least hash of a word of so many letters, and this share of their words.
-COPY_LETTERS, COPY_SHARE = 8, 0.5
+COPY_LETTERS, COPY_SHARE, SALTS = 8, 0.5, 32
 PIECE = 1 << 22
 
 
@@ -287,14 +287,17 @@ def _counted(rows: DataFrame, only: set[tuple[str, int]] | None = None) -> DataF
 
 
 def _without_copies(rows: DataFrame) -> DataFrame:
-    """Rows (l_id, y, words) without those that share COPY_SHARE of their words with the first row of their label and least hash."""
+    """Rows (l_id, y, words) without those that share COPY_SHARE of their words with the first row of their label and least
+    hash. A large group of copies is dealt over SALTS tasks, each with the group's first row."""
     long = F.filter("words", lambda w: F.length(w) >= COPY_LETTERS)
     keyed = rows.withColumn("key", F.coalesce(F.array_min(F.transform(long, lambda w: F.xxhash64(w))), -F.size("words").cast("long")))
-    first = keyed.groupBy("y", "key").agg(F.min("l_id").alias("f_id"))
-    ahead = keyed.join(first, ["y", "key"])
-    heads = ahead.where("l_id = f_id").groupBy("y", "key").agg(F.first("words").alias("head"))
+    first = keyed.groupBy("y", "key").agg(F.min("l_id").alias("f_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = written(keyed.join(F.broadcast(first), ["y", "key"], "left"), "copy-groups")  # as many ids as the sample has rows at most
+    heads = marked.where("l_id = f_id").groupBy("y", "key").agg(F.first("words").alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.where("l_id != f_id").withColumn("salt", F.pmod(F.xxhash64("l_id"), F.lit(SALTS)).cast("int"))
     shared = F.size(F.array_intersect("words", "head"))
-    return ahead.join(heads, ["y", "key"]).where((F.col("l_id") == F.col("f_id")) | (shared < COPY_SHARE * F.greatest(F.size("words"), F.size("head")))).select("l_id", "y", "words")
+    others = salted.join(heads, ["y", "key", "salt"]).where(shared < COPY_SHARE * F.greatest(F.size("words"), F.size("head")))
+    return marked.where("f_id is null or l_id = f_id").select("l_id", "y", "words").unionByName(others.select("l_id", "y", "words"))
 
 
 def telling_clues(rows: DataFrame) -> list[tuple[str, int]]:
