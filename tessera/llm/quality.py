@@ -10,18 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_batch, prepare, utf8
-from tessera.llm.model import AttentionMIL
+from tessera.llm.common import prepare, utf8, written
+from tessera.llm.model import Adam, AttentionMIL
 
 #: Bytes of a passage, and bins into which its byte pairs are hashed.
 PASSAGE, BINS = 512, 512
 #: Distances at which a passage is held against itself: words that repeat agree at their own length.
 LAGS = range(2, 17)
 FEATURES = BINS + len(LAGS) + 1
-#: Labelled documents in the training sample at most, and bytes of each of them.
-SAMPLE, SAMPLE_BYTES = 5000, 1 << 16
+#: Labelled documents in the training sample at most, of any length.
+SAMPLE = 5000
+#: Parts of the sample that are trained on side by side, rounds after which their weights are averaged, passes over a batch
+#: in each round, and the first round's rate.
+SHARDS, ROUNDS, PASSES, RATE = 4, 6, 4, 0.004
 #: Passages encoded at once; a longer text goes on in the next block.
-BLOCK = 8192
+BLOCK = 2048
 
 
 def _folded() -> np.ndarray:
@@ -64,18 +67,30 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first[:-1]
 
 
-def score_texts(column: pa.Array, model: AttentionMIL) -> np.ndarray:
-    """One score a text. Texts are encoded a few at a time, so memory follows the longest one."""
-    out = np.empty(len(column))
-    data, starts = utf8(column)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK * PASSAGE // 4, "right")) - 1)
-        j = min(j, len(column))
-        x, first = encode(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-        out[i:j] = model.forward(x, first)["p"]
+def encoded(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, passages of it) in order, BLOCK passages at most at a time: memory does not follow the longest text."""
+    i, room = 0, BLOCK * PASSAGE
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + room, "right")) - 1)
+        if j == i + 1 and starts[j] - starts[i] > room:
+            for a in range(starts[i], starts[j], room):  # cuts between passages; the bytes that a passage is held against follow
+                b, more = min(a + room, starts[j]), min(a + room + LAGS[-1], starts[j])
+                x, _ = encode(data[a:more], np.array([0, more - a]))
+                yield i, x[: -(-(b - a) // PASSAGE)]
+        else:
+            x, first = encode(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(x)), strict=True)):
+                yield i + k, x[a:b]
         i = j
-    return out
+
+
+def score_texts(column: pa.Array, model: AttentionMIL) -> np.ndarray:
+    """One score a text, by all its passages. What is kept of a passage is its hidden representation."""
+    hidden, size = [], np.zeros(len(column), np.int64)
+    for i, x in encoded(*utf8(column)):
+        hidden.append(model.hidden(x))
+        size[i] += len(x)
+    return model.attend(np.concatenate(hidden), np.concatenate(([0], np.cumsum(size)[:-1])))["p"]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str, text_col: str, most: int) -> DataFrame:
@@ -87,25 +102,58 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return own.join(F.broadcast(rows), "l_id").select("l_id", "text", "y")  # at most `most` ids
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> AttentionMIL | None:
-    """Fits the model on a bounded sample of the rows that are not held out; passages are encoded where the texts are.
-    None if the sample lacks labels of either kind."""
-    prepare(docs.sparkSession)
-    schema = pa.schema([("l_id", pa.int64()), ("y", pa.int32()), ("x", pa.binary())])
-
-    def make(batch: pa.RecordBatch):
-        data, starts = utf8(batch.column(1))
-        x, first = encode(data, starts)
-        ends = np.append(first[1:], len(x))
-        return batch.column(0), batch.column(2), [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, ends, strict=True)]
-
-    sample = training_sample(docs, labels, "quality", ~held_out, id_col, text_col, most)
-    rows = sample.select("l_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(by_batch(make, schema), "l_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (r["l_id"], r["x"]))
-    y = np.array([r["y"] for r in rows], np.float32)
-    if not 0 < y.sum() < len(y):
+TRAINED = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
+
+
+def _trainer(shared, number: int):
+    """Of each part of the sample: the weights after a round over it, batch by batch, begun with the weights of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = model = opt = r = None
+        n = 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n]), pa.array([model.flat().tobytes()], pa.binary())], schema=TRAINED)
+
+        for batch in batches:
+            shards = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if shards[a] != shard:
+                    if n:
+                        yield done()
+                    shard, n, model = int(shards[a]), 0, AttentionMIL(FEATURES).put(shared.value)
+                    opt, r = Adam(model.w, RATE * (1 - number / ROUNDS)), np.random.default_rng([11, number, shard])
+                bags: list[list[np.ndarray]] = [[] for _ in range(b - a)]
+                for i, x in encoded(*utf8(batch.column(2).slice(a, b - a))):
+                    bags[i].append(x.astype(np.float16))
+                model.steps(bags, np.asarray(batch.column(1))[a:b].astype(np.float32), opt, r, PASSES)
+                n += b - a
+        if n:
+            yield done()
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> AttentionMIL | None:
+    """Fits the model on a bounded sample of the rows that are not held out. Texts stay where they are: the sample's parts are
+    trained on side by side, and after each round the driver receives their weights and averages them. None if the sample
+    lacks labels of either kind."""
+    spark = prepare(docs.sparkSession)
+    shard = F.pmod(F.xxhash64("l_id", F.lit(3)), F.lit(SHARDS)).cast("int")
+    rows = training_sample(docs, labels, "quality", ~held_out, id_col, text_col, most).select(shard.alias("shard"), F.col("y").cast("int").alias("y"), "text", "l_id")
+    sample = written(rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("l_id"), "l_id", F.xxhash64("text")).drop("l_id"), "quality-sample")
+    kinds = sample.agg(F.min("y"), F.max("y")).first()
+    if kinds[0] is None or kinds[0] == kinds[1]:
         return None
-    return AttentionMIL(FEATURES).fit([np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in rows], y)
+    model = AttentionMIL(FEATURES)
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model.flat())
+        parts = sorted(sample.mapInArrow(_trainer(shared, number), "shard int, n long, w binary").collect(), key=lambda p: (p["shard"], p["n"], bytes(p["w"])))  # a few sets of weights
+        model.put(np.average([np.frombuffer(p["w"], np.float32) for p in parts], axis=0, weights=[p["n"] for p in parts]))
+    return model
 
 
 def scorer(spark, model: AttentionMIL | None):
