@@ -88,6 +88,60 @@ def test_a_text_is_encoded_alike_in_any_company():
     assert together.shape[1] == quality.FEATURES and together[first[2], -1] > 0.9
 
 
+def test_long_texts_are_encoded_block_by_block(monkeypatch):
+    from tessera.llm.common import utf8
+
+    import pyarrow as pa
+
+    texts = ["ab c" * 900, "", "x y " * 40, "Shti Sh" * 3000, None, "q" * 512, "w" * 1024, "é" * 1500]
+    data, starts = utf8(pa.array(texts))
+    whole, first = quality.encode(data, starts)
+    for block in (1, 2, 3, 7, 2048):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        parts = list(quality.encoded(data, starts))
+        assert [i for i, _ in parts] == sorted(i for i, _ in parts) and max(len(x) for _, x in parts) <= block
+        ends = [*first[1:].tolist(), len(whole)]
+        for i in range(len(texts)):
+            own, want = np.concatenate([x for j, x in parts if j == i]), whole[first[i] : ends[i]]
+            assert np.array_equal(own, want)
+
+
+def test_scores_equal_plain_loops():
+    """The forward pass, on given weights, by its definition, passage by passage."""
+    import math
+
+    import pyarrow as pa
+
+    model = quality.AttentionMIL(quality.FEATURES)
+    texts = ["Some words, " * 200, "", None, "x", "BUY!! now $$$ " * 90]
+    for text, score in zip(texts, quality.score_texts(pa.array(texts), model), strict=True):
+        raw = (text or "").encode()
+        rows = []
+        for a in range(0, max(1, len(raw)), quality.PASSAGE):
+            p = raw[a : a + quality.PASSAGE]
+            after = [*raw[a + 1 : a + len(p) + 1], 0][: len(p)]
+            row, half = [0.0] * quality.FEATURES, quality.BINS // 2
+            for x, y in zip(p, after, strict=True):
+                row[((x * 31 + y * 2654435761) >> 7) % half] += 1
+                row[half + (int(quality.KIND[x]) * 37 + int(quality.KIND[y])) % half] += 1
+            size = max(1, len(p))
+            row[: quality.BINS] = [math.sqrt(v / size) for v in row[: quality.BINS]]
+            for i, lag in enumerate(quality.LAGS, quality.BINS):
+                row[i] = sum(raw[j] == raw[j + lag] for j in range(a, a + len(p)) if j + lag < len(raw)) / size
+            row[-1] = max(row[quality.BINS : -1])
+            rows.append(row)
+        w = {k: v.astype(float) for k, v in model.w.items()}
+        hidden = [[math.tanh(sum(x * w["E"][i, j] for i, x in enumerate(row)) + w["e"][0, j]) for j in range(32)] for row in rows]
+        charge = []
+        for h in hidden:
+            t = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(32))) for j in range(16)]
+            g = [1 / (1 + math.exp(-sum(h[i] * w["G"][i, j] for i in range(32)))) for j in range(16)]
+            charge.append(math.exp(sum(t[j] * g[j] * w["u"][j, 0] for j in range(16))))
+        z = [sum(c * h[j] for c, h in zip(charge, hidden, strict=True)) / sum(charge) for j in range(32)]
+        want = 1 / (1 + math.exp(-(sum(z[j] * w["w"][j, 0] for j in range(32)) + w["b"][0, 0])))
+        assert abs(score - want) < 1e-4
+
+
 def test_attention_gradients():
     from tessera.llm.model import AttentionMIL
 
@@ -246,11 +300,35 @@ def test_transducer_and_scan_equal_the_library(monkeypatch):
     assert made.plain
     r = random.Random(2)
     signs, parts = "ab the ing  \n\t▁éßçø日本語🙂\0<s>1239 .,;'’", ["the", "of", "ing", "▁", " ", "  ", "\n", "hello", "world", "日本", "    ", "</s>", "aaaaaaa"]
-    for size in (1 << 20, 7):
-        monkeypatch.setattr(tokencount, "CHUNK", size)
-        for i in range(1500):
-            text = "".join(r.choice(signs) for _ in range(r.randint(0, 30))) if i % 2 else "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-            assert made.count(text) == len(made.library.encode(text)), repr(text)
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) if i % 2 else "".join(r.choice(parts) for _ in range(r.randint(0, 12))) for i in range(1500)]
+    texts += ["", " ", "  ", "\n", " \n ", "  \n  \n", "a" * 5000, "Supercalifragilistic" * 40, "the " * 700, "x  y" * 300, "\n" * 500]
+    want = [len(made.library.encode(x)) for x in texts]
+    for chunk, block in ((192, 1 << 20), (1, 1 << 20), (7, 40), (3, 1), (64, 1000)):
+        monkeypatch.setattr(tokencount, "CHUNK", chunk)
+        monkeypatch.setattr(tokencount, "BLOCK", block)
+        got = made.counts(texts).tolist()
+        assert got == want, [(x, g, w) for x, g, w in zip(texts, got, want, strict=True) if g != w][:5]
+    assert [made.count(x) for x in texts[:200]] == want[:200]
+
+
+def test_a_chunks_map_is_asked_at_the_state_before_it():
+    """The maps of all cuts of a word compose to the word's own."""
+    made = tokencount.Transducer(PIECES)
+    for word in ("▁international", "▁understandings", "▁Thequickbrownfoxjumps"):
+        whole = made.run(tokencount.START, word)
+        for i in range(1, len(word)):
+            at, n = made.run(tokencount.START, word[:i])
+            to, more = made.run(at, word[i:])
+            assert (to, n + more) == whole
+        assert whole[1] == len(made.library.encode(word[1:]))
+
+
+@pytest.mark.parametrize("most", [50])
+def test_states_start_anew(monkeypatch, most):
+    monkeypatch.setattr(tokencount, "MOST_STATES", most)
+    made = tokencount.Transducer(PIECES)
+    for text in ("the cat sat on the mat " * 20, "Völlig andere Wörter kommen hier", "und noch mehr davon"):
+        assert made.count(text) == len(made.library.encode(text))
 
 
 @pytest.mark.parametrize(("together", "cuts"), [(1024, (24, 6)), (1, (24, 6)), (1, ())])
