@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,62 +14,151 @@ from pyspark.sql import functions as F
 from tessera.llm.common import by_batch, prepare, row_key, texts_of, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton, which takes some hundred times as many; a larger benchmark is scanned for in
-#: so many blocks.
-BLOCK_BYTES = 1 << 18
+#: Bytes of benchmark text in one automaton, which takes about 20 times as many and is sent to all workers. Only a benchmark
+#: beyond this is scanned for in blocks, an automaton and a pass each.
+BLOCK_BYTES = 1 << 25
+#: Words of a stretch, and bytes of a text that are split into words at once.
+STRETCH, PART = 64, 1 << 20
+_BREAK = np.array([-1], np.int32)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lower-cases A-Z and makes a space of every ASCII byte that no word has.
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(NORMAL).split()
-
-
-def windows_of(items: list[tuple[object, bytes]], width: int = WINDOW) -> dict[str, list[str]]:
-    """Each window as the automaton sees it, words between spaces, with the item ids that have it."""
-    found: dict[str, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            found[" " + b" ".join(words[i : i + width]).decode("latin-1") + " "].add(str(item))
-    return {k: sorted(v) for k, v in found.items()}
-
-
-_BUILT: dict[int, ahocorasick.Automaton] = {}
-
-
-def automaton(key: int, windows: dict[str, list[str]]) -> ahocorasick.Automaton:
-    """Built once in a worker for each broadcast."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        made = ahocorasick.Automaton()
-        for pattern, items in windows.items():
-            made.add_word(pattern, (pattern.count(" ") - 1, items))
-        if windows:
-            made.make_automaton()
-        _BUILT[key] = made
-    return _BUILT[key]
-
-
-def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """The number of words, the runs of hit words (first, end) in order, and the items with a window here."""
-    words = words_of(text)
-    if not words or not len(machine):
-        return len(words), [], []
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    at = word = 0
-    for end, (width, which) in machine.iter(line):
-        word += line.count(" ", at, end)  # words that end before this place
-        at = end
-        items.update(which)
-        first = word - width
-        while runs and first <= runs[-1][1]:  # a shorter item may end here after a longer one began earlier
-            first = min(first, runs.pop()[0])
-        runs.append((first, word))
-    return len(words), runs, sorted(items)
+class _Vocabulary(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+class Automaton:
+    """An Aho-Corasick automaton over word numbers, as arrays. Its trie holds each run of up to `width` words of an item;
+    nodes are numbered level by level in the order of (parent, word), so the sorted edges need no targets: the node behind
+    edge i is i + 1. As the trie holds every run's ends too, the node to fall back to is that of the run without its first
+    word. Patterns are the windows, all on the last level, and whole items of fewer words; `shorter` leads from a node to the
+    next pattern among those it falls back to. It takes 16 bytes for each different run."""
+
+    def __init__(self, items: list[tuple[object, bytes]], width: int = WINDOW):
+        self.width = width
+        self.words: dict[bytes, int] = {}
+        self.items = sorted({str(i) for i, _ in items})
+        number, own, texts = {x: i for i, x in enumerate(self.items)}, [], []
+        for item, text in items:
+            ids = [self.words.setdefault(w, len(self.words)) for part in _parts(text) for w in part]
+            if ids:
+                own.append(number[str(item)])
+                texts.append(np.array(ids, np.int64))
+        sizes = np.array([len(x) for x in texts], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64)
+        w = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        item = np.repeat(np.array(own, np.int64), sizes)
+        room = np.minimum(width, np.repeat(starts + sizes, sizes) - np.arange(len(w)))
+        node, edges, back = np.zeros(len(w) + 1, np.int64), [], [np.zeros(1, np.int32)]
+        nodes, holds, self.levels = 1, [], [0, 1]
+        for depth in range(1, width + 1):
+            at = np.flatnonzero(room >= depth)
+            key, one, place = np.unique(node[at] << 32 | w[at + depth - 1], return_index=True, return_inverse=True)
+            back.append(node[at[one] + 1].astype(np.int32) if depth > 1 else np.zeros(len(key), np.int32))
+            node = np.zeros(len(w) + 1, np.int64)
+            node[at] = nodes + place
+            edges.append(key)
+            nodes += len(key)
+            self.levels.append(nodes)
+            whole = at if depth == width else starts[sizes == depth]
+            holds.append(np.unique(node[whole] << 32 | item[whole]))
+        self.edges, self.back = np.concatenate(edges) if edges else np.zeros(0, np.int64), np.concatenate(back)
+        pairs = np.concatenate(holds) if holds else np.zeros(0, np.int64)  # in the order of nodes
+        self.patterns, first = np.unique(pairs >> 32, return_index=True)
+        self.first, self.held = np.append(first, len(pairs)), (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.shorter = None
+        if (sizes < width).any():
+            is_pattern = np.zeros(nodes, bool)
+            is_pattern[self.patterns] = True
+            self.shorter = np.zeros(nodes, np.int32)
+            for a, b in zip(self.levels[1:], self.levels[2:], strict=False):
+                to = self.back[a:b]
+                self.shorter[a:b] = np.where(is_pattern[to], to, self.shorter[to])
+
+    def __len__(self) -> int:
+        return len(self.edges)
+
+    def word_ids(self, text: bytes) -> np.ndarray:
+        """The numbers of a text's words, -1 for words that no item has."""
+        if not isinstance(self.words, _Vocabulary):
+            self.words = _Vocabulary(self.words)
+        return np.concatenate([np.fromiter(map(self.words.__getitem__, part), np.int32, len(part)) for part in _parts(text)])
+
+    def _next(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(state), np.int64)
+        lane = np.flatnonzero(word >= 0)
+        s, w = state[lane], word[lane].astype(np.int64)
+        while len(lane):
+            root = s == 0
+            out[lane[root]] = w[root] + 1  # the first level has all words, in order
+            lane, s, w = lane[~root], s[~root], w[~root]
+            key = s << 32 | w
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            goes = self.edges[at] == key
+            out[lane[goes]] = at[goes] + 1
+            lane, w, s = lane[~goes], w[~goes], self.back[s[~goes]].astype(np.int64)
+        return out
+
+    def states(self, words: np.ndarray) -> np.ndarray:
+        """The state behind each word. Stretches of STRETCH words run side by side; a state follows from the last `width` words,
+        so each begins that many words earlier, less one, at the root."""
+        ahead, n = self.width - 1, -(-len(words) // STRETCH)
+        padded = np.full(ahead + n * STRETCH, -1, np.int32)
+        padded[ahead : ahead + len(words)] = words
+        begin, state = np.arange(n) * STRETCH, np.zeros(n, np.int64)
+        out = np.empty((STRETCH, n), np.int32)
+        for t in range(STRETCH + ahead):
+            state = self._next(state, padded[begin + t])
+            if t >= ahead:
+                out[t - ahead] = state
+        return out.T.ravel()[: len(words)]
+
+    def hits(self, states: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first word, end, items) of each pattern that occurs."""
+        ends = np.flatnonzero(np.isin(states, self.patterns) | (self.shorter[states] > 0 if self.shorter is not None else False))
+        for end in ends.tolist():
+            s = int(states[end])
+            while s:
+                i = int(np.searchsorted(self.patterns, s))
+                if i < len(self.patterns) and self.patterns[i] == s:
+                    depth = int(np.searchsorted(self.levels, s, "right")) - 1
+                    yield end + 1 - depth, end + 1, self.held[self.first[i] : self.first[i + 1]]
+                s = int(self.shorter[s]) if self.shorter is not None else 0
+
+
+def _parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, PART bytes or a little more at a time."""
+    text = text.translate(NORMAL)
+    a = 0
+    while True:
+        b = text.find(b" ", a + PART) if len(text) > a + PART else -1
+        yield text[a : b if b >= 0 else len(text)].split()
+        if b < 0:
+            return
+        a = b
+
+
+def scan_all(texts: list[bytes], machine: Automaton) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """Of each text the number of words, the runs of hit words (first, end) in order, and the items with a window in it."""
+    words = [machine.word_ids(x) for x in texts]
+    sizes = [len(x) for x in words]
+    if not len(machine):
+        return [(n, [], []) for n in sizes]
+    line = np.concatenate([x for own in words for x in (own, _BREAK)]) if words else np.zeros(0, np.int32)
+    begins = np.cumsum([0, *(n + 1 for n in sizes)])
+    out = [(n, [], set()) for n in sizes]
+    for first, end, items in machine.hits(machine.states(line)):
+        i = int(np.searchsorted(begins, first, "right")) - 1
+        out[i][1].append((first - int(begins[i]), end - int(begins[i])))
+        out[i][2].update(items.tolist())
+    return [(n, _merged(runs), [machine.items[i] for i in sorted(items)]) for n, runs, items in out]
+
+
+def scan(text: bytes, machine: Automaton) -> tuple[int, list[tuple[int, int]], list[str]]:
+    return scan_all([text], machine)[0]
 
 
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,12 +201,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
     passes = []
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(windows_of(items, width))
+        shared = spark.sparkContext.broadcast(Automaton(items, width))
 
         def make(batch: pa.RecordBatch, shared=shared):
-            machine, n, runs, spans, found = automaton(id(shared.value), shared.value), [], [], [], []
-            for text in texts_of(batch.column(3)):
-                words, hit, which = scan(text, machine)
+            texts, n, runs, spans, found = texts_of(batch.column(3)), [], [], [], []
+            for text, (words, hit, which) in zip(texts, scan_all(texts, shared.value), strict=True):
                 n.append(words)
                 runs.append([x for run in hit for x in run])
                 spans.append([x for span in original_spans(text, hit) for x in span] if hit else [])
@@ -151,7 +238,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     takes a pass for each block. Nulls as in contamination()."""
     spark = prepare(docs.sparkSession)
     for i, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        hit = _hit(spark.sparkContext.broadcast(windows_of(items, width)))
+        hit = _hit(spark.sparkContext.broadcast(Automaton(items, width)))
         docs = (written(docs, "uncontaminated") if i else docs).where(~hit(F.col(text_col)))
     return docs
 
@@ -159,9 +246,8 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 def _hit(shared):
     @F.pandas_udf("boolean")
     def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = automaton(id(shared.value), shared.value)
         for s in texts:
-            yield pd.Series([bool(scan((x or "").encode("utf-8", "surrogatepass"), machine)[1]) for x in s], dtype="bool")
+            yield pd.Series([bool(runs) for _, runs, _ in scan_all([(x or "").encode("utf-8", "surrogatepass") for x in s], shared.value)], dtype="bool")
 
     return hit
 
