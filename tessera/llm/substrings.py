@@ -1,16 +1,17 @@
-"""Removal of repeated substrings in the manner of prefix-free parsing.
+"""Removal of repeated substrings by prefix-free parsing.
 
 A rolling hash over K bytes sets triggers: of every window of L bytes the least hash in it (the last of equals) is the
 window's trigger, so each place's trigger follows from its own L bytes alone and equal windows have theirs at equal places.
 The windows of one trigger make a phrase, which overlaps the next one by the L - 1 bytes that windows need. The corpus is
 then a parse, a sequence of phrase occurrences, over a dictionary of distinct phrases. Two windows can only be equal if
-their phrases have the same trigger bytes:
-- a trigger that occurs once has nothing repeated in its phrase;
-- a phrase that occurs twice or more repeats with all of its windows, whatever the corpus' size;
-- where several phrases share a trigger, the order of their suffixes decides. Only classes of suffixes that agree in
-  their first L bytes matter, not the order among them, so each distinct phrase's suffixes are put into classes: together
-  where a trigger has few phrases; else phrases are cut into shorter ones, which meet only if they share the bytes that all
-  of their windows have, twice; and what is still too many is dealt out a row a suffix.
+their phrases have the same trigger bytes, so the corpus' order splits into that of each trigger's suffixes:
+- the parse puts the occurrences of a phrase side by side. As every L bytes lie in one phrase, its order behind the first
+  phrase never matters: a phrase that occurs twice or more repeats with all of its windows, and a trigger that occurs once
+  has nothing repeated in its phrase;
+- where several phrases share a trigger, the suffix array of the dictionary's phrases puts the windows in order: repeated
+  are those that agree with a neighbour in all L bytes. Phrases of a trigger that has very many are cut into shorter ones,
+  which meet only if they share the bytes that all of their windows have, twice; what is still too many is dealt out a row
+  a suffix.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ LENGTH, K = 200, 32
 #: Distinct phrases of a trigger that are compared in one row at most, and windows of the pieces into which the phrases of
 #: larger groups are cut, step by step.
 TOGETHER, CUTS = 1024, (24, 6)
+#: Bytes of phrases that are put in order together, about.
+ORDERED = 1 << 20
+#: Rows of a key that one task may have, unless it has less than a thousandth of all; and tasks that share a larger one.
+HOT, SALTS = 1000, 64
 #: Bytes hashed at once. A longer text goes on in the next block.
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
@@ -154,33 +159,86 @@ def extractor(length: int):
 SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of the `length` bytes from each on, and which of them have the same bytes as the one before.
+    By doubling: places are sorted by their first bytes, then those that tie by twice as many, and so on; a place's rank is
+    that of the first of its equals, so what is settled is not looked at again."""
+    width = min(8, length)
+    n = len(data) - width + 1
+    key = np.zeros(n, np.uint64)
+    for i in range(width):
+        key = key << np.uint64(8) | data[i : i + n]
+    order = np.argsort(key, kind="stable")
+    rank, tied = _ranked(np.zeros(n, np.int64), order, key[order], np.zeros(n, np.int64))
+    while width < length and len(tied):
+        step = min(width, length - width)
+        if width + step == length:  # only the starts themselves still matter
+            asked = np.zeros(n, bool)
+            asked[starts] = True
+            tied = tied[asked[tied]]
+        first, then = rank[tied], rank[np.minimum(tied + step, n - 1)]
+        own = np.lexsort((then, first))
+        rank, tied = _ranked(rank, tied[own], then[own], first[own])
+        width += step
+    order = starts[np.argsort(rank[starts], kind="stable")]
+    return order, np.append(False, rank[order[1:]] == rank[order[:-1]])[: len(order)]
+
+
+def _ranked(rank: np.ndarray, places: np.ndarray, key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks after places (in order, members of a group together) are told apart by their keys, and the places that still
+    tie, in order."""
+    n = len(places)
+    if not n:
+        return rank, places
+    new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
+    begin = np.append(True, group[1:] != group[:-1])
+    at = np.arange(n)
+    rank = rank.copy()
+    rank[places] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(begin, at, 0))
+    heads = np.flatnonzero(new)
+    return rank, places[np.repeat(np.diff(np.append(heads, n)) > 1, np.diff(np.append(heads, n)))]
+
+
+def repeated_suffixes(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, first, last) of each run of suffix starts in it whose `length` bytes another suffix of the pieces begins with."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    starts = np.flatnonzero(np.arange(len(data)) + length <= ends[piece])
+    if not len(starts):
+        return
+    order, same = suffix_array(data, starts, length)
+    shared = np.zeros(len(data), bool)
+    shared[order] = same | np.append(same[1:], False)
+    at = np.flatnonzero(shared)
+    if not len(at):
+        return
+    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(piece[at]) > 0)) + 1
+    first, last = at[np.concatenate(([0], cuts))], at[np.concatenate((cuts - 1, [len(at) - 1]))]
+    own = piece[first]
+    yield from zip(own.tolist(), (first - ends[own] + sizes[own]).tolist(), (last - ends[own] + sizes[own]).tolist(), strict=True)
+
+
 def classes_together(length: int):
-    """Of all phrases of a trigger: the runs of suffix starts whose classes have others. Those of phrases that occur again
-    are known to be repeated, and only stand for comparison."""
+    """Of all phrases of a trigger: the runs of suffix starts that share their bytes with neighbours in the order of the
+    dictionary's suffixes. Those of phrases that occur again in the parse are known to be repeated, and only stand for
+    comparison. Equal bytes have one trigger, so the phrases of several triggers are put in order together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for group in batch.column(0).to_pylist():
-                own = {(x["k1"], x["k2"], x["lo"]): x for x in group}
-                seen: dict[bytes, int] = {}
-                for x in own.values():
-                    for i in range(len(x["piece"]) - length + 1):
-                        w = x["piece"][i : i + length]
-                        seen[w] = seen.get(w, 0) + 1
-                for (k1, k2, lo), x in own.items():
-                    if x["alone"]:
-                        begin = None
-                        n = len(x["piece"]) - length + 1
-                        for i in range(n + 1):
-                            shared = i < n and seen[x["piece"][i : i + length]] > 1
-                            if shared and begin is None:
-                                begin = i
-                            elif not shared and begin is not None:
-                                out.append((k1, k2, lo + begin, lo + i - 1))
-                                begin = None
-            for i in range(0, len(out), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 8192], strict=True), SPANS, strict=True)], schema=SPANS)
+            groups, at = batch.column(0).to_pylist(), 0
+            while at < len(groups):
+                own, size = {}, 0
+                while at < len(groups) and (not size or size < ORDERED):
+                    for x in groups[at]:
+                        own[at, x["k1"], x["k2"], x["lo"]] = x
+                        size += len(x["piece"])
+                    at += 1
+                rows = list(own.values())
+                out = [(x["k1"], x["k2"], x["lo"] + a, x["lo"] + b) for i, a, b in repeated_suffixes([x["piece"] for x in rows], length) if (x := rows[i])["alone"]]
+                for i in range(0, len(out), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 8192], strict=True), SPANS, strict=True)], schema=SPANS)
 
     return run
 
@@ -208,19 +266,19 @@ def cutter(length: int, width: int):
     return run
 
 
-SUFFIXES = pa.schema([("trigger", pa.int64()), ("suffix", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
+SUFFIXES = pa.schema([("trigger", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32())])
 
 
 def suffix_rows(length: int):
-    """A row for each suffix of each phrase."""
+    """A row for each suffix of each phrase, named by 128 bits of its first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for trigger, alone, k1, k2, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 n = len(piece) - length + 1
-                names = np.array([digest(piece[i : i + length], 1) for i in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, trigger, np.int64)), pa.array(names), pa.array([alone] * n), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], schema=SUFFIXES)
+                names = np.frombuffer(b"".join(digest(piece[i : i + length], 1) for i in range(n)), np.int64).reshape(n, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, trigger, np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([alone] * n), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], schema=SUFFIXES)
 
     return run
 
@@ -260,18 +318,29 @@ def _classes(pieces: DataFrame, length: int, cuts: tuple[int, ...]) -> DataFrame
     found = groups.mapInArrow(classes_together(length), "k1 long, k2 long, lo int, hi int")
     many = sized.where("not few").select(columns)
     if not cuts:
-        suffixes = many.select("trigger", "alone", "k1", "k2", "lo", "piece").mapInArrow(suffix_rows(length), "trigger long, suffix long, alone boolean, k1 long, k2 long, at int")
-        several = suffixes.groupBy("trigger", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "suffix")
-        return found.unionByName(suffixes.where("alone").join(several, ["trigger", "suffix"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    cut_up = written(many.mapInArrow(cutter(length, cuts[0]), PIECES_DDL).withColumn("name", F.xxhash64("piece")), "cut")
-    equal = cut_up.groupBy("trigger", "name").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one"))
-    marked = cut_up.join(equal, ["trigger", "name"])
+        suffixes = many.select("trigger", "alone", "k1", "k2", "lo", "piece").mapInArrow(suffix_rows(length), "trigger long, s1 long, s2 long, alone boolean, k1 long, k2 long, at int")
+        several = suffixes.groupBy("trigger", "s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "s1", "s2")
+        return found.unionByName(suffixes.where("alone").join(several, ["trigger", "s1", "s2"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    cut_up = written(many.mapInArrow(cutter(length, cuts[0]), PIECES_DDL).withColumns({"n1": F.xxhash64("piece"), "n2": F.xxhash64(F.lit(3), "piece")}), "cut")
+    equal = cut_up.groupBy("trigger", "n1", "n2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one"))
+    marked = cut_up.join(equal, ["trigger", "n1", "n2"])
     again = marked.where("alone and n > 1").select("k1", "k2", "lo", (F.col("lo") + F.octet_length("piece") - length).alias("hi"))
     stands = (F.col("one.k1") == F.col("k1")) & (F.col("one.k2") == F.col("k2")) & (F.col("one.lo") == F.col("lo"))
     distinct = marked.where(stands).withColumn("alone", F.expr("alone and n = 1")).select(columns)
     return found.unionByName(again).unionByName(_classes(distinct, length, cuts[1:]))
 
 
+def _dealt(rows: DataFrame, marks: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with marks (one row a key, n: how many rows have it; n goes). Keys of over HOT rows, and of over a
+    thousandth of all of them (so a thousand keys at most), are dealt over SALTS tasks."""
+    total = marks.agg(F.sum("n")).first()[0] or 0
+    hot = marks.where(F.col("n") > max(HOT, total // 1000)).select(*on, F.lit(True).alias("hot"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = marks.drop("n").join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return salted.join(spread, [*on, "salt"]).drop("salt")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (begin and end of each maximal removed run, flat), kept (the bytes that are left). One row a
     row of docs. Removed: each byte that some `length`-byte string covers which also starts anywhere else, in the same text
@@ -283,14 +352,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k1, k2 = row_key("doc_id", "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
     parse = rows.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(parser(length, k), PARSE)
-    shared = parse.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1").select("trigger", (F.col("a") == F.col("b")).alias("same"))
-    again = written(parse.join(shared, "trigger"), "parse")  # little of the parse: triggers that occur again
-    mixed = again.where("not same")
-    dictionary = mixed.groupBy("trigger", "phrase").agg((F.count("*") == 1).alias("alone"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one"))
-    whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(mixed.join(dictionary.where("not alone").select("trigger", "phrase"), ["trigger", "phrase"]).select("k1", "k2", "lo", "hi"))
+    triggers = parse.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1")
+    shared = written(triggers.select("trigger", "n", (F.col("a") == F.col("b")).alias("same")), "triggers")
+    again = written(_dealt(parse, shared, ["trigger"]), "parse")  # little of the parse: triggers that occur again
+    mixed = again.where("not same").drop("same")
+    dictionary = written(mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")).withColumn("alone", F.col("n") == 1), "dictionary")
+    repeated = _dealt(mixed, dictionary.where("not alone").select("trigger", "phrase", "n"), ["trigger", "phrase"])
+    whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(repeated.select("k1", "k2", "lo", "hi"))
     asked = dictionary.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.lo", "one.hi", "one.at", "trigger", "alone")).alias("own"))
     text = rows.mapInArrow(packed, "k1 long, k2 long, doc_id long, z binary")
-    pieces = text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").mapInArrow(extractor(length), PIECES_DDL)
-    single = _classes(written(pieces.distinct(), "pieces"), length, CUTS)
-    gone = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    pieces = text.join(asked, ["k1", "k2"]).select("k1", "k2", "z", "own").dropDuplicates(["k1", "k2"]).mapInArrow(extractor(length), PIECES_DDL)
+    single = _classes(written(pieces, "pieces"), length, CUTS)
+    gone = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("own")).select("k1", "k2", F.col("own.lo").alias("lo"), F.col("own.hi").alias("hi"))
     return text.join(gone, ["k1", "k2"], "left").select("doc_id", "z", "lo", "hi").mapInArrow(remover(length), "doc_id long, n_bytes long, spans array<long>, kept binary")

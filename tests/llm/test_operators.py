@@ -373,6 +373,48 @@ def test_repeated_substrings(messy, clashing, empty, monkeypatch, together, cuts
     assert any(r[2] for r in out)
 
 
+@pytest.mark.parametrize("length", [1, 3, 8, 9, 20, 200])
+def test_suffix_array_of_phrases(length):
+    r = np.random.default_rng(length)
+    for signs, n in ((2, 40), (26, 400), (1, 300)):
+        base = bytes(r.integers(97, 97 + signs, 300, dtype=np.uint8))
+        pieces = [base[(a := int(r.integers(0, 60))) : a + int(r.integers(0, 240))] + bytes(r.integers(97, 97 + signs, int(r.integers(0, n)), dtype=np.uint8)) for _ in range(12)]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.arange(len(data) - length + 1)
+        order, same = substrings.suffix_array(data, starts, length)
+        own = [data[i : i + length].tobytes() for i in order]
+        assert own == sorted(own) and sorted(order) == starts.tolist()
+        assert same.tolist() == [i > 0 and own[i] == own[i - 1] for i in range(len(own))]
+        seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+        found = {(i, j) for i, a, b in substrings.repeated_suffixes(pieces, length) for j in range(a, b + 1)}
+        assert found == {(i, j) for i, p in enumerate(pieces) for j in range(len(p) - length + 1) if seen[p[j : j + length]] > 1}
+
+
+def brute_repeats(texts: list[tuple], length: int) -> list[tuple]:
+    seen = Counter(t[j : j + length] for _, t in texts for j in range(len(t) - length + 1))
+    want = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for j in range(len(t) - length + 1):
+            if seen[t[j : j + length]] > 1:
+                gone[j : j + length] = b"\1" * length
+        edges = [j for j in range(len(t) + 1) if (j < len(t) and gone[j]) != (j > 0 and gone[j - 1])]
+        want.append((i, len(t), tuple(edges), bytes(x for x, g in zip(t, gone, strict=True) if not g)))
+    return plain(want)
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_a_trigger_in_every_document_and_repeated_rows(spark, monkeypatch, hot):
+    """One short passage in all documents, one row a thousand times."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    r = np.random.default_rng(13)
+    some = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    passage = some(70)
+    rows = [(i, some(60) + passage + some(60)) for i in range(300)] + [(1000, some(90) + passage + some(300))] * 1000 + [(1001, "z" * 500), (1002, some(30) + passage)]
+    out = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=40)
+    assert plain(out.collect()) == brute_repeats([(i, t.encode()) for i, t in rows], 40)
+
+
 def test_repeats_across_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     long = "".join(chr(97 + x) for x in rng.integers(0, 26, 5000))
