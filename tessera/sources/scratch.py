@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder as the session names it; one of our own only where none is named."""
+    """The folder as the session names it. Where none is named a local session gets one of its own; a cluster, whose machines
+    would each see another one, an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         return spark.sparkContext.getCheckpointDir()
     if spark.sparkContext.getCheckpointDir() is None:

@@ -123,3 +123,20 @@ def test_streams(spark, tmp_path):
     assert index_stream.sessions(own, "k").count() == 2
     index_stream.merge_batches(stream.select("k", "value", "ts"), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], "ts").awaitTermination()
     assert {(r["k"], str(r["ts"])) for r in index_stream.latest_version(spark, str(tmp_path / "t")).collect()} == {(1, "2024-01-01 00:10:00"), (2, "2024-01-01 02:00:00")}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.sources.scratch import scratch
+
+    def session(master):
+        folders = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: folders[-1] if folders else None, setCheckpointDir=folders.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    for master in ("spark://a:7077", "yarn", "k8s://x", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            scratch(session(master))
+    for master in ("local", "local[8]", "local[*]", "local[4, 2]"):
+        assert scratch(session(master))
