@@ -48,6 +48,12 @@ class Archive:
         names = [c.split()[0] for c in TABLES[name].split(", ")]
         df.select(names).write.mode("overwrite").parquet(f"{self.root}/{name}/{after}")
 
+    @property
+    def indexes(self) -> search.Indexes:
+        """The keyword indexes, which sync() and index() keep up to date."""
+        own = lambda name, key, columns: KeywordIndex(self.spark, f"{self.root}/keyword/{name}", key, columns)
+        return search.Indexes(own("messages", "message_pk", search.MESSAGE_COLUMNS), own("chunks", "chunk_id", search.CHUNK_COLUMNS), own("bodies", "message_pk", ["body_text"]))
+
     # mail
 
     def sync(self, raw: DataFrame, full: bool = False, budget: int | None = None) -> DataFrame:

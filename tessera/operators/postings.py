@@ -89,7 +89,7 @@ def keyword_hits(docs: DataFrame, key: str, columns: list[str], plan: list[list[
 
 def _asked(plan: list[list[Phrase]]):
     """Whether any phrase asks for a term: a function of a term's column."""
-    slots = {(t, p.prefix and i == len(p.tokens) - 1) for phrases in plan for p in phrases for i, t in enumerate(p.tokens)}
+    slots = asked_terms(plan)
     whole, begun = sorted(t for t, prefix in slots if not prefix), sorted(t for t, prefix in slots if prefix)
     tests = [lambda c, x=x: c.startswith(x) for x in begun] + ([lambda c: c.isin(whole)] if whole else [])
     return lambda c: reduce(operator.or_, [t(c) for t in tests])
@@ -101,3 +101,14 @@ def index_hits(postings: DataFrame, lengths: DataFrame, plan: list[list[Phrase]]
         return postings.sparkSession.createDataFrame([], "variant int, doc_id long, score double")
     facts = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     return _scored(_occurrences(postings.where(_asked(plan)(F.col("term"))), plan), facts, plan, column)
+
+
+def asked_terms(plan: list[list[Phrase]]) -> set[tuple[str, bool]]:
+    """The plan's terms, and whether each may go on."""
+    return {(t, p.prefix and i == len(p.tokens) - 1) for phrases in plan for p in phrases for i, t in enumerate(p.tokens)}
+
+
+def scored_hits(postings: DataFrame, n: int, length: int, plan: list[list[Phrase]], column: str | None = None) -> DataFrame:
+    """keyword_hits() over postings of n rows that have `length` tokens together."""
+    facts = postings.sparkSession.createDataFrame([(n, length / n if n else 0.0)], "n long, avgdl double")
+    return _scored(_occurrences(postings.where(_asked(plan)(F.col("term"))), plan), facts, plan, column)

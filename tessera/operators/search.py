@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import snippet
 from tessera.operators import match
 from tessera.operators.filters import LEAST_TERM, Filters, all_terms, condition, contains
+from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.postings import keyword_hits
 from tessera.operators.vectors import threshold, top_k
 
@@ -18,32 +21,52 @@ SCOPE_COLUMN = {"subject": "subject", "sender": "sender", "recipient": "recipien
 SCOPE_LIKE = {"subject": ["subject"], "sender": ["sender", "sender_name"], "recipient": ["recipients"], "cc": ["cc"], "body": ["body_text"]}
 
 
+@dataclass(frozen=True)
+class Indexes:
+    """Written keyword indexes over messages, chunks and bodies; without one the texts are scanned."""
+
+    messages: KeywordIndex | None = None
+    chunks: KeywordIndex | None = None
+    bodies: KeywordIndex | None = None
+
+
+def _hits(rows: DataFrame, key: str, columns: list[str], plan: list[list[match.Phrase]], index: KeywordIndex | None, column: str | None = None) -> DataFrame:
+    return keyword_hits(rows, key, columns, plan, column) if index is None else index.hits(plan, column)
+
+
 def _ranked(hits: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows with rank; the window over what is left of them only."""
     top = hits.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def keyword_channel(messages: DataFrame, chunks: DataFrame | None, query: str, filters: Filters = Filters(), pool: int = LIMIT * MULTIPLIER) -> DataFrame:
+def keyword_channel(messages: DataFrame, chunks: DataFrame | None, query: str, filters: Filters = Filters(), pool: int = LIMIT * MULTIPLIER, indexes: Indexes = Indexes()) -> DataFrame:
     """granularity (chunk or message), id, message_pk, score, rank. Variants of the query are tried from strict to relaxed,
     each on chunks first and then on messages, and the first that finds anything counts: in one plan, the least of
     2 * variant + granularity. Index statistics are of all rows; filters come after. If nothing is found, terms are looked
-    for as substrings, the newest first, with score 0."""
+    for as substrings, the newest first, with score 0. Over written indexes only their postings of the query's terms are
+    read, and texts only if these find nothing; else the texts are scanned for both in one plan."""
     plan = match.variants(query)
     live = messages.where(condition(filters)).select("message_pk", "date_utc")
-    by_message = keyword_hits(messages, "message_pk", MESSAGE_COLUMNS, plan).select((F.col("variant") * 2 + 1).alias("step"), F.col("doc_id").alias("id"), F.col("doc_id").alias("message_pk"), "score")
+    by_message = _hits(messages, "message_pk", MESSAGE_COLUMNS, plan, indexes.messages).select((F.col("variant") * 2 + 1).alias("step"), F.col("doc_id").alias("id"), F.col("doc_id").alias("message_pk"), "score")
     found = by_message
     if chunks is not None:
-        own = keyword_hits(chunks, "chunk_id", CHUNK_COLUMNS, plan).join(chunks.select(F.col("chunk_id").alias("doc_id"), "message_pk"), "doc_id")
+        own = _hits(chunks, "chunk_id", CHUNK_COLUMNS, plan, indexes.chunks).join(chunks.select(F.col("chunk_id").alias("doc_id"), "message_pk"), "doc_id")
         found = own.select((F.col("variant") * 2).alias("step"), F.col("doc_id").alias("id"), "message_pk", "score").unionByName(by_message)
+    found = found.join(live, "message_pk")
     words = [t for t in match.terms(query) if len(t) >= LEAST_TERM]
     last = 2 * max(1, len(plan))
-    if words:
-        like = messages.where(condition(filters) & all_terms(words, ["subject", "body_text"])).select(F.lit(last).alias("step"), F.col("message_pk").alias("id"), "message_pk", F.lit(0.0).alias("score"))
+    least = None
+    if indexes.messages is not None and (chunks is None or indexes.chunks is not None):
+        least = found.agg(F.min("step")).first()[0]
+    if words and least is None:
+        like = messages.where(condition(filters) & all_terms(words, ["subject", "body_text"])).select("message_pk", F.lit(last).alias("step"), F.col("message_pk").alias("id"), F.lit(0.0).alias("score"), "date_utc")
         found = found.unionByName(like)
-    found = found.join(live, "message_pk")
-    first = found.agg(F.min("step").alias("first"))
-    own = found.join(F.broadcast(first), F.col("step") == F.col("first")).withColumn("granularity", F.when(F.col("step") == last, "message").when(F.col("step") % 2 == 0, "chunk").otherwise("message"))
+    if least is not None:
+        own = found.where(F.col("step") == least)
+    else:
+        own = found.join(F.broadcast(found.agg(F.min("step").alias("first"))), F.col("step") == F.col("first"))
+    own = own.withColumn("granularity", F.when(F.col("step") == last, "message").when(F.col("step") % 2 == 0, "chunk").otherwise("message"))
     return _ranked(own, [F.col("score"), F.when(F.col("step") == last, F.col("date_utc")).desc_nulls_last(), F.col("id")], pool).select("granularity", "id", "message_pk", "score", "rank")
 
 
@@ -73,12 +96,12 @@ def rrf(rankings: dict[str, DataFrame], keys: list[str], k: int = RRF_K, weights
     return rows.groupBy(*keys).agg(F.sum("part").alias("fused"), *per)
 
 
-def hybrid(messages: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], filters: Filters = Filters(), limit: int = LIMIT, mode: str = "hybrid", k: int = RRF_K, weights: dict[str, float] | None = None, least: float = 0.0, margin: float = 0.0, multiplier: int = MULTIPLIER) -> DataFrame:
+def hybrid(messages: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], filters: Filters = Filters(), limit: int = LIMIT, mode: str = "hybrid", k: int = RRF_K, weights: dict[str, float] | None = None, least: float = 0.0, margin: float = 0.0, multiplier: int = MULTIPLIER, indexes: Indexes = Indexes()) -> DataFrame:
     """The best `limit` hits: fused, and how each channel ranks them. Ties: keyword hits first, by rank."""
     pool = max(limit * multiplier, limit)
     channels = {}
     if mode in ("hybrid", "keyword"):
-        channels["keyword"] = keyword_channel(messages, chunks, query, filters, pool)
+        channels["keyword"] = keyword_channel(messages, chunks, query, filters, pool, indexes)
     if mode in ("hybrid", "vector"):
         channels["vector"] = vector_channel(messages, chunks, query_vector, filters, pool, least, margin)
     if not channels:
@@ -98,17 +121,19 @@ def hydrate(hits: DataFrame, messages: DataFrame, chunks: DataFrame, query: str,
     return joined.select("message_pk", "message_id", "subject", shown.alias("sender"), "date_utc", "folder", "local_markdown_path", *(c for c in hits.columns if c != "message_pk"), "chunk_index", snippet(text, match.terms(query), length).alias("snippet"))
 
 
-def field_search(messages: DataFrame, query: str, scope: str, filters: Filters = Filters(), limit: int = LIMIT) -> DataFrame:
+def field_search(messages: DataFrame, query: str, scope: str, filters: Filters = Filters(), limit: int = LIMIT, indexes: Indexes = Indexes()) -> DataFrame:
     """message_pk, rank, score (1.0): messages with the query within one field. Subject, sender and recipient are looked up
     in the message index, body in the bodies' index, cc as substrings; substrings of the raw terms where that finds none."""
     live = messages.where(condition(filters))
     words = match.terms(query)
     like = live.where(all_terms(words, SCOPE_LIKE[scope]) if words else F.lit(False)).select("message_pk", F.lit(1 << 20).alias("step"), F.lit(0.0).alias("weight"), "date_utc")
-    found = like
+    found, index = like, indexes.bodies if scope == "body" else indexes.messages
     if scope != "cc":
         columns, column = (["body_text"], None) if scope == "body" else (MESSAGE_COLUMNS, SCOPE_COLUMN[scope])
-        hits = keyword_hits(messages, "message_pk", columns, match.variants(query), column)
-        found = hits.join(live.select(F.col("message_pk").alias("doc_id"), "date_utc"), "doc_id").select(F.col("doc_id").alias("message_pk"), F.col("variant").alias("step"), F.col("score").alias("weight"), "date_utc").unionByName(like)
+        hits = _hits(messages, "message_pk", columns, match.variants(query), index, column)
+        found = hits.join(live.select(F.col("message_pk").alias("doc_id"), "date_utc"), "doc_id").select(F.col("doc_id").alias("message_pk"), F.col("variant").alias("step"), F.col("score").alias("weight"), "date_utc")
+        if index is None or found.isEmpty():
+            found = found.unionByName(like)
     first = found.agg(F.min("step").alias("first"))
     own = found.join(F.broadcast(first), F.col("step") == F.col("first"))
     return _ranked(own, [F.col("weight"), F.desc("date_utc"), F.col("message_pk")], limit).select("message_pk", "rank", F.lit(1.0).alias("score"))

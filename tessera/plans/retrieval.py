@@ -12,8 +12,10 @@ from tessera.operators import match, search, vectors
 from tessera.operators.filters import Filters, all_terms, condition, pending_index
 from tessera.operators.match import Phrase
 from tessera.operators.postings import keyword_hits
-from tessera.plans.views import MESSAGES, QUERY_VECTOR, Catalog, bm25_sql, messages, query_vector, table, tokens_sql
+from tessera.operators.keyword_index import KeywordIndex
+from tessera.plans.views import MESSAGES, QUERY_VECTOR, Catalog, bm25_sql, keyword_index, messages, query_vector, table, tokens_sql
 from tessera.plans.views import vectors as vector_table
+from tessera.sources.scratch import fresh_path
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -21,9 +23,29 @@ query = CATALOG.add
 TOP = 50
 
 
+def documents_index(spark, sf_dir):
+    return keyword_index(spark, sf_dir, "documents", "doc_id", ["text", "source"], lambda: table(spark, sf_dir, "documents"))
+
+
+def indexes(spark, sf_dir):
+    """The indexes that an archive of these messages keeps."""
+    return search.Indexes(
+        keyword_index(spark, sf_dir, "messages", "message_pk", search.MESSAGE_COLUMNS, lambda: messages(spark, sf_dir)),
+        keyword_index(spark, sf_dir, "chunks", "chunk_id", search.CHUNK_COLUMNS, lambda: _text_chunks(spark, sf_dir)),
+    )
+
+
+@query("SELECT count(*) AS n, CAST(sum(len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) + len(regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS tokens FROM documents")
+def keyword_index_build(spark, sf_dir):
+    """All indexes that other queries read are written, where this session has not done so yet."""
+    indexes(spark, sf_dir)
+    n, tokens = documents_index(spark, sf_dir).counts()
+    return spark.createDataFrame([(n, tokens)], "n long, tokens long")
+
+
 def _bm25(plan, column=None, columns=("text", "source")):
     def run(spark, sf_dir):
-        hits = keyword_hits(table(spark, sf_dir, "documents"), "doc_id", list(columns), plan, column)
+        hits = documents_index(spark, sf_dir).hits(plan, column)
         return hits.select("doc_id", F.round("score", 6).alias("score"))
 
     sql = f"WITH {tokens_sql('documents', 'doc_id', list(columns))},\n{bm25_sql(plan, column)}\nSELECT doc_id, round(score, 6) AS score FROM hits"
@@ -66,10 +88,31 @@ keyword AS (
 
 @query(f"WITH {_KEYWORD_CTES} SELECT message_pk, round(score, 6) AS score, rank FROM keyword")
 def keyword_channel(spark, sf_dir):
+    out = search.keyword_channel(messages(spark, sf_dir), None, KEYWORD, indexes=indexes(spark, sf_dir))
+    return out.select("message_pk", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_KEYWORD_CTES} SELECT message_pk, round(score, 6) AS score, rank FROM keyword")
+def keyword_channel_scan(spark, sf_dir):
+    """The same without an index: texts are scanned."""
     out = search.keyword_channel(messages(spark, sf_dir), None, KEYWORD)
     return out.select("message_pk", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_KEPT = "own AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ' licensed' ELSE text END AS text, source FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"WITH {_KEPT},\n{tokens_sql('own', 'doc_id', ['text', 'source'])},\n{bm25_sql([match.strict('licensed version', prefix=False), match.strict('src3 licen')])}\nSELECT variant, doc_id, round(score, 6) AS score FROM hits")
+def keyword_index_kept_up(spark, sf_dir):
+    """An index after three changes: all rows come in, a third of them with a new text, and a seventh goes."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = KeywordIndex(spark, fresh_path(spark, "index-kept"), "doc_id", ["text", "source"])
+    index.add(own)
+    index.add(own.where("doc_id % 3 = 0").withColumn("text", F.concat("source", F.lit(" licensed"))))
+    index.remove(own.where("doc_id % 7 = 0"))
+    return index.hits([match.strict("licensed version", prefix=False), match.strict("src3 licen")]).select("variant", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {MESSAGES} SELECT message_pk, subject, date_utc, 0.0 AS score FROM messages WHERE deleted_at IS NULL AND (subject ILIKE '%version%' OR body_text ILIKE '%version%') AND (subject ILIKE '%public%' OR body_text ILIKE '%public%') ORDER BY date_utc DESC, message_pk LIMIT 20")
 def like_fallback(spark, sf_dir):
     return search.like_search(messages(spark, sf_dir), "version public").withColumn("score", F.col("score").cast("decimal(2,1)"))
@@ -85,7 +128,7 @@ _FIELD_PLAN = [match.strict("src3")]
 
 @query(f"WITH {MESSAGES},\n{tokens_sql('messages', 'message_pk', search.MESSAGE_COLUMNS)},\n{bm25_sql(_FIELD_PLAN, 'sender')}\nSELECT message_pk, row_number() OVER (ORDER BY score, date_utc DESC, message_pk) AS rank, CAST(1 AS DOUBLE) AS score FROM (SELECT message_pk, score, date_utc FROM hits JOIN messages ON message_pk = doc_id WHERE deleted_at IS NULL ORDER BY score, date_utc DESC, message_pk LIMIT 20)")
 def field_scope_sender(spark, sf_dir):
-    out = search.field_search(messages(spark, sf_dir), "src3", "sender")
+    out = search.field_search(messages(spark, sf_dir), "src3", "sender", indexes=indexes(spark, sf_dir))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -185,7 +228,7 @@ _FUSED = "SELECT message_pk, sum({w}) AS fused, min(rank) FILTER (c = 'keyword')
 
 def _channels(spark, sf_dir):
     own = messages(spark, sf_dir)
-    keyword = search.keyword_channel(own, None, KEYWORD)
+    keyword = search.keyword_channel(own, None, KEYWORD, indexes=indexes(spark, sf_dir))
     vector = search.vector_channel(own, vector_table(spark, sf_dir), query_vector(spark, sf_dir))
     return {"keyword": keyword, "vector": vector}
 
@@ -226,7 +269,7 @@ ORDER BY fused.fused DESC, keyword_rank NULLS LAST, vector_rank NULLS LAST, mess
 def hybrid_search(spark, sf_dir):
     """The flagship: keyword and vector channels fused, with their messages."""
     own, chunks = messages(spark, sf_dir), _text_chunks(spark, sf_dir)
-    hits = search.hybrid(own, chunks, KEYWORD, query_vector(spark, sf_dir))
+    hits = search.hybrid(own, chunks, KEYWORD, query_vector(spark, sf_dir), indexes=indexes(spark, sf_dir))
     return own.select("message_pk", "folder", "subject").join(F.broadcast(hits), "message_pk").select("message_pk", "folder", "subject", F.round("fused", 6).alias("fused"), F.col("keyword_rank").cast("long").alias("keyword_rank"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.keyword_index import KeywordIndex
+from tessera.sources.scratch import fresh_path
 from tessera.sources.tables import read as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,19 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
     return list(row[0]) if row else []
 
 
+_WRITTEN: dict[tuple[str, str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str], rows: Callable[[], DataFrame]) -> KeywordIndex:
+    """The written index over columns of rows, as an archive keeps it: made when a session first asks for it."""
+    place = spark.sparkContext.applicationId, sf_dir, name
+    if place not in _WRITTEN:
+        index = KeywordIndex(spark, fresh_path(spark, f"index-{name}"), key, columns)
+        index.add(rows(), fresh=True)
+        _WRITTEN[place] = index
+    return _WRITTEN[place]
+
+
 QUERY_VECTOR = "q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)"
 
 

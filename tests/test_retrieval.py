@@ -233,3 +233,48 @@ def test_listing(mails):
     assert stats == {"INBOX": (6, 5), "Sent": (1, 1)}
     assert search.resolve(mails, "<m3>").first()["message_pk"] == 3 and search.resolve(mails, "3").first()["message_pk"] == 3
     assert [r["message_pk"] for r in search.sort_rows(mails.where("message_pk in (1, 2)"), "subject", True).collect()] == [2, 1]
+
+
+def test_index_is_kept_up(spark, tmp_path, docs):
+    from tessera.operators.keyword_index import KeywordIndex
+
+    index = KeywordIndex(spark, str(tmp_path / "k"), "id", ["subject", "body"])
+    plan = [[Phrase(("invoice",), False)], [Phrase(("the", "inv"), True)], [Phrase(("pay",), False), Phrase(("m",), True)]]
+    assert index.hits(plan).count() == 0 and index.counts() == (0, 0)
+
+    def same(rows):
+        own = spark.createDataFrame(rows, "id long, subject string, body string")
+        want = {(r["variant"], r["doc_id"]): r["score"] for r in keyword_hits(own, "id", ["subject", "body"], plan).collect()}
+        got = {(r["variant"], r["doc_id"]): r["score"] for r in index.hits(plan).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert index.counts()[0] == len(rows)
+
+    index.add(docs)
+    same(ROWS)
+    changed = [(1, "nothing", "here now"), (8, "pay march", "the invoice, the inventory")]
+    index.add(spark.createDataFrame(changed, "id long, subject string, body string"))
+    now = [r for r in ROWS if r[0] != 1] + changed
+    same(now)
+    index.add(spark.createDataFrame([(8, "pay", "march")], "id long, subject string, body string"))
+    index.remove(spark.createDataFrame([(3,), (99,)], "id long"))
+    now = [r for r in now if r[0] not in (3, 8)] + [(8, "pay", "march")]
+    same(now)
+    assert not index.is_old() or index.counts()[0]
+    index.add(docs, fresh=True)
+    same(ROWS)
+    assert not index.is_old()
+
+
+def test_like_comes_only_after_the_index(spark, tmp_path):
+    from tessera.operators.keyword_index import KeywordIndex
+
+    rows = [(1, "Alpha", "a@x", "b@x", "one two", None), (2, "Beta", "a@x", "b@x", "xonex", None), (3, "one", "a@x", "b@x", "", "2024-01-01")]
+    own = spark.createDataFrame(rows, "message_pk long, subject string, sender string, recipients string, body_text string, gone string").withColumns({"deleted_at": F.col("gone").cast("timestamp"), "date_utc": F.lit("2024-01-01").cast("timestamp"), "sender_name": F.lit(""), "cc": F.lit("")})
+    index = KeywordIndex(spark, str(tmp_path / "k"), "message_pk", search.MESSAGE_COLUMNS)
+    index.add(own)
+    indexes = search.Indexes(messages=index)
+    for query in ("one", "nex", "zzz", "two one"):
+        a = [tuple(r) for r in search.keyword_channel(own, None, query, indexes=indexes).collect()]
+        b = [tuple(r) for r in search.keyword_channel(own, None, query).collect()]
+        assert a == b, query
+    assert [r["message_pk"] for r in search.field_search(own, "one", "subject", indexes=indexes).collect()] == [r["message_pk"] for r in search.field_search(own, "one", "subject").collect()]
