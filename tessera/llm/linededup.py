@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key
+from tessera.llm.common import dealt, row_key, written
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -25,14 +25,15 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 
 
 def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """h1, h2, first (struct doc_id, pos of the occurrence that stays) of lines on min_sites distinct sites or more. Sketches
-    merge by aggregation, partly before the shuffle; only lines near the threshold get an exact distinct count."""
+    """h1, h2, first (struct doc_id, pos of the occurrence that stays), n (occurrences) of lines on min_sites distinct sites
+    or more. Sketches merge by aggregation, partly before the shuffle; only lines near the threshold get an exact distinct
+    count, of sites that are told apart before the shuffle as well."""
     sketched = occurrences.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_sites)
     margin = max(1.0, DEVIATIONS * 1.04 / (1 << lg_k) ** 0.5 * min_sites)
-    spread = sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin)
-    sure = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2", "first")
-    near = spread.where(F.col("sites") <= min_sites + margin).select("h1", "h2", "first")
-    pairs = occurrences.select("h1", "h2", "site").join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").distinct()
+    spread = written(sketched.select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin), "line-spread")
+    sure = spread.where(F.col("sites") > min_sites + margin).drop("sites")
+    near = spread.where(F.col("sites") <= min_sites + margin).drop("sites")
+    pairs = dealt(occurrences.select("h1", "h2", "k1", "k2", "site"), near.select("h1", "h2", "n"), ["h1", "h2"], ["k1", "k2"]).select("h1", "h2", "site").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites).select("h1", "h2")
     return sure.unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
 
@@ -45,10 +46,10 @@ def without(text: Column, gone: Column) -> Column:
 
 def hits(rows: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """rows: k1, k2 (the row's key), doc_id, text, site. Returns k1, k2, gone: the positions of the lines that go."""
-    occurrences = _occurrences(rows)
-    lines = boilerplate(occurrences, min_sites, lg_k)
+    occurrences = written(_occurrences(rows), "lines")  # texts are split once
+    lines = written(boilerplate(occurrences, min_sites, lg_k), "boilerplate")
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
-    return occurrences.join(lines, ["h1", "h2"]).where(other).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    return dealt(occurrences, lines, ["h1", "h2"], ["k1", "k2"]).where(other).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:

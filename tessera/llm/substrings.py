@@ -25,16 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, row_key, texts_of, written
+from tessera.llm.common import dealt, prepare, row_key, texts_of, written
 
 LENGTH, K = 200, 32
 #: Distinct phrases of a trigger that are compared in one row at most, and windows of the pieces into which the phrases of
 #: larger groups are cut, step by step.
 TOGETHER, CUTS = 1024, (24, 6)
+#: Where an occurrence of a phrase is.
+PLACE = ["k1", "k2", "lo"]
 #: Bytes of phrases that are put in order together, about.
 ORDERED = 1 << 20
-#: Rows of a key that one task may have, unless it has less than a thousandth of all; and tasks that share a larger one.
-HOT, SALTS = 1000, 64
 #: Bytes hashed at once. A longer text goes on in the next block.
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
@@ -330,17 +330,6 @@ def _classes(pieces: DataFrame, length: int, cuts: tuple[int, ...]) -> DataFrame
     return found.unionByName(again).unionByName(_classes(distinct, length, cuts[1:]))
 
 
-def _dealt(rows: DataFrame, marks: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with marks (one row a key, n: how many rows have it; n goes). Keys of over HOT rows, and of over a
-    thousandth of all of them (so a thousand keys at most), are dealt over SALTS tasks."""
-    total = marks.agg(F.sum("n")).first()[0] or 0
-    hot = marks.where(F.col("n") > max(HOT, total // 1000)).select(*on, F.lit(True).alias("hot"))
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = marks.drop("n").join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return salted.join(spread, [*on, "salt"]).drop("salt")
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (begin and end of each maximal removed run, flat), kept (the bytes that are left). One row a
     row of docs. Removed: each byte that some `length`-byte string covers which also starts anywhere else, in the same text
@@ -354,10 +343,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parse = rows.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(parser(length, k), PARSE)
     triggers = parse.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1")
     shared = written(triggers.select("trigger", "n", (F.col("a") == F.col("b")).alias("same")), "triggers")
-    again = written(_dealt(parse, shared, ["trigger"]), "parse")  # little of the parse: triggers that occur again
+    again = written(dealt(parse, shared, ["trigger"], PLACE), "parse")  # little of the parse: triggers that occur again
     mixed = again.where("not same").drop("same")
     dictionary = written(mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")).withColumn("alone", F.col("n") == 1), "dictionary")
-    repeated = _dealt(mixed, dictionary.where("not alone").select("trigger", "phrase", "n"), ["trigger", "phrase"])
+    repeated = dealt(mixed, dictionary.where("not alone").select("trigger", "phrase", "n"), ["trigger", "phrase"], PLACE)
     whole = again.where("same").select("k1", "k2", "lo", "hi").unionByName(repeated.select("k1", "k2", "lo", "hi"))
     asked = dictionary.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.lo", "one.hi", "one.at", "trigger", "alone")).alias("own"))
     text = rows.mapInArrow(packed, "k1 long, k2 long, doc_id long, z binary")

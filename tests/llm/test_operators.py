@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from llm_help import docs_of, lower, plain
 
-from tessera.llm import decontaminate, linededup, packing, quality, simhash, substrings, tokencount, topk, toxicity, warc
+from tessera.llm import common, decontaminate, linededup, packing, quality, simhash, substrings, tokencount, topk, toxicity, warc
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,6 +55,20 @@ def test_line_dedup_counts_near_lines_exactly(spark):
     assert {"line 8", "line 9"} <= kept
 
 
+def test_a_line_in_every_document(spark, monkeypatch):
+    """Very common lines, near the threshold and over it, are dealt over tasks."""
+    monkeypatch.setattr(linededup, "dealt", lambda *a: common.dealt(*a, hot=5))
+    rows = [(i, f"on ten\non twelve {i % 5}\nown {i}\non nine" if i % 100 < 9 else f"on ten\nown {i}" if i % 100 < 10 else f"own {i}\non twelve {i % 5}", "en", f"s{i % 100}", 1) for i in range(1200) if i % 100 < 12]
+    out = {r["doc_id"]: r["text"].split("\n") for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), min_sites=10).collect()}
+    lines, sites = Counter(x for own in out.values() for x in own), defaultdict(set)
+    for _, text, _, site, _ in rows:
+        for x in text.split("\n"):
+            sites[x].add(site)
+    assert lines["on ten"] == 1 and lines["on nine"] == sum("on nine" in r[1] for r in rows)
+    assert all((lines[x] == 1) == (len(s) >= 10 or sum(x in r[1].split("\n") for r in rows) == 1) for x, s in sites.items())
+    assert "on ten" in out[0] and all(f"own {i}" in out[i] for i in out)
+
+
 def test_quality(messy, clashing, empty, labels, spark):
     out = held(messy, clashing, empty, lambda d: quality.quality_scores(d, labels))
     assert len(out) == messy.count()
@@ -406,7 +420,7 @@ def brute_repeats(texts: list[tuple], length: int) -> list[tuple]:
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_a_trigger_in_every_document_and_repeated_rows(spark, monkeypatch, hot):
     """One short passage in all documents, one row a thousand times."""
-    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "dealt", lambda *a: common.dealt(*a, hot=hot))
     r = np.random.default_rng(13)
     some = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
     passage = some(70)
