@@ -8,10 +8,11 @@ their phrases have the same trigger bytes, so the corpus' order splits into that
 - the parse puts the occurrences of a phrase side by side. As every L bytes lie in one phrase, its order behind the first
   phrase never matters: a phrase that occurs twice or more repeats with all of its windows, and a trigger that occurs once
   has nothing repeated in its phrase;
-- where several phrases share a trigger, the suffix array of the dictionary's phrases puts the windows in order: repeated
-  are those that agree with a neighbour in all L bytes. Phrases of a trigger that has very many are cut into shorter ones,
-  which meet only if they share the bytes that all of their windows have, twice; what is still too many is dealt out a row
-  a suffix.
+- where several phrases share a trigger, equal windows have it at one place, so the dictionary's suffixes that matter are
+  those from the trigger on, and its beginnings up to the trigger read backwards. Both are put in order, with the bytes that
+  neighbours share; together they tell which phrases agree in any window. Phrases of a trigger that has very many are cut
+  into shorter ones, which meet only if they share the bytes that all of their windows have, twice; what is still too many
+  is dealt out a row a suffix.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from tessera.llm.common import dealt, prepare, row_key, texts_of, written
 LENGTH, K = 200, 32
 #: Distinct phrases of a trigger that are compared in one row at most, and windows of the pieces into which the phrases of
 #: larger groups are cut, step by step.
-TOGETHER, CUTS = 1024, (24, 6)
+TOGETHER, CUTS = 1 << 13, (24, 6)
 #: Where an occurrence of a phrase is.
 PLACE = ["k1", "k2", "lo"]
 #: Bytes of phrases that are put in order together, about.
-ORDERED = 1 << 20
+ORDERED = 1 << 22
 #: Bytes hashed at once. A longer text goes on in the next block.
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
@@ -159,84 +160,73 @@ def extractor(length: int):
 SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
-def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of the `length` bytes from each on, and which of them have the same bytes as the one before.
-    By doubling: places are sorted by their first bytes, then those that tie by twice as many, and so on; a place's rank is
-    that of the first of its equals, so what is settled is not looked at again."""
-    width = min(8, length)
-    n = len(data) - width + 1
-    key = np.zeros(n, np.uint64)
-    for i in range(width):
-        key = key << np.uint64(8) | data[i : i + n]
-    order = np.argsort(key, kind="stable")
-    rank, tied = _ranked(np.zeros(n, np.int64), order, key[order], np.zeros(n, np.int64))
-    while width < length and len(tied):
-        step = min(width, length - width)
-        if width + step == length:  # only the starts themselves still matter
-            asked = np.zeros(n, bool)
-            asked[starts] = True
-            tied = tied[asked[tied]]
-        first, then = rank[tied], rank[np.minimum(tied + step, n - 1)]
-        own = np.lexsort((then, first))
-        rank, tied = _ranked(rank, tied[own], then[own], first[own])
-        width += step
-    order = starts[np.argsort(rank[starts], kind="stable")]
-    return order, np.append(False, rank[order[1:]] == rank[order[:-1]])[: len(order)]
-
-
-def _ranked(rank: np.ndarray, places: np.ndarray, key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks after places (in order, members of a group together) are told apart by their keys, and the places that still
-    tie, in order."""
-    n = len(places)
-    if not n:
-        return rank, places
-    new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
-    begin = np.append(True, group[1:] != group[:-1])
-    at = np.arange(n)
-    rank = rank.copy()
-    rank[places] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(begin, at, 0))
-    heads = np.flatnonzero(new)
-    return rank, places[np.repeat(np.diff(np.append(heads, n)) > 1, np.diff(np.append(heads, n)))]
-
-
-def repeated_suffixes(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
-    """(piece, first, last) of each run of suffix starts in it whose `length` bytes another suffix of the pieces begins with."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(x) for x in pieces], np.int64)
-    ends = np.cumsum(sizes)
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    starts = np.flatnonzero(np.arange(len(data)) + length <= ends[piece])
-    if not len(starts):
-        return
-    order, same = suffix_array(data, starts, length)
-    shared = np.zeros(len(data), bool)
-    shared[order] = same | np.append(same[1:], False)
-    at = np.flatnonzero(shared)
-    if not len(at):
+def in_order(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (group, bytes), and how many bytes each shares with the one before it; -1 at the start of a group."""
+    order = np.array(sorted(range(len(parts)), key=parts.__getitem__), np.int64)
+    shared = np.full(len(parts), -1, np.int64)
+    width = max((len(x) for _, x in parts), default=0)
+    for i in range(1, len(parts), 1 << 13):
+        own = [parts[j] for j in order[i - 1 : i + (1 << 13)].tolist()]
+        rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for _, x in own), np.uint8).reshape(len(own), width)
+        group, size = np.array([g for g, _ in own]), np.array([len(x) for _, x in own])
+        differ = rows[1:] != rows[:-1]
+        lcp = np.where(differ.any(1), differ.argmax(1), width) if width else np.zeros(len(own) - 1, np.int64)
+        shared[i : i + (1 << 13)] = np.where(group[1:] == group[:-1], np.minimum(lcp, np.minimum(size[1:], size[:-1])), -1)
+    return order, shared
+
+
+def repeated_windows(groups: list[int], places: list[int], pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, first, last) of each run of starts in it whose `length` bytes another piece of the group has as well, at the
+    same place from its own trigger's (places). The suffixes from the triggers on are put in order, and the beginnings up to
+    them read backwards: two pieces share a window with a bytes before the trigger if they are neighbours for a bytes in one
+    order and for the rest in the other, all between them included."""
+    after = [(g, x[p : p + length]) for g, p, x in zip(groups, places, pieces, strict=True)]
+    before = [(g, x[max(0, p - length) : p][::-1]) for g, p, x in zip(groups, places, pieces, strict=True)]
+    (order_a, lcp_a), (order_b, lcp_b) = in_order(after), in_order(before)
+
+    def most(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), np.int64)
+        out[order] = np.maximum(lcp, np.append(lcp[1:], -1))
+        return out
+
+    room_a, room_b = most(order_a, lcp_a), most(order_b, lcp_b)
+    live = np.flatnonzero((room_a >= 0) & (room_b >= 0) & (room_a + room_b >= length))
+    if not len(live):
         return
-    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(piece[at]) > 0)) + 1
-    first, last = at[np.concatenate(([0], cuts))], at[np.concatenate((cuts - 1, [len(at) - 1]))]
-    own = piece[first]
-    yield from zip(own.tolist(), (first - ends[own] + sizes[own]).tolist(), (last - ends[own] + sizes[own]).tolist(), strict=True)
+    place_a, place_b = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+    place_a[order_a], place_b[order_b] = np.arange(len(pieces)), np.arange(len(pieces))
+    size_a, size_b = np.array([len(after[i][1]) for i in live]), np.array([len(before[i][1]) for i in live])
+    low, high = max(0, length - int(room_a[live].max())), min(length, int(room_b[live].max()))
+    shared = np.zeros((len(live), high - low + 3), bool)
+    for a in range(low, high + 1):
+        has = np.flatnonzero((size_b >= a) & (size_a >= length - a))
+        key = np.cumsum(lcp_b < a)[place_b[live[has]]] * len(pieces) + np.cumsum(lcp_a < length - a)[place_a[live[has]]]
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        shared[has[order], a - low + 1] = np.append(False, same) | np.append(same, False)
+    piece, begin = np.nonzero(shared[:, 1:] & ~shared[:, :-1])
+    _, end = np.nonzero(shared[:, :-1] & ~shared[:, 1:])
+    own = live[piece]
+    at = np.array(places, np.int64)[own]
+    yield from zip(own.tolist(), (at - low - end + 1).tolist(), (at - low - begin).tolist(), strict=True)
 
 
 def classes_together(length: int):
-    """Of all phrases of a trigger: the runs of suffix starts that share their bytes with neighbours in the order of the
-    dictionary's suffixes. Those of phrases that occur again in the parse are known to be repeated, and only stand for
-    comparison. Equal bytes have one trigger, so the phrases of several triggers are put in order together."""
+    """Of all phrases of a trigger: the runs of window starts that share their bytes with others. Those of phrases that occur
+    again in the parse are known to be repeated, and only stand for comparison. Several triggers go together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups, at = batch.column(0).to_pylist(), 0
             while at < len(groups):
-                own, size = {}, 0
+                rows, size = [], 0
                 while at < len(groups) and (not size or size < ORDERED):
-                    for x in groups[at]:
-                        own[at, x["k1"], x["k2"], x["lo"]] = x
-                        size += len(x["piece"])
+                    own = {(x["k1"], x["k2"], x["lo"]): x for x in groups[at]}
+                    rows += [(at, x) for x in own.values()]
+                    size += sum(len(x["piece"]) for x in own.values())
                     at += 1
-                rows = list(own.values())
-                out = [(x["k1"], x["k2"], x["lo"] + a, x["lo"] + b) for i, a, b in repeated_suffixes([x["piece"] for x in rows], length) if (x := rows[i])["alone"]]
+                found = repeated_windows([g for g, _ in rows], [x["at"] for _, x in rows], [x["piece"] for _, x in rows], length)
+                out = [(x["k1"], x["k2"], x["lo"] + a, x["lo"] + b) for i, a, b in found if (x := rows[i][1])["alone"]]
                 for i in range(0, len(out), 8192):
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 8192], strict=True), SPANS, strict=True)], schema=SPANS)
 
@@ -314,7 +304,7 @@ def _classes(pieces: DataFrame, length: int, cuts: tuple[int, ...]) -> DataFrame
     columns = pieces.columns
     sizes = pieces.groupBy("trigger").agg((F.count("*") <= TOGETHER).alias("few"))
     sized = pieces.join(sizes, "trigger")
-    groups = sized.where("few").groupBy("trigger").agg(F.collect_list(F.struct("alone", "k1", "k2", "lo", "piece")).alias("own")).select("own")
+    groups = sized.where("few").groupBy("trigger").agg(F.collect_list(F.struct("alone", "k1", "k2", "lo", "at", "piece")).alias("own")).select("own")
     found = groups.mapInArrow(classes_together(length), "k1 long, k2 long, lo int, hi int")
     many = sized.where("not few").select(columns)
     if not cuts:
