@@ -37,15 +37,16 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*marked), F.xxhash64(F.lit(17), *reversed(marked))
 
 
-def dealt(rows: DataFrame, marks: DataFrame, on: list[str], by: list[str], hot: int = HOT, salts: int = SALTS) -> DataFrame:
+def dealt(rows: DataFrame, marks: DataFrame, on: list[str], by: list[str], hot: int = HOT, salts: int = SALTS, how: str = "inner") -> DataFrame:
     """rows joined with marks: one row a key, with n, how many rows have it, which goes. Rows of a key that over `hot` rows and
-    over a thousandth of all marked ones have (so a thousand keys at most) are dealt over tasks by a hash of the columns `by`."""
+    over a thousandth of all marked ones have (so a thousand keys at most) are dealt over tasks by a hash of the columns `by`.
+    how: inner, or left where rows without a mark stay."""
     total = marks.agg(F.sum("n")).first()[0] or 0
     many = marks.where(F.col("n") > max(hot, total // 1000)).select(*on, F.lit(True).alias("__hot"))
     salted = rows.join(F.broadcast(many), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
     all_salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = marks.drop("n").join(F.broadcast(many), on, "left").withColumn("__salt", F.explode(all_salts)).drop("__hot")
-    return salted.join(spread, [*on, "__salt"]).drop("__salt")
+    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, scratch, written
+from tessera.llm.common import dealt, prepare, scratch, written
 
 #: Bytes of a record's block: a longer one goes on in continuation records. Bytes of a chunk of the HTTP framing.
 SEGMENT, CHUNK = 8192, 4096
 #: Bytes of records in a file, before compression.
-FILE_BYTES = 4 << 20
+FILE_BYTES = 128 << 20
 #: Records' dates; archives of the same pages are the same.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -76,20 +76,48 @@ def page_records(page: int | None, url: str | None, payload: bytes, first: int |
     return out
 
 
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+def unzipped(data: bytes) -> bytes:
+    """All members of a gzipped file, or the data itself."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(data) + member.flush())
+        data = member.unused_data
+    return b"".join(out)
+
+
+def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers (names in lower case), block and end of the record that begins here; one that does not hold is an error."""
+    head = data.find(CRLF + CRLF, at)
+    lines = data[at : max(head, at)].decode("utf-8", "surrogateescape").split("\r\n")
+    if head < 0 or not lines[0].startswith("WARC/"):
+        raise ValueError("no record begins here")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    begin, size = head + 4, headers.get("content-length", "")
+    if not size.isdigit():
+        raise ValueError("a record without a length")
+    end = begin + int(size)
+    if data[end : end + 4] != CRLF + CRLF:
+        raise ValueError("a record is not as long as it says")
+    return headers, data[begin:end], end + 4
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes, str | None]]:
+    """Place, headers, block and error of each record of an archive. Behind one that does not hold it goes on where the next
+    record begins."""
     at = 0
     while at < len(data):
-        head = data.index(CRLF + CRLF, at)
-        lines = data[at:head].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        begin, size = head + 4, int(headers["content-length"])
-        if data[begin + size : begin + size + 4] != CRLF + CRLF:
-            raise ValueError(f"record at byte {at} is not as long as it says")
-        yield headers, data[begin : begin + size]
-        at = begin + size + 4
+        try:
+            headers, block, end = record_at(data, at)
+        except ValueError as e:
+            yield at, None, b"", str(e)
+            found = data.find(CRLF + b"WARC/", at + 1)
+            end = found + 2 if found >= 0 else len(data)
+        else:
+            yield at, headers, block, None
+        at = end
 
 
 def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes | None:
@@ -112,10 +140,11 @@ def payload_of(block: bytes) -> bytes:
 
 def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT, file_bytes: int = FILE_BYTES) -> None:
     """Writes pages as gzipped WARC files of about file_bytes at most. Of equal payloads of least_revisit_bytes or more the
-    least page id is a response, the others revisit it."""
+    least page id is a response, the others revisit it. Only payloads that occur again are looked up, and a very common one
+    is dealt over tasks."""
     prepare(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = own.where(F.octet_length("html") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
+    again = own.where(F.octet_length("html") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, n = uuid.uuid4().hex[:16], 0
@@ -126,88 +155,134 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0,
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["record"])
 
-    joined = own.join(first, "digest", "left").select("page_id", "url", "html", "first")
+    joined = dealt(own, written(again, "payloads"), ["digest"], ["page_id", "url"], how="left").select("page_id", "url", "html", "first")
     (joined.mapInArrow(lines, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (segment + 1024))).text(folder))
 
 
-READ = pa.schema([("origin", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-READ_DDL = "origin string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, segment int, total long, block binary"
+READ = pa.schema([("origin", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("file", pa.string()), ("at", pa.int64()), ("error", pa.string())])
+READ_DDL = "origin string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, segment int, total long, block binary, file string, at long, error string"
 
 
 def _page(name: str) -> int | None:
-    number = name.strip("<>").split(":")[2]
-    return int(number) if number else None
+    """The page that a record's name holds; a name of another kind is an error."""
+    parts = name.strip("<>").split(":")
+    if parts[:2] != ["urn", "page"] or len(parts) < 3 or parts[2] and not parts[2].lstrip("-").isdigit():
+        raise ValueError(f"{name} names no page")
+    return int(parts[2]) if parts[2] else None
 
 
-def _response(origin: str, digest: str, block: bytes) -> tuple:
+def _response(origin: str, digest: str, block: bytes) -> dict:
     payload = payload_of(block)
     if digest_of(payload) != digest:
         raise ValueError(f"payload of {origin} does not have its digest")
-    return origin, _page(origin), "response", len(payload), digest, None, None, None, None
+    return {"origin": origin, "page_id": _page(origin), "record_type": "response", "payload_bytes": len(payload), "payload_digest": digest}
 
 
-def read_file(data: bytes) -> list[tuple]:
-    """Rows of READ: records that are whole in this file, and the segments of those that are not."""
+def read_file(data: bytes, file: str = "") -> list[dict]:
+    """Rows of READ: records that are whole in this file, the segments of those that are not, and bad records with their
+    error. Records of other types are passed over."""
     out, open_parts = [], {}
-    for headers, block in records_of(data):
-        name, number = headers["warc-record-id"], int(headers.get("warc-segment-number", 0))
-        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        if number:
-            open_parts.setdefault(headers.get("warc-segment-origin-id", name), []).append((number, int(x) if (x := headers.get("warc-segment-total-length")) else None, block, digest))
-        elif headers["warc-type"] == "revisit":
-            out.append((name, _page(name), "revisit", None, digest, _page(headers["warc-refers-to"]), None, None, None))
-        elif headers["warc-type"] == "response":
-            out.append(_response(name, digest, block))
+    for at, headers, block, error in records_of(data):
+        try:
+            if error:
+                raise ValueError(error)
+            name, number, kind = headers.get("warc-record-id", ""), int(headers.get("warc-segment-number", 0)), headers.get("warc-type")
+            digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+            if number and kind in ("response", "continuation"):
+                total = headers.get("warc-segment-total-length")
+                open_parts.setdefault(headers.get("warc-segment-origin-id", name), []).append((number, int(total) if total else None, block, digest, at))
+            elif kind == "revisit":
+                out.append({"origin": name, "page_id": _page(name), "record_type": "revisit", "payload_digest": digest, "refers_to": _page(headers.get("warc-refers-to", ""))})
+            elif kind == "response":
+                out.append(_response(name, digest, block))
+        except ValueError as e:
+            out.append({"record_type": "bad", "file": file, "at": at, "error": str(e), "block": block or None})
     for origin, parts in open_parts.items():
-        block = reassembled([p[:3] for p in parts])
-        if block is None:
-            out += [(origin, _page(origin), "segment", None, d or None, None, n, total, b) for n, total, b, d in parts]
-        else:
-            out.append(_response(origin, min(p for p in parts)[3], block))
+        try:
+            page, block = _page(origin), reassembled([p[:3] for p in parts])
+            if block is None:
+                out += [{"origin": origin, "page_id": page, "record_type": "segment", "payload_digest": d or None, "segment": n, "total": total, "block": b, "file": file, "at": at} for n, total, b, d, at in parts]
+            else:
+                out.append(_response(origin, min(parts, key=lambda p: p[0])[3], block))
+        except ValueError as e:
+            out.append({"origin": origin, "record_type": "bad", "file": file, "at": min(p[4] for p in parts), "error": str(e)})
     return out
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each response and revisit in the archives. Segments
-    that a file does not hold together are grouped by their origin."""
+def read_records(spark, folder: str) -> DataFrame:
+    """READ of all records in the archives of a folder."""
     prepare(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = read_file(zlib.decompress(data, wbits=47) if data[:2] == b"\x1f\x8b" else data)
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = read_file(unzipped(data), file)
+                except zlib.error as e:
+                    rows = [{"record_type": "bad", "file": file, "at": 0, "error": str(e)}]
                 for i in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), READ, strict=True)], schema=READ)
+                    yield pa.RecordBatch.from_pylist(rows[i : i + 4096], schema=READ)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    return written(files.mapInArrow(parse, READ_DDL), "records")  # digests, and the blocks of parted records only
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, error of segments that no file holds together, grouped by their origin."""
 
     def joined(key, pdf):
         import pandas as pd
 
         parts = [(int(n), None if pd.isna(t) else int(t), bytes(b)) for n, t, b in zip(pdf["segment"], pdf["total"], pdf["block"], strict=True)]
-        block = reassembled(parts)
-        if block is None:
-            raise ValueError(f"segments of {key[0]} are missing")
-        digest = next(d for d in pdf["payload_digest"] if isinstance(d, str))
-        row = _response(key[0], digest, block)
-        return pd.DataFrame({"page_id": pd.array([row[1]], "Int64"), "payload_bytes": [row[3]], "payload_digest": [row[4]]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    rows = written(files.mapInArrow(parse, READ_DDL), "records")  # digests, and the blocks of parted records only
+        own, error = {}, None
+        try:
+            block = reassembled(parts)
+            if block is None:
+                raise ValueError(f"segments of {key[0]} are missing")
+            own = _response(key[0], next((d for d in pdf["payload_digest"] if isinstance(d, str)), ""), block)
+        except ValueError as e:
+            error = str(e)
+        return pd.DataFrame({"page_id": pd.array([own.get("page_id")], "Int64"), "payload_bytes": pd.array([own.get("payload_bytes")], "Int64"), "payload_digest": [own.get("payload_digest")], "error": [error], "origin": [key[0]]})
+
+    return rows.where("record_type = 'segment'").groupBy("origin").applyInPandas(joined, "page_id long, payload_bytes long, payload_digest string, error string, origin string")
+
+
+def bad_records(rows: DataFrame) -> DataFrame:
+    """file, at, origin, error of what read_records() found but cannot be read: a record without a length, or not as long as
+    it says; a name that is no page's; a payload without its digest; framing that does not hold; segments that are missing or
+    not as long together as they say; a file that cannot be unzipped."""
+    alone = rows.where("record_type = 'bad'").select("file", "at", "origin", "error")
+    return alone.unionByName(_together(rows).where("error is not null").select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("at"), "origin", "error"))
+
+
+def pages_of(rows: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each response and revisit that read_records() found. Bad
+    records give no row: bad_records() has them. A revisit of a page that is not there has no payload_bytes."""
     none = F.lit(None).cast("long")
     whole = rows.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest")
-    spread = rows.where("record_type = 'segment'").groupBy("origin").applyInPandas(joined, "page_id long, payload_bytes long, payload_digest string")
-    responses = whole.unionByName(spread)
+    responses = whole.unionByName(_together(rows).where("error is null").select("page_id", "payload_bytes", "payload_digest"))
     by_page = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to").join(by_page, ["refers_to", "payload_digest"], "left")
+    revisits = rows.where("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to")
+    counts = revisits.groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n")).join(by_page, ["refers_to", "payload_digest"], "left")
+    sized = dealt(revisits, counts, ["refers_to", "payload_digest"], ["page_id"])
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", none).select(columns).unionByName(revisits.withColumn("record_type", F.lit("revisit")).select(columns))
+    return responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", none).select(columns).unionByName(sized.withColumn("record_type", F.lit("revisit")).select(columns))
+
+
+def read_archives(spark, folder: str) -> DataFrame:
+    """pages_of() the archives of a folder."""
+    return pages_of(read_records(spark, folder))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
     """Writes the archives into the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type,
     refers_to. One row a row of pages. Null html: an empty payload. Null page_id: a response only if no row of its payload
     has an id, else a revisit of the least. Rows of equal payload that repeat the least page_id are all responses. Empty
-    pages: no rows. Other columns are not read."""
+    pages: no rows. Other columns are not read. A record that cannot be read back is an error."""
     folder = f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, least_revisit_bytes, id_col, url_col, html_col)
-    return read_archives(pages.sparkSession, folder)
+    rows = read_records(pages.sparkSession, folder)
+    if not (bad := bad_records(rows)).isEmpty():
+        raise ValueError(f"an archive cannot be read back: {bad.first()}")
+    return pages_of(rows)

@@ -626,6 +626,41 @@ def test_segments_in_other_files_come_together(spark, tmp_path):
     assert plain(r[:2] for r in warc.read_archives(spark, folder).collect()) == [(i, 60_000) for i in range(5)]
 
 
+def test_bad_and_foreign_records_are_set_aside(spark, tmp_path):
+    import gzip
+
+    def own(page, payload, **more):
+        return [r + b"\r\n\r\n" for r in warc.page_records(page, "u", payload, more.get("first"), f"m{page}", 4096)]
+
+    long = bytes(range(97, 123)) * 400
+    good = own(1, b"one") + own(2, b"x", first=1) + own(3, long)
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>")], b"software: x") + b"\r\n\r\n"
+    request = warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:2>")], b"GET / HTTP/1.1") + b"\r\n\r\n"
+    alien = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Payload-Digest", "sha1:" + warc.digest_of(b"zz"))], b"HTTP/1.1 200 OK\r\n\r\nzz") + b"\r\n\r\n"
+    no_length = b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"
+    too_long = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcdefghi\r\n\r\n"
+    changed = own(4, b"four")[0].replace(b"4\r\nfour", b"4\r\nFOUR")
+    unframed = own(5, b"five")[0].replace(b"4\r\nfive", b"9\r\nfive")
+    missing = own(6, long)[:1] + own(7, long)[1:]
+    (tmp_path / "a").mkdir()
+    parts = [info, good[0], no_length, request, good[1], too_long, alien, *good[2:], changed, unframed, *missing]
+    (tmp_path / "a" / "1.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts))  # a member a record
+    (tmp_path / "a" / "2.warc.gz").write_bytes(gzip.compress(b"junk before\r\n" + own(8, b"eight")[0]))
+    (tmp_path / "a" / "3.warc.gz").write_bytes(b"\x1f\x8b no archive")
+    rows = warc.read_records(spark, str(tmp_path / "a"))
+    assert plain(r[:4] for r in warc.pages_of(rows).collect()) == plain([(1, 3, warc.digest_of(b"one"), "response"), (2, None, warc.digest_of(b"x"), "revisit"), (3, len(long), warc.digest_of(long), "response"), (8, 5, warc.digest_of(b"eight"), "response")])
+    bad = warc.bad_records(rows).collect()
+    assert len(bad) == 9 and all(r["error"] for r in bad)
+    assert sum("missing" in r["error"] for r in bad) == 2 and sum(r["file"] is not None for r in bad) == 7
+
+
+def test_a_very_common_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "dealt", lambda *a, **k: common.dealt(*a, hot=5, **k))
+    rows = [(i, f"u{i}", "error" if i % 3 else f"own {i}") for i in range(300)]
+    out = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert out == {i: ("revisit", 1, 5) if i % 3 and i != 1 else ("response", None, len(h)) for i, _, h in rows}
+
+
 def test_framing_that_does_not_hold():
     for x in (b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabc\r\n0\r\nx"):
         with pytest.raises(ValueError):
