@@ -17,26 +17,27 @@ from tessera.llm.bpe import ids_of
 from tessera.llm.common import prepare, written
 
 SIZE, END = 2048, 1
-#: Lengths from which combinations of three are made: the most frequent ones.
-FREQUENT = 96
-ROUNDS = 400
+#: Steps of the solver at most, and the relative change of the residual at which it has settled.
+STEPS, SETTLED = 2000, 1e-4
 
 
 def combinations(histogram: np.ndarray) -> np.ndarray:
-    """Rows of up to three lengths (0: none) that fill a window: all pairs, and triples with two frequent lengths."""
+    """Rows of two or three lengths (0: none) that fill a window: all of them whose lengths occur, whatever the data's size
+    at most a twelfth of the window's square."""
     size = len(histogram)  # lengths below size, which is the window
-    found = {(a, size - a, 0) for a in range(1, size // 2 + 1) if histogram[a] and histogram[size - a]}
-    often = [int(x) for x in np.argsort(-histogram, kind="stable")[:FREQUENT] if histogram[x]]
-    for a in often:
-        for b in often:
-            c = size - a - b
-            if c >= 1 and histogram[c]:
-                found.add(tuple(sorted((a, b, c))))
-    return np.array(sorted(found), np.int64).reshape(-1, 3)
+    there = np.append(histogram > 0, False)
+    lengths = np.flatnonzero(there)
+    a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+    c = size - a - b
+    own = (a <= b) & ((c == 0) | (c >= b))
+    a, b, c = a[own], b[own], c[own]
+    fits = (c == 0) | there[c]
+    return np.stack((a, b, c), 1)[fits].astype(np.int64)
 
 
 def solve(ways: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """How often to use each combination: min |A x - histogram|, x >= 0, by an accelerated projected gradient."""
+    """How often to use each combination: min |A x - histogram|, x >= 0, by an accelerated projected gradient that starts
+    anew where it overshoots."""
     n, size = len(ways), len(histogram)
     goal = histogram.astype(float)
     goal[0] = 0
@@ -46,14 +47,23 @@ def solve(ways: np.ndarray, histogram: np.ndarray) -> np.ndarray:
         out[0] = 0
         return out
 
-    most = np.bincount(ways.ravel(), minlength=size)[1:].max(initial=1)
-    x, y, t = np.zeros(n), np.zeros(n), 1.0
-    for _ in range(ROUNDS):
+    v = np.random.default_rng(0).random(n)
+    for _ in range(20):  # the largest eigenvalue, by power iteration
+        v = used(v / np.linalg.norm(v))[ways].sum(1)
+    rate = 1 / (1.05 * np.linalg.norm(v))
+    x, y, t, last = np.zeros(n), np.zeros(n), 1.0, np.inf
+    for _ in range(STEPS):
         r = used(y) - goal
-        r[0] = 0
-        after = np.maximum(0, y - r[ways].sum(1) / (3 * most))
+        after = np.maximum(0, y - rate * r[ways].sum(1))
+        now = float(np.linalg.norm(used(after) - goal))
+        if now > last:
+            y, t, last = x, 1.0, np.inf
+            continue
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = after + (t - 1) / t1 * (after - x), after, t1
+        if last - now <= SETTLED * last and last < np.inf:
+            break
+        last = now
     return x
 
 
@@ -112,9 +122,10 @@ def plan(histogram: np.ndarray) -> Plan:
     sequence = 0
     if len(ways):
         x = solve(ways, free)
-        for i in np.argsort(-x, kind="stable"):
+        order = np.argsort(-x, kind="stable")
+        whole = np.diff(np.floor(np.concatenate(([0.0], np.cumsum(x[order]))) + 0.5)).astype(np.int64)  # rounded so that sums stay
+        for i, times in zip(order[whole > 0].tolist(), whole[whole > 0].tolist(), strict=True):
             lengths = [int(v) for v in ways[i] if v]
-            times = int(x[i] + 0.5)
             for v in set(lengths):
                 times = min(times, int(free[v] - used[v]) // lengths.count(v))
             if times <= 0:

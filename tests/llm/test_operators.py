@@ -514,6 +514,21 @@ def test_plan_uses_each_rest_once():
     assert all(s & (s - 1) == 0 for s in sizes)
 
 
+def test_combinations_are_all_there_and_fit_the_histogram():
+    histogram = np.array([5, 3, 0, 4, 2, 0, 1, 2, 0, 4, 1, 2])
+    ways = {tuple(sorted(int(x) for x in w if x)) for w in packing.combinations(histogram)}
+    lengths = [v for v in range(1, 12) if histogram[v]]
+    assert ways == {(a, b) for a in lengths for b in lengths if a <= b and a + b == 12} | {(a, b, c) for a in lengths for b in lengths for c in lengths if a <= b <= c and a + b + c == 12}
+    assert len(packing.combinations(np.zeros(12, int))) == 0
+    made = np.bincount(np.random.default_rng(2).choice(np.arange(100, 1900), 20_000), minlength=2048)
+    ways = packing.combinations(made)
+    x = packing.solve(ways, made)
+    used = np.bincount(ways.ravel(), np.repeat(x, 3), minlength=2048)
+    assert (x >= 0).all() and np.abs(used - made)[1:].sum() < 0.05 * made.sum()
+    own = packing.plan(made)
+    assert (own.left <= made).all() and own.left.sum() > 0.6 * made.sum()
+
+
 def test_quick_ids_equal_the_library():
     from tessera.llm.bpe import KNOWN, ids_of
 
