@@ -514,7 +514,7 @@ def test_plan_uses_each_rest_once():
     assert all(s & (s - 1) == 0 for s in sizes)
 
 
-def test_combinations_are_all_there_and_fit_the_histogram():
+def test_combinations_are_all_there_and_fit_the_histogram(monkeypatch):
     histogram = np.array([5, 3, 0, 4, 2, 0, 1, 2, 0, 4, 1, 2])
     ways = {tuple(sorted(int(x) for x in w if x)) for w in packing.combinations(histogram)}
     lengths = [v for v in range(1, 12) if histogram[v]]
@@ -522,9 +522,12 @@ def test_combinations_are_all_there_and_fit_the_histogram():
     assert len(packing.combinations(np.zeros(12, int))) == 0
     made = np.bincount(np.random.default_rng(2).choice(np.arange(100, 1900), 20_000), minlength=2048)
     ways = packing.combinations(made)
+    def left(x):
+        return np.linalg.norm((np.bincount(ways.ravel(), np.repeat(x, 3), minlength=2048) - made)[1:])
+
     x = packing.solve(ways, made)
-    used = np.bincount(ways.ravel(), np.repeat(x, 3), minlength=2048)
-    assert (x >= 0).all() and np.abs(used - made)[1:].sum() < 0.05 * made.sum()
+    monkeypatch.setattr(packing, "SETTLED", 1e-9)
+    assert (x >= 0).all() and left(x) <= 1.05 * left(packing.solve(ways, made)) < 0.1 * np.linalg.norm(made)
     own = packing.plan(made)
     assert (own.left <= made).all() and own.left.sum() > 0.6 * made.sum()
 
