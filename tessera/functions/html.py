@@ -12,14 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements that go with all they hold, styles that hide, and addresses of tracking images.
-DROP = "script style head meta link title noscript iframe frame frameset object embed applet form input button select textarea svg canvas video audio base o:smarttagtype xml v:shapetype v:shape w:worddocument".split()
+DROP = (
+    "script", "style", "head", "meta", "link", "title", "noscript", "iframe", "frame", "frameset", "object", "embed", "applet", "form", "input", "button", "select", "textarea",
+    "svg", "canvas", "video", "audio", "base", "o:smarttagtype", "xml", "v:shapetype", "v:shape", "w:worddocument",
+)
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:[;\s]|$)|max-height\s*:\s*0|font-size\s*:\s*0|mso-hide\s*:\s*all", re.I)
 TRACKERS = ("open.aspx", "track", "beacon", "pixel.gif", "1x1.gif", "spacer.gif", "blank.gif", "transparent.gif")
 BAD_ATTRIBUTES = ("srcdoc", "formaction", "xlink:href")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("p div tr li h1 h2 h3 h4 h5 h6".split())
-#: Characters of an inline image address from which on the image goes, and rounds of taking layout tables apart.
-LONG_DATA, MOST_TABLES = 4096, 200
+SHELL = frozenset("tr td th tbody thead tfoot".split())
+#: Characters of an inline image address from which on the image goes, and the name of a table that is no more.
+LONG_DATA, LAYOUT = 4096, "#layout"
 
 
 class Node:
@@ -115,18 +119,25 @@ def _replace(root: Node, change) -> None:
         waiting.extend(node.children)
 
 
-def _without_layout(root: Node) -> None:
-    shell = {"tr", "td", "th", "tbody", "thead", "tfoot"}
-    for _ in range(MOST_TABLES):
-        layout = next((n for n in root.walk() if n.name == "table" and not is_data_table(n)), None)
-        if layout is None:
-            return
+def _opened(table: Node) -> list[Node]:
+    """What a table's cells hold, in order."""
+    out, waiting = [], list(reversed(table.children))
+    while waiting:
+        node = waiting.pop()
+        if node.name in SHELL:
+            waiting.extend(reversed(node.children))
+        else:
+            out.append(node)
+    return out
 
-        def open_up(node: Node) -> list[Node]:
-            return [x for c in node.children for x in open_up(c)] if node.name in shell else [node]
 
-        _replace(layout, open_up)
-        _replace(root, lambda c, layout=layout: layout.children if c is layout else [c])
+def _without_layout(root: Node) -> None:
+    """Layout tables give way to what their cells hold: one pass from the leaves up, so a table is judged by what its own inner
+    tables have become."""
+    for node in reversed(list(root.walk())):
+        node.children = [x for c in node.children for x in (c.children if c.name == LAYOUT else [c])]
+        if node.name == "table" and not is_data_table(node):
+            node.name, node.children = LAYOUT, _opened(node)
 
 
 def cleaned(html: str | None, cids: dict[str, str] | None = None) -> Node:

@@ -6,28 +6,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from tessera.functions import html
-from tessera.functions.chunking import UNIT, packed, tokens_of
+from tessera.functions.chunking import packed, tokens_of, units_of
 from tessera.functions.embedding import backend
 
 
-def _units(text: str) -> list[str]:
-    """chunking.units() of a Python string."""
-    import re
-
-    from tessera.functions.chunking import SENTENCE
-
-    out: list[str] = []
-    for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        for s in [p] if len(p) <= UNIT else [x for x in (y.strip() for y in re.split(SENTENCE, p) if y) if x] or [p]:
-            out += [s] if len(s) <= UNIT else [w for w in (s[i : i + UNIT].strip() for i in range(0, len(s), UNIT)) if w]
-    return out
-
-
 class Chunks:
     """chunks(text): chunk_index, text, token_count."""
 
     def eval(self, text: str):
-        for i, t in enumerate(packed(_units(text or ""))):
+        for i, t in enumerate(packed(units_of(text))):
             yield i, t, tokens_of(t)
 
 

@@ -150,7 +150,7 @@ def duration(c: Column | str) -> Column:
     """m:ss, or h:mm:ss from an hour on; null is --."""
     s = F.floor(F.greatest(_col(c).cast("double"), F.lit(0.0))).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
-    return F.when(s.isNull(), "--").when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    return F.when(_col(c).isNull(), "--").when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
 
 
 #: Device names that cannot be file names.

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tessera.__main__ import main, parser, run
 from tessera.archive import Archive
 from tessera.functions.embedding import hashing
-from tessera.functions.registry import _units, register
+from tessera.functions.chunking import units_of
+from tessera.functions.registry import register
 from tessera.operators.filters import Filters
 from tessera.sources import archive as sources
 
@@ -70,4 +71,4 @@ def test_registered_functions(spark):
     own = chunks(spark.createDataFrame([(1, "m", text)], "message_pk long, message_id string, body_text string")).collect()
     assert [(r["chunk_index"], r["text"], r["token_count"]) for r in rows] == [(r["chunk_index"], r["text"], r["token_count"]) for r in own]
     assert spark.sql("SELECT html_to_markdown('<b>x</b>') AS m, size(embed_text('x')) AS n").first()[:] == ("**x**", 512)
-    assert _units("a\n\nb") == ["a", "b"]
+    assert units_of("a\n\nb") == ["a", "b"]
