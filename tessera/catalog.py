@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import archive, fixtures, retrieval, texts
+from tessera.plans import archive, fixtures, relations, retrieval, texts
 
-PARTS = (retrieval.CATALOG, texts.CATALOG, archive.CATALOG, fixtures.CATALOG)
+PARTS = (retrieval.CATALOG, texts.CATALOG, archive.CATALOG, fixtures.CATALOG, relations.CATALOG)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,20 +47,6 @@ def reconcile_soft_delete(spark, sf_dir):
     return sync.soft_delete_missing(_local(spark, sf_dir), _seen(spark, sf_dir), F.lit("2025-01-01").cast("timestamp"))
 
 
-@query(f"WITH {MESSAGES} SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT message_pk FROM messages WHERE deleted_at IS NULL AND folder = 'src3')")
-def allowed_semi(spark, sf_dir):
-    allowed = messages(spark, sf_dir).where("deleted_at is null and folder = 'src3'")
-    return table(spark, sf_dir, "embeddings").join(allowed.select(F.col("message_pk").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "label")
-
-
-@query(f"""WITH {MESSAGES}, fresh AS (SELECT message_pk, sha256(body_text) AS h FROM messages), old AS (SELECT d.doc_id AS message_pk, sha256(text) AS h, e.vec_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)
-SELECT f.message_pk, o.vec_id, o.vec_id IS NOT NULL AS reused FROM fresh f LEFT JOIN old o ON o.message_pk = f.message_pk AND o.h = f.h""")
-def reuse_join(spark, sf_dir):
-    fresh = messages(spark, sf_dir).select("message_pk", F.sha2("body_text", 256).alias("h"))
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_pk"), F.sha2("text", 256).alias("h")).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_pk"), "vec_id"), "message_pk")
-    return fresh.join(old, ["message_pk", "h"], "left").select("message_pk", "vec_id", F.col("vec_id").isNotNull().alias("reused"))
-
-
 @query()
 def incremental_index(spark, sf_dir):
     """Chunks and vectors after an index run over what is pending, from an empty index."""
