@@ -34,8 +34,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The tables that this process has written and not discarded, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back."""
+    """Writes df as a table in the shared folder and reads it back. It stays until discard()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Takes away tables that nothing reads any more."""
+    for path in paths:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+        if path in MADE:
+            MADE.remove(path)
