@@ -21,7 +21,7 @@ from tessera.functions.text import EXTENSIONS, _col, safe_filename
 CHARSETS = ("utf-8", "gb18030", "big5", "shift_jis", "euc-kr", "latin-1")
 ATTACHED = ("application/", "image/", "audio/", "video/", "message/rfc822", "text/calendar", "text/csv")
 KEPT_HEADERS = ("List-Id", "List-Unsubscribe", "X-Mailer", "Return-Path", "Delivered-To")
-NO_SUBJECT, NO_BODY = "(无主题)", "(此邮件无正文内容)"
+NO_SUBJECT, NO_BODY, TOO_LARGE = "(无主题)", "(此邮件无正文内容)", "整封邮件过大，未下载附件"
 MOST_BODY, MOST_ATTACHMENT = 2 * 1024 * 1024, 50 * 1024 * 1024
 
 ATTACHMENT = T.StructType(
@@ -125,10 +125,11 @@ def parse(raw: bytes) -> dict:
     date_raw = header_text(mail.get("Date")).strip()
     bodies: dict[str, list[str]] = {"text/plain": [], "text/html": []}
     found: list[dict] = []
-    inside: set[int] = set()
-    for part in mail.walk():
-        if id(part) in inside:
-            continue
+    waiting = [mail]
+    while waiting:  # what a forwarded message holds stays inside it
+        part = waiting.pop()
+        if part.is_multipart() and part.get_content_type() != "message/rfc822":
+            waiting.extend(reversed(part.get_payload()))
         kind, disposition, name = part.get_content_type().lower(), (part.get_content_disposition() or "").lower(), part_name(part)
         cid = header_text(part.get("Content-ID")).strip().strip("<>").strip()
         if kind == "message/rfc822":
@@ -188,12 +189,14 @@ def parse_mail(c: Column | str) -> Column:
     return run(c)
 
 
-def attachment_policy(attachments: Column | str, most: int = MOST_ATTACHMENT, download: bool = True) -> Column:
-    """Each attachment with a safe name, downloaded, skip_reason; the payload only of those that are kept."""
+def attachment_policy(attachments: Column | str, most: int = MOST_ATTACHMENT, download: bool = True, size: Column | None = None) -> Column:
+    """Each attachment with a safe name, downloaded, skip_reason; the payload only of those that are kept. size: the whole
+    message's; one over `most` with a part over it is fetched in part, without any attachment."""
+    partial = F.lit(False) if size is None else F.coalesce((size > most) & F.exists(_col(attachments), lambda a: a["size_bytes"] > most), F.lit(False))
 
     def decide(a: Column) -> Column:
         big = F.concat(F.lit(f"超过大小阈值 {most // 1048576}MB（实际 "), F.format_string("%.1f", a["size_bytes"] / F.lit(1048576.0)), F.lit("MB）"))
-        reason = F.when(a["size_bytes"] > most, big).when(F.lit(not download), "配置为不下载附件").when(a["size_bytes"] == 0, "附件内容为空")
+        reason = F.when(a["size_bytes"] > most, big).when(F.lit(not download), "配置为不下载附件").when(partial, TOO_LARGE).when(a["size_bytes"] == 0, "附件内容为空")
         kept = [a[n].alias(n) for n in ("part_index", "content_type", "size_bytes", "content_id", "is_inline", "sha256")]
         name = safe_filename(a["filename"], 120, "attachment").alias("filename")
         return F.struct(*kept, name, reason.isNull().alias("downloaded"), reason.alias("skip_reason"), F.when(reason.isNull(), a["payload"]).alias("payload"))
@@ -324,7 +327,7 @@ def parts_not_fetched(parts: Column | str, most: int = MOST_ATTACHMENT) -> Colum
 
     def attachment(p: Column, i: Column) -> Column:
         name = F.when(p["filename"] == "", F.concat(F.lit("attachment_"), (i + 1).cast("string"))).otherwise(p["filename"])
-        reason = F.when(p["size"] > most, F.concat(F.lit(f"超过大小阈值 {most // 1048576}MB（实际 "), F.format_string("%.1f", p["size"] / F.lit(1048576.0)), F.lit("MB）"))).otherwise("整封邮件过大，未下载附件")
+        reason = F.when(p["size"] > most, F.concat(F.lit(f"超过大小阈值 {most // 1048576}MB（实际 "), F.format_string("%.1f", p["size"] / F.lit(1048576.0)), F.lit("MB）"))).otherwise(TOO_LARGE)
         return F.struct((i + 1).cast("int").alias("part_index"), safe_filename(name, 120, "attachment").alias("filename"), p["content_type"].alias("content_type"), p["size"].alias("size_bytes"), (p["disposition"] == "inline").alias("is_inline"), F.lit(False).alias("downloaded"), reason.alias("skip_reason"))
 
     return F.transform(own, attachment)
@@ -336,7 +339,8 @@ def messages(raw: DataFrame, content: str = "content", most: int = MOST_ATTACHME
     from tessera.functions.html import html_to_markdown_with
 
     mail = raw.withColumn("__m", parse_mail(content)).select(*(c for c in raw.columns if c != content), "__m.*")
-    mail = mail.withColumn("attachments", attachment_policy("attachments", most, download)).withColumn("has_attachments", F.coalesce(has_attachments("attachments"), F.lit(False)))
+    size = F.col("size_bytes") if "size_bytes" in raw.columns else None
+    mail = mail.withColumn("attachments", attachment_policy("attachments", most, download, size)).withColumn("has_attachments", F.coalesce(has_attachments("attachments"), F.lit(False)))
     mail = mail.withColumn("__md", html_to_markdown_with("text_html", cid_paths("attachments"))).withColumn("__body", compose_body("text_plain", "__md", "subject"))
     blank = F.btrim("__body.plain") == ""
     return mail.withColumns({"body_markdown": F.when(blank, f"*{NO_BODY}*").otherwise(F.col("__body.markdown")), "body_text": F.when(blank, NO_BODY).otherwise(F.col("__body.plain"))}).drop("__md", "__body")

@@ -77,6 +77,18 @@ def first_copies(messages: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(other, F.col("__first.message_pk"))).drop("__first")
 
 
+def copies_of(fresh: DataFrame, current: DataFrame) -> DataFrame:
+    """fresh with duplicate_of: the message with its Message-ID in another folder of the account that was there first, of
+    messages that came together the least id. What is there already stays as it is."""
+    ids = fresh.where(F.coalesce("message_id", F.lit("")) != "").select("account", "message_id").distinct()
+    there = current.select("account", "message_id", "message_pk", "folder", F.lit(0).alias("__late")).join(ids, ["account", "message_id"], "left_semi")
+    seen = there.unionByName(fresh.select("account", "message_id", "message_pk", "folder", F.lit(1).alias("__late")).where(F.coalesce("message_id", F.lit("")) != ""))
+    first = seen.groupBy("account", "message_id").agg(F.min_by(F.struct("message_pk", "folder"), F.struct("__late", "message_pk")).alias("__first"))
+    joined = fresh.drop("duplicate_of").join(first, ["account", "message_id"], "left")
+    other = (F.col("__first.message_pk") != F.col("message_pk")) & (F.col("__first.folder") != F.col("folder"))
+    return joined.withColumn("duplicate_of", F.when(other, F.col("__first.message_pk"))).drop("__first")
+
+
 def dedup_key(message_id: str = "message_id", folder: str = "folder", epoch: str = "uidvalidity", uid: str = "uid") -> Column:
     by_place = F.concat_ws(":", F.lit("uid"), folder, F.coalesce(F.col(epoch).cast("string"), F.lit("None")), uid)
     return F.when(F.coalesce(F.col(message_id), F.lit("")) != "", F.concat(F.lit("mid:"), message_id)).otherwise(by_place)

@@ -2,56 +2,112 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import archive_name, safe_path
+from tessera.sources.scratch import written
 
-#: Fields of the front matter, in order.
-FIELDS = ["message_id", "subject", "sender", "sender_name", "recipients", "cc", "date_utc", "folder", "account", "uid", "uidvalidity", "size_bytes", "has_attachments", "duplicate_of"]
+# The fields of the front matter, in order, and what stands for a body that is not there.
+FIELDS = ("message_id", "subject", "from", "to", "cc", "date", "folder", "uid", "attachments", "local_path", "account", "uidvalidity", "in_reply_to", "references", "size_bytes", "has_attachments", "attachment_count", "archived_at")
+NO_BODY = "*(此邮件无正文内容)*"
 
 
 def _quoted(c: Column) -> Column:
     """A YAML double-quoted scalar."""
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\r?\n", " "), F.lit('"'))
-
-
-def document(messages: DataFrame, body: str = "body_markdown") -> Column:
-    """Front matter, the subject as a heading, and the body."""
-    kinds = dict(messages.dtypes)
-    lines = []
-    for f in FIELDS:
-        if f in kinds:
-            c = F.col(f)
-            value = c.cast("string") if kinds[f] in ("bigint", "int", "boolean") else _quoted(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX") if kinds[f] == "timestamp" else c)
-            lines.append(F.concat(F.lit(f"{f}: "), F.coalesce(value, F.lit("null"))))
-    return F.concat(F.lit("---\n"), F.array_join(F.array(*lines), "\n"), F.lit("\n---\n\n# "), F.regexp_replace("subject", "\\s+", " "), F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n"))
-
-
-def archive_paths(messages: DataFrame) -> Column:
-    return F.concat_ws("/", safe_path(F.array("folder")), archive_name("date_utc", "subject", "uid"))
-
-
-def write_markdown(messages: DataFrame, path: str, body: str = "body_markdown") -> None:
-    """One text a row, in a folder for each mail folder; each text is a whole document with its path on the first line."""
-    own = messages.select(F.array_join(F.array(F.concat(F.lit("path: "), archive_paths(messages)), document(messages, body)), "\n").alias("value"), safe_path(F.array("folder")).alias("folder"))
-    own.write.partitionBy("folder").option("lineSep", "\x1e\n").text(path)
+    text = F.coalesce(c, F.lit(""))
+    for sign, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(sign), F.lit(escaped))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def _unquoted(c: Column) -> Column:
+    text = F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit("\\\\"), F.lit("\uf8ff"))
+    for sign, escaped in (('"', '\\"'), ("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(escaped), F.lit(sign))
+    return F.replace(text, F.lit("\uf8ff"), F.lit("\\"))
+
+
+def _front(messages: DataFrame) -> dict[str, Column]:
+    """Each field's value as YAML has it; columns that are not there are empty."""
+    there = set(messages.columns)
+    text = lambda name: F.col(name).cast("string") if name in there else F.lit("")
+    number = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("0")) if name in there else F.lit("0")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    shown = F.when(F.coalesce(text("sender_name"), F.lit("")) != "", F.concat(text("sender_name"), F.lit(" <"), text("sender"), F.lit(">"))).otherwise(text("sender"))
+    attached = F.coalesce("attachment_names", F.array().cast("array<string>")) if "attachment_names" in there else F.array().cast("array<string>")
+    return {
+        "message_id": _quoted(text("message_id")), "subject": _quoted(text("subject")), "from": _quoted(shown), "to": _quoted(text("recipients")), "cc": _quoted(text("cc")),
+        "date": _quoted(iso("date_utc") if "date_utc" in there else F.lit("")), "folder": _quoted(text("folder")), "uid": _quoted(text("uid")),
+        "attachments": F.concat(F.lit("["), F.array_join(F.transform(attached, _quoted), ", "), F.lit("]")), "local_path": _quoted(F.col("path")), "account": _quoted(text("account")),
+        "uidvalidity": number("uidvalidity"), "in_reply_to": _quoted(text("in_reply_to")), "references": _quoted(text("references")), "size_bytes": number("size_bytes"),
+        "has_attachments": F.coalesce(F.col("has_attachments"), F.lit(False)).cast("string") if "has_attachments" in there else F.lit("false"), "attachment_count": F.size(attached).cast("string"),
+        "archived_at": _quoted(iso("synced_at") if "synced_at" in there else F.lit("")),
+    }
+
+
+def documents(messages: DataFrame, body: str = "body_markdown") -> DataFrame:
+    """message_pk, path, document: a file for each message, its front matter, the subject as a heading, and the body. Where
+    messages of a folder would have one name, _1, _2 … tell them apart."""
+    name = archive_name("date_utc", "subject", "uid")
+    own = messages.withColumns({"__folder": safe_path(F.array("folder")), "__name": name})
+    n = F.row_number().over(Window.partitionBy("__folder", F.lower("__name")).orderBy("message_pk")) - 1
+    numbered = own.withColumn("__n", n)
+    suffix = F.when(F.col("__n") > 0, F.concat(F.lit("_"), F.col("__n").cast("string"))).otherwise("")
+    named = numbered.withColumn("path", F.concat(F.col("__folder"), F.lit("/"), F.regexp_replace("__name", r"\.md$", ""), suffix, F.lit(".md")))
+    front = _front(named)
+    head = F.array_join(F.array(*[F.concat(F.lit(f"{f}: "), front[f]) for f in FIELDS]), "\n")
+    title = F.when(F.coalesce("subject", F.lit("")) == "", "(无主题)").otherwise(F.regexp_replace("subject", "\\s+", " "))
+    text = F.btrim(F.coalesce(F.col(body), F.lit("")))
+    whole = F.concat(F.lit("---\n"), head, F.lit("\n---\n\n# "), title, F.lit("\n\n"), F.when(text == "", NO_BODY).otherwise(text), F.lit("\n"))
+    return named.select("message_pk", "path", whole.alias("document"))
+
+
+def write_markdown(messages: DataFrame, path: str, body: str = "body_markdown") -> DataFrame:
+    """Writes each message's file under path, on any store that Arrow's file systems know. A file is written beside its place
+    and then moved there, so a task that runs again leaves whole files only. Returns message_pk, path of what is there."""
+    root = path if "://" in path else None
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if root else (fs.LocalFileSystem(), path)
+        made: set[str] = set()
+        for batch in batches:
+            for to, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                folder = f"{base}/{to.rpartition('/')[0]}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{base}/{to}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(text.encode())
+                store.move(part, f"{base}/{to}")
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["message_pk", "path"])
+
+    return written(documents(messages, body).mapInArrow(write, "message_pk long, path string"), "markdown")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """folder, path, front (map of field to text), subject, body of what write_markdown wrote."""
-    rows = spark.read.option("lineSep", "\x1e\n").text(path)
-    parts = F.split("value", "(?m)^---\n", 3)
-    head = F.get(parts, F.lit(1))
-    lines = F.filter(F.split(head, "\n"), lambda x: x.contains(": "))
-    clean = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r'\\"', '"'), r"\\\\", r"\\")
-    front = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1), clean(F.substring(x, F.instr(x, ": ") + 2, F.length(x))))))
-    rest = F.regexp_replace(F.get(parts, F.lit(2)), r"^\n# [^\n]*\n\n", "")
-    return rows.select("folder", F.regexp_extract("value", "^path: ([^\n]*)", 1).alias("path"), front.alias("front"), F.regexp_extract(F.get(parts, F.lit(2)), r"^\n# ([^\n]*)", 1).alias("subject"), F.regexp_replace(rest, "\n$", "").alias("body"))
+    """path (under the given one), front (map of field to text), subject, body of each Markdown file. A file without front
+    matter is all body."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
+    parts = F.split("value", "(?m)^---$", 3)
+    has = F.col("value").startswith("---") & (F.size(parts) == 3)
+    lines = F.filter(F.split(F.get(parts, F.lit(1)), "\n"), lambda x: x.contains(": "))
+    front = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1), _unquoted(F.substring(x, F.instr(x, ": ") + 2, F.length(x))))))
+    rest = F.regexp_replace(F.when(has, F.get(parts, F.lit(2))).otherwise(F.col("value")), "^\n+", "")
+    where = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), F.lit("^.*?" + re.escape(path.split("://")[-1].rstrip("/")) + "/"), F.lit(""))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return rows.select(where.alias("path"), F.when(has, front).otherwise(none).alias("front"), F.regexp_extract(rest, r"^# ([^\n]*)", 1).alias("subject"), F.regexp_replace(F.regexp_replace(rest, r"^# [^\n]*\n+", ""), "\n$", "").alias("body"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

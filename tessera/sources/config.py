@@ -15,6 +15,7 @@ class SyncConfig:
     max_attachment_mb: int = 50
     fetch_batch_size: int = 50
     max_messages_per_run: int = 0
+    max_attempts: int = 3
     full_scan_hours: float = 24
     body_budget_kb: int = 2048
     exclude_folders: tuple[str, ...] = ()
@@ -102,5 +103,20 @@ def _filled(own, values: dict):
     return replace(own, **{k: _filled(getattr(own, k), v) if is_dataclass(getattr(own, k)) else tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
 
 
+def from_yaml(path: str) -> dict:
+    """A mapping from a YAML file; a file that is not there is empty."""
+    if not os.path.exists(path):
+        return {}
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading a YAML file takes PyYAML") from e
+    with open(path, encoding="utf-8") as f:
+        own = yaml.safe_load(f) or {}
+    if not isinstance(own, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return own
+
+
 def load(mapping: dict | None = None, env: dict[str, str] | None = None, overrides: dict | None = None) -> Config:
     return _filled(Config(), merged(merged(mapping or {}, environment(env)), overrides or {}))

@@ -56,3 +56,10 @@ def locked(spark: SparkSession, path: str) -> Iterator[None]:
 def unlock(spark: SparkSession, path: str) -> bool:
     own, fs = _path(spark, path)
     return bool(fs.delete(own, False))
+
+
+def names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows the prefix in the names of the folders there."""
+    own, fs = _path(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(own)] if fs.exists(own) else []
+    return sorted(n[len(prefix) :] for n in found if n.startswith(prefix))

@@ -72,3 +72,130 @@ def test_registered_functions(spark):
     assert [(r["chunk_index"], r["text"], r["token_count"]) for r in rows] == [(r["chunk_index"], r["text"], r["token_count"]) for r in own]
     assert spark.sql("SELECT html_to_markdown('<b>x</b>') AS m, size(embed_text('x')) AS n").first()[:] == ("**x**", 512)
     assert units_of("a\n\nb") == ["a", "b"]
+
+
+def _raw(spark, rows):
+    return spark.createDataFrame([(a, f, e, u, len(c), bytearray(c)) for a, f, e, u, c in rows], "account string, folder string, uidvalidity long, uid string, size_bytes long, content binary")
+
+
+def _mail(subject, message_id, body="text", **more):
+    return f"Subject: {subject}\r\nMessage-ID: <{message_id}>\r\nDate: Fri, 01 Mar 2024 10:00:00 +0000\r\n\r\n{body}\r\n".encode()
+
+
+def test_sync_plans_folders(spark, tmp_path):
+    """Watermarks, epochs, whole scans, copies in other folders, and folders of which nothing is known."""
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    mail = [("me", "A", 1, str(u), _mail(f"a{u}", f"a{u}@x")) for u in (1, 2, 3)] + [("me", "B", 1, "7", _mail("copy", "a2@x"))]
+    first = {r["folder"]: r.asDict() for r in own.sync(_raw(spark, mail)).collect()}
+    assert first["A"]["archived"] == 3 and first["B"]["archived"] == 1
+    copies = {r["subject"]: r["duplicate_of"] is not None for r in own.table("messages").collect()}
+    assert sum(copies.values()) == 1
+    marks = {r["folder"]: (r["uidvalidity"], r["last_uid"]) for r in own.folders().collect()}
+    assert marks == {"A": (1, 3), "B": (1, 7)}
+    again = [r for r in mail if r[3] != "1"] + [("me", "A", 1, "4", _mail("a4", "a4@x"))]
+    own.sync(_raw(spark, again))  # no whole scan is due: what is gone stays
+    assert own.statistics().first()["live"] == 5 and own.table("messages").where("subject = 'a4'").count() == 1
+    own.sync(_raw(spark, again), full=True)
+    assert own.statistics().first()["live"] == 4
+    own.sync(_raw(spark, mail), full=True)  # it comes back
+    assert own.table("messages").where("subject = 'a1' and deleted_at is null").count() == 1
+    epoch = [("me", "A", 2, str(u), _mail(f"new{u}", f"n{u}@x")) for u in (1, 2)] + [mail[3]]
+    own.sync(_raw(spark, epoch))
+    live = sorted(r["subject"] for r in own.page().collect())
+    assert live == ["copy", "new1", "new2"] and {r["folder"]: (r["uidvalidity"], r["last_uid"]) for r in own.folders().collect()}["A"] == (2, 2)
+    status = spark.createDataFrame([("me", "A", 2, 0), ("me", "B", 1, None)], "account string, name string, epoch long, messages long")
+    own.sync(_raw(spark, mail), full=True, status=status)  # an empty folder lists nothing; of the other nothing is known
+    assert own.statistics().first()["live"] == 3
+    assert own.last_runs(50).where("folder = 'A'").count() == 6
+
+
+def test_failed_messages_are_tried_again(spark, tmp_path, monkeypatch):
+    from tessera.functions import mime
+    from tessera.sources.config import load
+
+    own = Archive(spark, str(tmp_path / "a"), load(overrides={"sync": {"max_attempts": 2}}), hashing(64))
+    mail = _raw(spark, [("me", "A", 1, "1", _mail("good", "g@x")), ("me", "A", 1, "2", _mail("bad", "b@x"))])
+    plain = mime.messages
+
+    def failing(raw, **more):
+        out = plain(raw, **more)
+        return out.withColumn("error", F.when(F.col("uid") == "2", F.lit("broken")).otherwise(F.col("error")))
+
+    monkeypatch.setattr(mime, "messages", failing)
+    first = own.sync(mail).first()
+    assert (first["archived"], first["failed"], first["status"], first["error_summary"]) == (1, 1, "partial", "broken")
+    monkeypatch.setattr(mime, "messages", plain)
+    assert own.sync(mail).first()["archived"] == 1 and own.table("messages").where("error is not null").count() == 0
+    assert own.sync(mail).first()["fetched"] == 0
+    monkeypatch.setattr(mime, "messages", failing)
+    other = Archive(spark, str(tmp_path / "b"), load(overrides={"sync": {"max_attempts": 2}}), hashing(64))
+    assert [other.sync(mail).first()["failed"] for _ in range(3)] == [1, 1, 0]
+
+
+def test_one_writer(spark, tmp_path):
+    import pytest
+
+    from tessera.sources.folders import Locked
+
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    with own.writing(), pytest.raises(Locked):
+        own.index()
+    assert own.index().first()["messages"] == 0
+    with own.writing():
+        assert own.unlock() and not own.unlock()
+
+
+def test_contents_are_stored_once_and_only_touched_parts_are_written(spark, tmp_path):
+    from email.message import EmailMessage
+
+    def with_file(subject, data):
+        m = EmailMessage()
+        m["Subject"], m["Message-ID"] = subject, f"<{subject}@x>"
+        m.set_content("see file")
+        m.add_attachment(data, maintype="application", subtype="pdf", filename="a.pdf")
+        return bytes(m)
+
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    own.sync(_raw(spark, [("me", "A", 1, "1", with_file("one", b"same")), ("me", "B", 1, "1", with_file("two", b"same")), ("me", "B", 1, "2", with_file("three", b"other"))]))
+    assert own.table("blobs").count() == 2 and own.table("attachments").where("skip_reason = 'reused'").count() == 1
+    before = own.store("messages").parts()
+    own.sync(_raw(spark, [("me", "B", 1, "1", b""), ("me", "B", 1, "2", b""), ("me", "B", 1, "3", with_file("four", b"same"))]))
+    after = own.store("messages").parts()
+    assert own.table("blobs").count() == 2 and own.table("attachments").count() == 4 and sum(after[p] != v for p, v in before.items()) == 1
+    assert own.verify(deep=True).first()["healthy"] and own.attachment(own.table("attachments").first()["attachment_id"]).first()["payload"] is not None
+    own.vacuum(keep=1)
+    assert own.table("messages").count() == 4 and own.verify().first()["checked"] == 4
+    own.index()
+    assert own.search("three", limit=3).first()["subject"] == "three" and own.search("three", scope="subject").count() == 1
+    made = own.export(str(tmp_path / "md")).collect()
+    assert len(made) == 4 and sum(1 for _ in (tmp_path / "md").rglob("*.md")) == 4
+
+
+def test_a_damaged_backup_is_refused(spark, tmp_path):
+    import pytest
+
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    own.sync(raw(spark, 5))
+    own.backup(str(tmp_path / "b"))
+    other = Archive(spark, str(tmp_path / "c"), embedder=hashing(64))
+    other.restore(str(tmp_path / "b"))
+    assert other.statistics().first()["messages"] == 5 and other.indexes.messages.counts()[0] == 5
+    rows = spark.read.parquet(str(tmp_path / "b" / "messages"))
+    rows.limit(4).write.parquet(str(tmp_path / "less"))
+    import shutil
+
+    shutil.rmtree(tmp_path / "b" / "messages")
+    shutil.move(tmp_path / "less", tmp_path / "b" / "messages")
+    with pytest.raises(ValueError, match="messages"):
+        other.restore(str(tmp_path / "b"))
+
+
+def test_deleted_messages_leave_the_index(spark, tmp_path):
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    mail = [("me", "A", 1, str(u), _mail(f"a{u}", f"a{u}@x", f"word{u} again")) for u in (1, 2, 3)]
+    own.sync(_raw(spark, mail))
+    own.index()
+    assert own.table("chunks").count() == 3 and own.indexes.chunks.counts()[0] == 3
+    own.sync(_raw(spark, mail[1:]), full=True)
+    own.index()
+    assert own.table("chunks").count() == 2 and own.indexes.chunks.counts()[0] == 2 and own.search("word1", mode="keyword").count() == 0

@@ -101,3 +101,23 @@ def test_charsets(name):
 def test_parts_are_quarantined():
     assert mime.parsed(b"\xff\xfe\x00broken")["error"] is None
     assert F is not None
+
+
+def test_a_message_with_a_large_part_is_fetched_in_part(spark):
+    raw = build("<p>x</p>", [("big.bin", b"x" * 4096), ("small.bin", b"y")])
+    own = spark.createDataFrame([("1", raw, len(raw)), ("2", raw, 10)], "uid string, content binary, size_bytes long")
+    out = {r["uid"]: {a["filename"]: (a["downloaded"], a["skip_reason"], a["payload"] is None) for a in r["attachments"]} for r in mime.messages(own, most=1024).collect()}
+    assert out["1"]["small.bin"] == (False, mime.TOO_LARGE, True) and out["1"]["big.bin"][1].startswith("超过大小阈值")
+    assert out["2"]["small.bin"] == (True, None, False) and not out["2"]["big.bin"][0]
+
+
+def test_parts_of_forwarded_mail_stay_inside():
+    inner = EmailMessage()
+    inner["Subject"] = "inner"
+    inner.set_content("inner body")
+    inner.add_attachment(b"123", maintype="application", subtype="pdf", filename="in.pdf")
+    m = EmailMessage()
+    m.set_content("outer")
+    m.add_attachment(inner)
+    out = mime.parse(bytes(m))
+    assert out["text_plain"].strip() == "outer" and [a["content_type"] for a in out["attachments"]] == ["message/rfc822"]

@@ -53,11 +53,28 @@ def test_mailbox_stream_is_incremental_and_epochs_reset(spark, box, tmp_path_fac
 
 
 def test_markdown_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("a/b", 'Quote "x": y\\z', "7", "2024-03-01 10:00:00", "# body\n\n---\ntext", True), ("c", "plain", "8", None, "", False)], "folder string, subject string, uid string, d string, body_markdown string, has_attachments boolean").withColumn("date_utc", F.to_timestamp("d")).drop("d")
-    archive.write_markdown(rows, str(tmp_path / "md"))
-    out = {r["front"]["uid"].strip('"'): r for r in archive.read_markdown(spark, str(tmp_path / "md")).collect()}
-    assert out["7"]["body"] == "# body\n\n---\ntext" and out["7"]["front"]["subject"] == 'Quote "x": y\\z' and out["7"]["subject"] == 'Quote "x": y\\z'
-    assert out["7"]["path"].startswith("a/b/20240301_100000_Quote") and out["8"]["front"]["has_attachments"] == "false" and out["8"]["front"]["date_utc"] == "null"
+    schema = "message_pk long, folder string, subject string, uid string, d string, body_markdown string, has_attachments boolean, attachment_names array<string>, sender string, sender_name string"
+    rows = [(1, "a/b", 'Quote "x": y\\z', "7", "2024-03-01 10:00:00", "# body\n\n---\ntext", True, ['b".txt', "报.pdf"], "l@x", "Li"), (2, "c", "plain", "8", None, "", False, None, "h@x", ""), (3, "a/b", 'Quote "x": y\\z', "7", "2024-03-01 10:00:00", "other", False, None, None, None)]
+    own = spark.createDataFrame(rows, schema).withColumn("date_utc", F.to_timestamp("d")).drop("d")
+    made = {r["message_pk"]: r["path"] for r in archive.write_markdown(own, str(tmp_path / "md 1+2")).collect()}
+    assert sorted(str(p.relative_to(tmp_path / "md 1+2")) for p in (tmp_path / "md 1+2").rglob("*") if p.is_file()) == sorted(made.values())
+    assert made[1].startswith("a/b/20240301_100000_Quote") and made[3] == made[1].replace(".md", "_1.md")
+    out = {r["path"]: r for r in archive.read_markdown(spark, str(tmp_path / "md 1+2")).collect()}
+    assert set(out) == set(made.values())
+    first, second = out[made[1]], out[made[2]]
+    assert tuple(first["front"]) == archive.FIELDS and len(archive.FIELDS) == 18
+    assert first["body"] == "# body\n\n---\ntext" and first["front"]["subject"] == first["subject"] == 'Quote "x": y\\z'
+    assert first["front"]["from"] == "Li <l@x>" and first["front"]["attachment_count"] == "2" and first["front"]["has_attachments"] == "true" and first["front"]["uid"] == "7"
+    assert second["front"]["date"] == "" and second["body"] == archive.NO_BODY and second["front"]["from"] == "h@x" and out[made[3]]["body"] == "other"
+    (tmp_path / "md 1+2" / "plain.md").write_text("# T\n\nno front")
+    loose = {r["path"]: r for r in archive.read_markdown(spark, str(tmp_path / "md 1+2")).collect()}["plain.md"]
+    assert loose["front"] == {} and loose["subject"] == "T" and loose["body"] == "no front"
+    try:
+        import yaml
+    except ImportError:
+        return
+    text = (tmp_path / "md 1+2" / made[1]).read_text()
+    assert yaml.safe_load(text.split("---")[1])["attachments"] == ['b".txt', "报.pdf"]
 
 
 def test_queries_snapshot_and_demo(spark, tmp_path):
@@ -140,3 +157,14 @@ def test_a_cluster_must_name_its_shared_folder():
             scratch(session(master))
     for master in ("local", "local[8]", "local[*]", "local[4, 2]"):
         assert scratch(session(master))
+
+
+def test_yaml_configuration(tmp_path):
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"search": {"rrf_k": 7, "unknown": 1}, "sync": {"exclude_folders": ["Spam"]}}))
+    own = config.load(config.from_yaml(str(tmp_path / "c.yaml")), env={"TESSERA_SEARCH__DEFAULT_LIMIT": "3"})
+    assert own.search.rrf_k == 7 and own.search.default_limit == 3 and own.sync.exclude_folders == ("Spam",)
+    assert config.from_yaml(str(tmp_path / "none.yaml")) == {}
+    (tmp_path / "d.yaml").write_text("- 1")
+    with pytest.raises(ValueError, match="mapping"):
+        config.from_yaml(str(tmp_path / "d.yaml"))
