@@ -62,7 +62,7 @@ def test_markdown_round_trip(spark, tmp_path):
     out = {r["path"]: r for r in archive.read_markdown(spark, str(tmp_path / "md 1+2")).collect()}
     assert set(out) == set(made.values())
     first, second = out[made[1]], out[made[2]]
-    assert tuple(first["front"]) == archive.FIELDS and len(archive.FIELDS) == 18
+    assert set(first["front"]) == set(archive.FIELDS) and len(archive.FIELDS) == 18
     assert first["body"] == "# body\n\n---\ntext" and first["front"]["subject"] == first["subject"] == 'Quote "x": y\\z'
     assert first["front"]["from"] == "Li <l@x>" and first["front"]["attachment_count"] == "2" and first["front"]["has_attachments"] == "true" and first["front"]["uid"] == "7"
     assert second["front"]["date"] == "" and second["body"] == archive.NO_BODY and second["front"]["from"] == "h@x" and out[made[3]]["body"] == "other"
