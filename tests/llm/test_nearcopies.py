@@ -75,3 +75,25 @@ def test_messy_rows(spark, messy, empty):
     group = dict(zip((i for i, _ in rows), brute_groups([brute_set(t) for _, t in rows]), strict=True))
     component = dict(found)
     assert all((component[a] == component[b]) == (group[a] == group[b]) for a in group for b in group)
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """Sets that are dropped as too much alone have no partner: the groups are those of all pairs, also where every bucket is
+    a crowd and where few bits mark the texts."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in r.sample(range(80), r.choice([0, 1, 1, 2, 2, 3, 5, 8])):
+            own[at] = word()
+        texts.append(own[: 80 - r.choice([0, 0, 5, 12])])
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    group = brute_groups([brute_set(t) for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd, marks in ((1000, 1 << 27), (2, 1 << 27), (2, 1 << 15)):
+        monkeypatch.setattr(nearcopies, "CROWD", crowd)
+        monkeypatch.setattr(nearcopies, "MARKS", marks)
+        found = dict(docs_of(nearcopies.near_copies(docs, ["doc_id"]), "doc_id", "component"))
+        assert all((found[a] == found[b]) == (group[a] == group[b]) for a in range(60) for b in range(60))
