@@ -13,6 +13,8 @@ from tessera.sources.scratch import written
 
 #: Bytes of query vectors that are sent to every task at most; more go in blocks.
 MOST_QUERY_BYTES = 32 << 20
+#: Scores that a task makes at once.
+MOST_SCORES = 1 << 23
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -43,9 +45,32 @@ def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     return out[:, :dim]
 
 
+class Tops:
+    """The best k rows of each query of a block so far, ties to the smaller key."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.rows, self.keys, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(queries), -np.inf)
+
+    def offer(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self.queries @ vectors.T
+        at = scores.shape[1] - min(self.k, scores.shape[1])
+        floor = np.maximum(self.least, np.partition(scores, at, axis=1)[:, at])
+        rows, columns = np.nonzero(scores >= floor[:, None])
+        rows, keys, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.keys, keys[columns]), (self.scores, scores[rows, columns])))
+        order = np.lexsort((keys, -scores, rows))
+        rows, keys, scores = rows[order], keys[order], scores[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < self.k
+        self.rows, self.keys, self.scores = rows[kept], keys[kept], scores[kept]
+        full = np.bincount(self.rows, minlength=len(self.queries)) >= self.k
+        last = np.searchsorted(self.rows, np.arange(len(self.queries)), "right") - 1
+        self.least[full] = self.scores[last[full]]
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """query_key, key, score, rank for many queries: each task multiplies its vectors with a block of queries and keeps its
-    own k best, so only these move. Queries go out in blocks of a checked size."""
+    own k best over all its batches, so only these move. Queries go out in blocks of a checked size."""
     spark = vectors.sparkSession
     window = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     size = queries.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
@@ -60,13 +85,14 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
         def search(batches, shared=shared, schema=schema):
             ids, matrix = shared.value
+            if not len(ids):
+                return
+            tops, step = Tops(matrix, k), max(1, MOST_SCORES // len(ids))
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                scores = matrix @ matrix_of(batch.column(1), dim).T
-                at = scores.shape[1] - min(k, scores.shape[1])
-                q, c = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(np.asarray(batch.column(0))[c]), pa.array(scores[q, c])], schema=schema)
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    tops.offer(np.asarray(part.column(0)), matrix_of(part.column(1), dim))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[tops.rows]), pa.array(tops.keys), pa.array(tops.scores)], schema=schema)
 
         found = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(search, f"{query_key} long, {key} long, score double")
         best = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from tessera.operators import blobs, filters, incremental, search, sync, vectors
 from tessera.operators.filters import Filters
 from tessera.plans.views import MESSAGES, QUERY_VECTOR, Catalog, messages, query_vector, table
 from tessera.plans.views import vectors as vector_table
+from tessera.sources.scratch import fresh_path
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -235,3 +236,18 @@ def vector_batch_of_one(spark, sf_dir):
     """A batch of one query gives what a single query gives."""
     own = table(spark, sf_dir, "embeddings")
     return vectors.batch_top_k(own, own.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("vec_id", "rank")
+
+
+@query(f"""WITH {QUERY_VECTOR}, u AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS e FROM embeddings WHERE vec_id % 10 <> 3),
+s AS (SELECT vec_id AS chunk_id, list_dot_product(e::DOUBLE[], v::DOUBLE[]) AS score, (SELECT count(*) FROM u) AS stored FROM u, q)
+SELECT chunk_id, round(score, 6) AS score, stored FROM s ORDER BY score DESC, chunk_id LIMIT 10""")
+def vector_store(spark, sf_dir):
+    """A store after all vectors came in, a quarter of them again with other values, and a tenth went."""
+    from tessera.operators.vector_store import vector_store as make
+
+    own = make(spark, fresh_path(spark, "vector-store"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"), F.col("vec_id").alias("message_pk"), "embedding")
+    own.upsert(rows)
+    own.upsert(rows.where("chunk_id % 4 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    own.delete(rows.where("chunk_id % 10 = 3"))
+    return own.query(query_vector(spark, sf_dir), 10, "m").select("chunk_id", F.round("score", 6).alias("score"), F.lit(own.count()).cast("long").alias("stored"))

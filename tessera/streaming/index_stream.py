@@ -11,26 +11,37 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.sync import upsert
+from tessera.sources.scratch import written
+from tessera.sources.store import Table
+
+
+#: Parts of a merged table: a micro-batch writes those that hold its keys.
+PARTS = 64
 
 
 def merge_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Each micro-batch is merged into a table of versions: version n + 1 is n with the batch's newest rows. A batch that
-    runs again writes its own version again, so the result is the same."""
+    """Each micro-batch is merged into a table by parts, of which it writes those that hold its keys. A batch that runs again
+    brings the same newest rows, so the result is the same."""
     spark = stream.sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    table = Table(spark, path, schema)
+    part = F.lpad(F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("string"), 2, "0")
 
     def merge(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in batch.columns if c not in keys]).select(batch.columns)
-        if number:
-            newest = upsert(spark.read.parquet(f"{path}/v={number - 1}"), newest, keys, order=order, revive=None)
-        newest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        newest = written(newest.withColumn("part", part), "micro-batch")
+        touched = [r["part"] for r in newest.select("part").distinct().collect()]
+        if touched:
+            before = table.read(touched).select(batch.columns)
+            table.write(written(upsert(before, newest.drop("part"), keys, order=order, revive=None).withColumn("part", part), "merged"), touched)
 
+    spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark, path: str) -> DataFrame:
-    versions = spark.read.option("basePath", path).parquet(path)
-    last = versions.agg(F.max("v").alias("v"))
-    return versions.join(F.broadcast(last), "v").drop("v")
+    """The merged table as it is now."""
+    return Table(spark, path, spark.read.text(f"{path}/schema").first()[0]).read()
 
 
 def without_copies(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:

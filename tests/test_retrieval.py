@@ -278,3 +278,42 @@ def test_like_comes_only_after_the_index(spark, tmp_path):
         b = [tuple(r) for r in search.keyword_channel(own, None, query).collect()]
         assert a == b, query
     assert [r["message_pk"] for r in search.field_search(own, "one", "subject", indexes=indexes).collect()] == [r["message_pk"] for r in search.field_search(own, "one", "subject").collect()]
+
+
+def test_tops_over_batches():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    queries, rows = r.integers(-3, 4, (9, 5)).astype(float), r.integers(-3, 4, (400, 5)).astype(float)
+    keys = r.permutation(400)
+    for k, step in ((1, 7), (5, 1), (5, 400), (500, 33)):
+        tops = vectors.Tops(queries, k)
+        for i in range(0, 400, step):
+            tops.offer(keys[i : i + step], rows[i : i + step])
+        got = [(q, c, s) for q, c, s in zip(tops.rows.tolist(), tops.keys.tolist(), tops.scores.tolist(), strict=True)]
+        want = [(q, c, -s) for q in range(9) for s, c in sorted((-float(queries[q] @ x), int(c)) for c, x in zip(keys, rows, strict=True))[:k]]
+        assert got == want
+
+
+def test_vector_store(spark, tmp_path):
+    from tessera.operators.vector_store import register, vector_store
+
+    def broken(spark, path):
+        raise ImportError("not here")
+
+    register("broken", broken)
+    own = vector_store(spark, str(tmp_path / "v"))
+    assert own.count() == 0 and own.query([1.0, 0.0], 3).count() == 0
+    rows = lambda *x: spark.createDataFrame(x, "chunk_id long, model string, message_pk long, embedding array<float>")
+    own.upsert(rows((1, "a", 1, [1.0, 0.0]), (2, "a", 1, [0.0, 1.0]), (2, "b", 1, [1.0, 1.0])))
+    assert own.count() == 3 and own.count("a") == 2 and [r["chunk_id"] for r in own.query([0.0, 1.0], 1, "a").collect()] == [2]
+    held = own.rows()
+    assert own.rows() is held
+    own.upsert(rows((1, "a", 1, [0.0, 2.0])))
+    assert own.rows() is not held and [tuple(r) for r in own.query([0.0, 1.0], 1, "a").collect()] == [(1, 2.0)]
+    own.delete(spark.createDataFrame([(2,), (9,)], "chunk_id long"))
+    assert own.count() == 1 and own.query([1.0, 0.0], 5, where=F.col("message_pk") == 7).count() == 0
+    own.reset()
+    assert own.count() == 0
+    with pytest.raises(ImportError):
+        vector_store(spark, str(tmp_path / "w"), "broken")
