@@ -79,7 +79,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Null doc_id: a fingerprint, and the component of the rows that it links to where one has an id; it never names
     a component. Repeated rows: each keeps its row. Empty docs: no rows. Other columns are not read."""
     fps = written(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    found = connected_components(links(nodes))
-    member = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(member, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))  # null where only rows without an id have it
+    found = connected_components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    least = member.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = member.join(least, "group").select("fp", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

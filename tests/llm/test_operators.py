@@ -277,6 +277,14 @@ def test_multi_index_links_find_all_near_fingerprints(spark):
     assert found == {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if (own[i] ^ own[j]).bit_count() <= 3}
 
 
+def test_links_over_a_row_without_an_id(spark, monkeypatch):
+    """Two documents that only meet through such a row are one component, and the row is in it."""
+    prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": (1 << 40) - 1}
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, *_: docs.replace({k: str(v) for k, v in prints.items()}, subset=["text"]).select("doc_id", F.col("text").cast("long").alias("fp")))
+    docs = spark.createDataFrame([(5, "a"), (None, "b"), (3, "c"), (9, "far"), (None, "far")], "doc_id long, text string")
+    assert plain(simhash.near_duplicates(docs).select("doc_id", "component_id").collect()) == plain([(5, 3), (None, 3), (3, 3), (9, 9), (None, 9)])
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.standard_normal(12)]) for i in range(300)] + [(i, [0.5] * 12) for i in range(300, 330)]
