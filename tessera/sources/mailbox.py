@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +13,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "account string, folder string, uidvalidity long, uid string, size_bytes long, content binary"
-#: Messages that one task reads.
-PER_TASK = 200
+#: Tasks that share a folder.
+SLICES = 8
 UIDVALIDITY = ".uidvalidity"
 
 
 class Slice(InputPartition):
-    def __init__(self, folder: str, epoch: int, uids: Sequence[int]):
-        super().__init__((folder, epoch, tuple(uids)))
-        self.folder, self.epoch, self.uids = folder, epoch, tuple(uids)
+    """The messages of a folder with low < uid <= high (None: any) whose uid is `index` modulo `of`. The task lists them."""
+
+    def __init__(self, folder: str, epoch: int, low: int, high: int | None, index: int, of: int):
+        super().__init__((folder, epoch, low, high, index, of))
+        self.folder, self.epoch, self.low, self.high, self.index, self.of = folder, epoch, low, high, index, of
 
 
 class _Box:
@@ -34,31 +36,39 @@ class _Box:
         wanted = [x.strip() for x in options.get("folders", "").split(",") if x.strip()]
         self.keep = lambda name: name.lower() not in excluded and (not wanted or name in wanted)
 
-    def folders(self) -> dict[str, tuple[int, list[int]]]:
+        self.of = int(options.get("slices", SLICES))
+
+    def epochs(self) -> dict[str, int]:
+        """The folders and their epochs: a look at the folders only, not at what is in them."""
         out = {}
         for d in sorted(p for p in self.root.iterdir() if p.is_dir()):
             if self.keep(d.name):
                 mark = d / UIDVALIDITY
-                uids = sorted(int(p.stem) for p in d.glob("*.eml") if p.stem.isdigit())
-                out[d.name] = int(mark.read_text()) if mark.exists() else 1, uids
+                out[d.name] = int(mark.read_text()) if mark.exists() else 1
         return out
 
+    def uids(self, folder: str) -> Iterator[int]:
+        with os.scandir(self.root / folder) as found:
+            for entry in found:
+                stem, dot, ending = entry.name.rpartition(".")
+                if dot and ending == "eml" and stem.isdigit():
+                    yield int(stem)
+
+    def slices(self, folder: str, epoch: int, low: int, high: int | None = None) -> list[Slice]:
+        return [Slice(folder, epoch, low, high, i, self.of) for i in range(self.of)]
+
     def rows(self, part: Slice) -> Iterator[tuple]:
-        for uid in part.uids:
+        for uid in sorted(u for u in self.uids(part.folder) if u > part.low and (part.high is None or u <= part.high) and u % part.of == part.index):
             raw = (self.root / part.folder / f"{uid}.eml").read_bytes()
             yield self.account, part.folder, part.epoch, str(uid), len(raw), raw
 
 
-def _slices(folder: str, epoch: int, uids: list[int]) -> list[Slice]:
-    return [Slice(folder, epoch, uids[i : i + PER_TASK]) for i in range(0, len(uids), PER_TASK)]
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.box, self.since = _Box(options), int(options.get("since", 0))
 
     def partitions(self):
-        return [s for f, (e, uids) in self.box.folders().items() for s in _slices(f, e, [u for u in uids if u > self.since])]
+        return [s for f, e in self.box.epochs().items() for s in self.box.slices(f, e, self.since)]
 
     def read(self, partition):
         return self.box.rows(partition)
@@ -74,14 +84,16 @@ class _Stream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self):
-        return {f: [e, uids[-1] if uids else 0] for f, (e, uids) in self.box.folders().items()}
+        return {f: [e, max(self.box.uids(f), default=0)] for f, e in self.box.epochs().items()}
 
     def partitions(self, start, end):
-        out = []
-        for f, (epoch, uids) in self.box.folders().items():
-            if f in end and end[f][0] == epoch:
-                low = start[f][1] if f in start and start[f][0] == epoch else 0
-                out += _slices(f, epoch, [u for u in uids if low < u <= end[f][1]])
+        out, now = [], self.box.epochs()
+        for f, (epoch, high) in end.items():
+            if now.get(f) != epoch:  # it began anew since; the next batch has it
+                continue
+            low = start[f][1] if f in start and start[f][0] == epoch else 0
+            if high > low:
+                out += self.box.slices(f, epoch, low, high)
         return out
 
     def read(self, partition):
@@ -120,7 +132,11 @@ def message_files(spark: SparkSession, root: str) -> DataFrame:
 
 def folder_status(spark: SparkSession, root: str) -> DataFrame:
     """account, name, epoch, messages, next_uid of each folder."""
-    rows = [("", f, e, len(uids), (uids[-1] if uids else 0) + 1) for f, (e, uids) in _Box({"path": root}).folders().items()]
+    own = _Box({"path": root})
+    rows = []
+    for f, e in own.epochs().items():
+        uids = list(own.uids(f))
+        rows.append(("", f, e, len(uids), max(uids, default=0) + 1))
     return spark.createDataFrame(rows, "account string, name string, epoch long, messages long, next_uid long")
 
 
