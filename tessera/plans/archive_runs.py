@@ -80,11 +80,10 @@ def archive_statistics(spark, sf_dir):
     return spark.createDataFrame([(r[0], r[1], r[2], same == live.count() == chunks.select("message_pk").distinct().count())], "messages long, live long, pending long, chunked boolean")
 
 
-@query(f"WITH {_SEEN} SELECT 'doc-' || doc_id || '@corpus' AS message_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM seen WHERE NOT deleted AND source = 'src3' ORDER BY doc_id DESC LIMIT 20")
+@query(f"WITH {_SEEN} SELECT 'doc-' || doc_id || '@corpus' AS message_id, source AS folder, CAST(1 AS DOUBLE) AS score FROM seen WHERE NOT deleted AND source = 'src3'")
 def archive_field_search(spark, sf_dir):
-    """Senders of one folder, through the maintained index: all are of one score, the newest come first."""
-    out = archived(spark, sf_dir).search("src3", scope="sender", limit=20)
-    return out.select("message_id", F.col("rank").cast("long").alias("rank"))
+    """Senders of one folder, through the maintained index; all are of one score."""
+    return archived(spark, sf_dir).search("src3", scope="sender", limit=1 << 30).select("message_id", "folder", "score")
 
 
 @query(f"WITH {_SEEN} SELECT count(*) AS messages, count(*) AS indexed, (SELECT count(*) FROM seen WHERE NOT deleted) AS live FROM seen")
