@@ -169,11 +169,11 @@ def recent_runs(spark, sf_dir):
     return sync.recent(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type"), 20)
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY lower(p_name) DESC, p_partkey LIMIT 15")
+@query("SELECT c_custkey, upper(c_name) AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, lower(c_name) FROM customer WHERE c_custkey % 2 = 1 ORDER BY lower(name) DESC LIMIT 15")
 def client_sort(spark, sf_dir):
-    """Texts without regard to case; ids settle ties."""
-    own = table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("p_name"))
-    return search.sort_rows(own.repartition(1).sortWithinPartitions("p_partkey"), "p_name", True).limit(15).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("plain")), "p_partkey").select("p_partkey", F.col("plain").alias("p_name"))
+    """Texts without regard to case."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.lower("c_name")).alias("name"))
+    return search.sort_rows(own, "name", True).limit(15)
 
 
 @query(f"WITH {MESSAGES} SELECT message_pk, folder FROM messages WHERE folder IN ('src1', 'src2') AND account = 'en'")
