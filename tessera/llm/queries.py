@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, linededup, packing, quality, simhash, substrings, tokencount, topk, toxicity, warc
+from tessera.llm import chat, decontaminate, drift, linededup, packing, quality, simhash, substrings, tokencount, topk, toxicity, variants, warc
 from tessera.llm.common import table
 
 
@@ -52,7 +52,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_exact_top_k, op6_token_counts, op7_suffix_array_dedup, op8_packing, op9_toxicity, op10_warc)}
+#: The columns of `clients`, in the order of their field ids.
+CLIENTS = ("client_id", "master_id", "source", "updated_at", "name", "email", "city", "nation_id", "segment", "balance")
+
+
+def op11_drifted_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.drifted_rewrite(spark.read.parquet(f"{sf_dir}/clients.parquet").select(*CLIENTS))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.range(2).select(*own))
+    return chat.digest(chat.formatted(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_exact_top_k, op6_token_counts, op7_suffix_array_dedup, op8_packing, op9_toxicity, op10_warc, op11_drifted_rewrite, op12_spelling_variants, op13_chat_formatting)}
 
 ORACLE_SQL = {
     "op1_line_dedup": """
@@ -98,4 +116,14 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(g, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // d) % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM n""",
+    "op13_chat_formatting": """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marks AS (SELECT *, len(regexp_extract_all(role || chr(10) || text, '<\\\\*/?s>|\\[\\\\*/?INST\\]')) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + length(role) + length(text) + n) AS BIGINT) AS formatted_chars
+FROM marks GROUP BY conv_id""",
 }
