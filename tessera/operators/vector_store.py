@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import sync
+from tessera.operators.cell_store import CellStore
 from tessera.operators.vectors import batch_top_k, top_k
 from tessera.sources.scratch import written
 from tessera.sources.store import Table
@@ -67,8 +68,10 @@ class VectorStore:
         return batch_top_k(self.rows(), own, k, "chunk_id")
 
 
-#: Stores by name; `auto` takes the first that can be made.
-BACKENDS = {"exact": VectorStore}
+#: Stores by name: the exact one, and one of cells, which reads only those near a query. `auto` takes the first one that has
+#: been registered besides and can be made, the exact one at last.
+OWN = ("exact", "cells")
+BACKENDS = {"exact": VectorStore, "cells": CellStore}
 
 
 def register(name: str, make) -> None:
@@ -77,7 +80,7 @@ def register(name: str, make) -> None:
 
 def vector_store(spark: SparkSession, path: str, name: str = "auto") -> VectorStore:
     """A store by name; auto takes the first registered one that can be made, the exact one at last."""
-    for key in [name] if name != "auto" else [*(k for k in BACKENDS if k != "exact"), "exact"]:
+    for key in [name] if name != "auto" else [*(k for k in BACKENDS if k not in OWN), "exact"]:
         try:
             return BACKENDS[key](spark, path)
         except (ImportError, OSError):

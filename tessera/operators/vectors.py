@@ -53,12 +53,13 @@ class Tops:
         self.rows, self.keys, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.least = np.full(len(queries), -np.inf)
 
-    def offer(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        scores = self.queries @ vectors.T
+    def offer(self, keys: np.ndarray, vectors: np.ndarray, who: np.ndarray | slice = slice(None)) -> None:
+        """who: the queries that these rows are for."""
+        scores = self.queries[who] @ vectors.T
         at = scores.shape[1] - min(self.k, scores.shape[1])
-        floor = np.maximum(self.least, np.partition(scores, at, axis=1)[:, at])
+        floor = np.maximum(self.least[who], np.partition(scores, at, axis=1)[:, at])
         rows, columns = np.nonzero(scores >= floor[:, None])
-        rows, keys, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.keys, keys[columns]), (self.scores, scores[rows, columns])))
+        rows, keys, scores = (np.concatenate(x) for x in ((self.rows, np.arange(len(self.queries))[who][rows]), (self.keys, keys[columns]), (self.scores, scores[rows, columns])))
         order = np.lexsort((keys, -scores, rows))
         rows, keys, scores = rows[order], keys[order], scores[order]
         kept = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < self.k

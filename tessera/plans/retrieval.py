@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.embedding import hashing, embed
 from tessera.functions.text import snippet
 from tessera.operators import match, search, vectors
+from tessera.operators.cell_store import CellStore
 from tessera.operators.filters import Filters, all_terms, condition, pending_index
 from tessera.operators.match import Phrase
 from tessera.operators.postings import keyword_hits
@@ -218,6 +219,64 @@ def vector_batch_topk(spark, sf_dir):
     return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+_CELLS: dict[tuple[str, str], CellStore] = {}
+
+
+def cell_store(spark, sf_dir):
+    """All vectors in cells on disk, made when a session first asks for it."""
+    place = spark.sparkContext.applicationId, sf_dir
+    if place not in _CELLS:
+        own = CellStore(spark, fresh_path(spark, "cells"))
+        own.upsert(vector_table(spark, sf_dir).select("chunk_id", F.lit("m").alias("model"), "message_pk", "embedding"))
+        _CELLS[place] = own
+    return _CELLS[place]
+
+
+def _asked(spark, sf_dir):
+    """Every fiftieth vector as a query."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _asked_sql(rows="embeddings"):
+    return f"""WITH p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, {rows} c WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20"""
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The 20 nearest of each query in the cells that it probes; tests and ann_recall hold it against all rows."""
+    out = cell_store(spark, sf_dir).queries(_asked(spark, sf_dir), 20)
+    return out.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(_asked_sql())
+def ann_topk_all_cells(spark, sf_dir):
+    """With all cells probed it is the exact search."""
+    own = cell_store(spark, sf_dir)
+    return own.queries(_asked(spark, sf_dir), 20, len(own.centres())).select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, TRUE AS recalled, TRUE AS skipped FROM embeddings")
+def ann_recall(spark, sf_dir):
+    """Whether the probed cells have nine tenths of the exact hits, and whether they are fewer than there are."""
+    own = cell_store(spark, sf_dir)
+    found = own.recall(_asked(spark, sf_dir), 20).agg(F.count("*").alias("queries"), (F.sum("found") >= 0.9 * F.sum("there")).alias("recalled"))
+    return found.withColumn("skipped", F.lit(own.probes() < len(own.centres())))
+
+
+@query(_asked_sql("(SELECT vec_id, CASE WHEN vec_id % 3 = 1 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 7 <> 2)"))
+def ann_kept_up(spark, sf_dir):
+    """Cells after a change of a third of the vectors, which move to others, and after a seventh goes; all cells probed."""
+    rows = vector_table(spark, sf_dir).select("chunk_id", F.lit("m").alias("model"), "message_pk", "embedding")
+    own = CellStore(spark, fresh_path(spark, "cells-kept"))
+    own.upsert(rows)
+    own.upsert(rows.where("chunk_id % 3 = 1").withColumn("embedding", F.reverse("embedding")))
+    own.delete(rows.where("chunk_id % 7 = 2").select("chunk_id"))
+    return own.queries(_asked(spark, sf_dir), 20, len(own.centres())).select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 _VECTOR_CTES = f"""{QUERY_VECTOR},
 vector AS (
   SELECT vec_id AS message_pk, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-import duckdb
 import pytest
 
 from tessera import catalog
 
+duckdb = pytest.importorskip("duckdb")
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
