@@ -286,6 +286,9 @@ class Archive:
         with self.writing():
             for name in TABLES:
                 self.store(name).vacuum(keep)
+            index = self.indexes
+            for own in (index.messages, index.chunks, index.bodies):
+                own.vacuum()
 
     # copies
 

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import math
+import operator
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.match import Phrase
-from tessera.operators.postings import asked_terms, scored_hits, token_columns
-from tessera.sources.folders import done, numbers
+from tessera.operators.postings import B, K1, LEAST_IDF, asked_terms, scored_hits, token_columns
+from tessera.sources.folders import done, numbers, remove
+from tessera.sources.scratch import MADE, discard, written
 
 #: Folders of a segment, by the first letters of a term: a term, or a prefix of so many letters, lies in one of them.
 BUCKETS, LETTERS = 32, 2
 #: Segments after which it is time to write the index anew.
 MOST_SEGMENTS = 16
-POSTINGS = "doc_id long, col string, len int, pos int, term string, segment int, bucket int"
+#: A segment's rows lie in ranges of like length, of about so many rows, and at most so many ranges.
+RANGE_ROWS, MOST_RANGES = 128, 1024
+#: Hits that a pruned search collects at most; rows that it scores at first, for each hit asked for, and how many times more
+#: each time it goes on.
+MOST_TOP, FIRST, MORE = 10_000, 4, 4
+POSTINGS = "doc_id long, col string, len int, pos int, term string, range int, segment int, bucket int"
+BLOCKS = "term string, range int, docs long, max_tf long, min_len int, segment int, bucket int"
 LENGTHS = "doc_id long, len int, segment int"
 GONE = "doc_id long, len int, of int, segment int"
 FACTS = "n long, tokens long, gone long, gone_tokens long, fresh boolean, segment int"
@@ -59,15 +71,32 @@ class KeywordIndex:
         return rows.join(gone, ["doc_id", "segment"], "left_anti")
 
     def add(self, docs: DataFrame, fresh: bool = False) -> None:
-        """The rows of docs, one a key, come in or replace those with their keys; with fresh the index begins anew."""
-        own = token_columns(docs, self.key, self.columns)
+        """The rows of docs, one a key, come in or replace those with their keys; with fresh the index begins anew. Texts are
+        cut into tokens once. Rows of like length share a range, and of each term and range the index notes how many rows have
+        it, how often at most, and how short the shortest is: what a row there can score at best."""
+        own = written(token_columns(docs, self.key, self.columns), "tokens")
+        made = MADE[-1]
         at = self._begin()
         own.select("doc_id", "len").write.parquet(f"{self.path}/lengths/segment={at}")
         salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-        rows = own.select("doc_id", "len", F.explode("cols").alias("c")).select("doc_id", F.col("c.col").alias("col"), "len", F.posexplode("c.tokens").alias("pos", "term")).withColumn("bucket", bucket_of(F.col("term")))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))  # a very common term is in so many tasks
-        dealt.sortWithinPartitions("bucket", "term", "doc_id", "pos").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={at}")
+        ranged = own.withColumn("range", self._range(self._read("lengths", LENGTHS, [at])))
+        rows = ranged.select("doc_id", "len", "range", F.explode("cols").alias("c")).select("doc_id", F.col("c.col").alias("col"), "len", "range", F.posexplode("c.tokens").alias("pos", "term")).withColumn("bucket", bucket_of(F.col("term")))
+        dealt = rows.repartition("bucket", F.pmod(F.col("range"), F.lit(salts)))  # a very common term is in so many tasks
+        dealt.sortWithinPartitions("bucket", "term", "range", "doc_id", "pos").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={at}")
+        tf = self._read("postings", POSTINGS, [at]).groupBy("bucket", "term", "range", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        blocks = tf.groupBy("bucket", "term", "range").agg(F.count("*").alias("docs"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+        blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{self.path}/blocks/segment={at}")
         self._end(at, self._read("lengths", LENGTHS, [at]).select("doc_id"), fresh)
+        discard(self.spark, [made])
+
+    @staticmethod
+    def _range(lengths: DataFrame) -> Column:
+        """The range of a row of so many tokens: cuts between the lengths' quantiles, MOST_RANGES at most."""
+        n = lengths.count()
+        ranges = min(MOST_RANGES, max(1, math.ceil(n / RANGE_ROWS)))
+        cuts = lengths.agg(F.percentile_approx("len", [i / ranges for i in range(1, ranges)], 10 * MOST_RANGES)).first()[0] if ranges > 1 else []
+        marks = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<int>")
+        return F.size(F.filter(marks, lambda c: c < F.col("len"))).cast("int")
 
     def remove(self, ids: DataFrame) -> None:
         """ids: the key of rows that go."""
@@ -103,15 +132,106 @@ class KeywordIndex:
         if not facts or not plan or not all(plan):
             return self.spark.createDataFrame([], "variant int, doc_id long, score double")
         own = [r["segment"] for r in facts]
-        rows = self._read("postings", POSTINGS, own)
-        asked = asked_terms(plan)
+        n, length = self.counts()
+        return scored_hits(self._without_gone(self._asked("postings", POSTINGS, own, asked_terms(plan)), facts, own), n, length, plan, column)
+
+
+    def _asked(self, name: str, schema: str, segments: list[int], asked: set[tuple[str, bool]]) -> DataFrame:
+        """Rows of the asked terms, from their folders only."""
+        rows = self._read(name, schema, segments)
         if all(len(t) >= LETTERS or not prefix for t, prefix in asked):
-            heads = sorted({t for t, _ in asked})
-            wanted = self.spark.range(1).select(*[bucket_of(F.lit(t)) for t in heads]).first()
+            wanted = self.spark.range(1).select(*[bucket_of(F.lit(t)) for t in sorted({t for t, _ in asked})]).first()
             rows = rows.where(F.col("bucket").isin(sorted(set(wanted))))
-        terms = _only(asked)
-        n, length = self.counts()
-        return scored_hits(self._without_gone(rows.where(terms), facts, own), n, length, plan, column)
+        return rows.where(_only(asked))
+
+    def top(self, phrases: list[Phrase], n: int, allowed: DataFrame | None = None) -> DataFrame:
+        """doc_id, score of the n best rows that have all phrases, ties to the smaller key; allowed: the doc_ids that may be
+        among them. What hits() and a sort give, but of the postings only those are read that may hold such a row: ranges
+        whose best possible score is under that of the n-th hit so far are passed over. Phrases of several tokens, and more
+        than MOST_TOP hits, are scored in full."""
+        if n > MOST_TOP or any(len(p.tokens) != 1 for p in phrases):
+            found = self.hits([phrases]).select("doc_id", "score")
+            best = (found if allowed is None else found.join(allowed, "doc_id", "left_semi")).orderBy("score", "doc_id").limit(n)
+            if n > MOST_TOP:
+                return best
+            rows = [tuple(r) for r in best.collect()]
+        else:
+            rows = self.pruned(phrases, n, allowed)[0]
+        return self.spark.createDataFrame(rows, "doc_id long, score double")
+
+    def pruned(self, phrases: list[Phrase], n: int, allowed: DataFrame | None = None) -> tuple[list[tuple[int, float]], dict[str, int]]:
+        """The rows of top(), for phrases of one token, and how many postings (a row with a term) there are and were read."""
+        facts = self._facts()
+        count, length = self.counts()
+        report = {"postings": 0, "read": 0, "ranges": 0, "ranges_read": 0}
+        if not facts or not phrases or not count:
+            return [], report
+        own, average = [r["segment"] for r in facts], length / count or 1.0
+        slots = [(i, p.tokens[0], p.prefix) for i, p in enumerate(phrases)]
+        asked = asked_terms([phrases])
+        fits = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
+        phrase = F.explode(F.array_compact(F.array(*[F.when(fits(t, prefix), F.lit(i)) for i, t, prefix in slots])))
+        blocks = self._asked("blocks", BLOCKS, own, asked).select("segment", "range", "term", "docs", "max_tf", "min_len", phrase.alias("phrase"))
+        # a row a segment, range and phrase: at most MOST_SEGMENTS times MOST_RANGES of each phrase
+        ranges = blocks.groupBy("segment", "range", "phrase").agg(F.sum("docs").alias("docs"), F.sum("max_tf").alias("tf"), F.min("min_len").alias("len"), F.min("term").alias("first"), F.max("term").alias("last")).collect()
+        weights = []
+        for i, t, prefix in slots:
+            mine = [r for r in ranges if r["phrase"] == i]
+            if len({x for r in mine for x in (r["first"], r["last"])}) <= 1 and not sum(r["gone"] for r in facts):
+                df = sum(r["docs"] for r in mine)
+            else:  # rows with several of the terms, or that are gone, are told apart
+                df = self._without_gone(self._asked("postings", POSTINGS, own, {(t, prefix)}).select("doc_id", "segment").distinct(), facts, own).count()
+            idf = math.log((count - df + 0.5) / (df + 0.5))
+            weights.append(idf if idf > 0 else LEAST_IDF)
+
+        best, rows = defaultdict(float), defaultdict(list)
+        for r in ranges:
+            best[r["segment"], r["range"]] += weights[r["phrase"]] * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["len"] / average))
+            rows[r["segment"], r["range"]].append(r["docs"])
+        waiting = sorted((place for place, docs in rows.items() if len(docs) == len(phrases)), key=lambda p: (-best[p], p))
+        report |= {"postings": sum(map(sum, rows.values())), "ranges": len(rows)}
+
+        top: list[tuple[int, float]] = []
+        most = max(256, FIRST * n)
+        while waiting:
+            least = -top[n - 1][1] if len(top) >= n else 0.0
+            waiting = [p for p in waiting if best[p] * (1 + 1e-9) >= least]
+            now, seen = [], 0
+            for p in waiting:
+                now.append(p)
+                seen += min(rows[p])
+                if seen >= most:
+                    break
+            if not now:
+                break
+            waiting, most = waiting[len(now) :], most * MORE
+            report["read"] += sum(sum(rows[p]) for p in now)
+            report["ranges_read"] += len(now)
+            by_segment: dict[int, list[int]] = defaultdict(list)
+            for segment, place in now:
+                by_segment[segment].append(place)
+            within = reduce(operator.or_, [(F.col("segment") == x) & F.col("range").isin(places) for x, places in by_segment.items()])
+            within = within & F.col("range").isin(sorted({p[1] for p in now}))  # reaches the scan, whatever the segments
+            found = self._without_gone(self._asked("postings", POSTINGS, own, asked).where(within), facts, own).select("doc_id", "len", phrase.alias("phrase"))
+            tf = found.groupBy("doc_id", "len", "phrase").agg(F.count("*").alias("tf"))
+            weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("phrase") + 1)
+            gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
+            scored = tf.groupBy("doc_id").agg(F.sum(-gain).alias("score"), F.count("*").alias("phrases")).where(F.col("phrases") == len(phrases)).drop("phrases")
+            if allowed is not None:
+                scored = scored.join(allowed, "doc_id", "left_semi")
+            hits = [(r["doc_id"], r["score"]) for r in scored.orderBy("score", "doc_id").limit(n).collect()]  # a page
+            top = sorted(top + hits, key=lambda x: (x[1], x[0]))[:n]
+        return top, report
+
+    def vacuum(self) -> list[int]:
+        """Takes away the segments from before the index last began anew. Returns them."""
+        facts = self._facts()
+        names_ = ("lengths", "postings", "blocks", "gone", "facts")
+        old = sorted({x for name in names_ for x in numbers(self.spark, f"{self.path}/{name}", "segment=") if facts and x < facts[0]["segment"]})
+        for x in old:
+            for name in names_:
+                remove(self.spark, f"{self.path}/{name}/segment={x}")
+        return old
 
 
 def _only(asked: set[tuple[str, bool]]) -> Column:

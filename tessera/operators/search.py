@@ -42,34 +42,50 @@ def _ranked(hits: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 def keyword_channel(messages: DataFrame, chunks: DataFrame | None, query: str, filters: Filters = Filters(), pool: int = LIMIT * MULTIPLIER, indexes: Indexes = Indexes()) -> DataFrame:
     """granularity (chunk or message), id, message_pk, score, rank. Variants of the query are tried from strict to relaxed,
-    each on chunks first and then on messages, and the first that finds anything counts: in one plan, the least of
-    2 * variant + granularity. Index statistics are of all rows; filters come after. If nothing is found, terms are looked
-    for as substrings, the newest first, with score 0. Over written indexes only their postings of the query's terms are
-    read, and texts only if these find nothing; else the texts are scanned for both in one plan."""
+    each on chunks first and then on messages, and the first that finds anything counts. Index statistics are of all rows;
+    filters come before the cut. If nothing is found, terms are looked for as substrings, the newest first, with score 0.
+    Over written indexes each step is a pruned search, which reads only postings that may be among the best; else the texts
+    are scanned, for all steps in one plan."""
     plan = match.variants(query)
     live = messages.where(condition(filters)).select("message_pk", "date_utc")
-    by_message = _hits(messages, "message_pk", MESSAGE_COLUMNS, plan, indexes.messages).select((F.col("variant") * 2 + 1).alias("step"), F.col("doc_id").alias("id"), F.col("doc_id").alias("message_pk"), "score")
+    words = [t for t in match.terms(query) if len(t) >= LEAST_TERM]
+    if indexes.messages is not None and (chunks is None or indexes.chunks is not None):
+        return _first_found(messages, chunks, plan, live, words, filters, pool, indexes)
+    by_message = keyword_hits(messages, "message_pk", MESSAGE_COLUMNS, plan).select((F.col("variant") * 2 + 1).alias("step"), F.col("doc_id").alias("id"), F.col("doc_id").alias("message_pk"), "score")
     found = by_message
     if chunks is not None:
         own = _hits(chunks, "chunk_id", CHUNK_COLUMNS, plan, indexes.chunks).join(chunks.select(F.col("chunk_id").alias("doc_id"), "message_pk"), "doc_id")
         found = own.select((F.col("variant") * 2).alias("step"), F.col("doc_id").alias("id"), "message_pk", "score").unionByName(by_message)
     found = found.join(live, "message_pk")
-    words = [t for t in match.terms(query) if len(t) >= LEAST_TERM]
     last = 2 * max(1, len(plan))
-    least = None
-    if indexes.messages is not None and (chunks is None or indexes.chunks is not None):
-        least = found.agg(F.min("step")).first()[0]
-    if words and least is None:
-        like = messages.where(condition(filters) & all_terms(words, ["subject", "body_text"])).select("message_pk", F.lit(last).alias("step"), F.col("message_pk").alias("id"), F.lit(0.0).alias("score"), "date_utc")
-        found = found.unionByName(like)
-    if least is not None:
-        own = found.where(F.col("step") == least)
-    else:
-        own = found.join(F.broadcast(found.agg(F.min("step").alias("first"))), F.col("step") == F.col("first"))
+    if words:
+        found = found.unionByName(_substrings(messages, words, filters).withColumn("step", F.lit(last)))
+    own = found.join(F.broadcast(found.agg(F.min("step").alias("first"))), F.col("step") == F.col("first"))
     own = own.withColumn("granularity", F.when(F.col("step") == last, "message").when(F.col("step") % 2 == 0, "chunk").otherwise("message"))
     return _ranked(own, [F.col("score"), F.when(F.col("step") == last, F.col("date_utc")).desc_nulls_last(), F.col("id")], pool).select("granularity", "id", "message_pk", "score", "rank")
 
 
+def _substrings(messages: DataFrame, words: list[str], filters: Filters) -> DataFrame:
+    """message_pk, id, score, date_utc of the messages that hold all words."""
+    return messages.where(condition(filters) & all_terms(words, ["subject", "body_text"])).select("message_pk", F.col("message_pk").alias("id"), F.lit(0.0).alias("score"), "date_utc")
+
+
+def _first_found(messages: DataFrame, chunks: DataFrame | None, plan: list[list[match.Phrase]], live: DataFrame, words: list[str], filters: Filters, pool: int, indexes: Indexes) -> DataFrame:
+    """The steps of keyword_channel() one after another over written indexes, to the first that has hits."""
+    columns = ("granularity", "id", "message_pk", "score", "rank")
+    places = [] if chunks is None else [("chunk", indexes.chunks, chunks.select(F.col("chunk_id").alias("doc_id"), "message_pk"))]
+    places.append(("message", indexes.messages, None))
+    for phrases in plan:
+        for name, index, of in places:
+            allowed = live.select(F.col("message_pk").alias("doc_id")) if of is None else of.join(live, "message_pk", "left_semi").select("doc_id")
+            hits = index.top(phrases, pool, allowed)
+            if not hits.isEmpty():
+                own = hits.withColumn("message_pk", F.col("doc_id")) if of is None else hits.join(of, "doc_id")
+                return _ranked(own.select(F.lit(name).alias("granularity"), F.col("doc_id").alias("id"), "message_pk", "score"), [F.col("score"), F.col("id")], pool).select(*columns)
+    found = _substrings(messages, words, filters) if words else _substrings(messages, [""], filters).where("false")
+    return _ranked(found.withColumn("granularity", F.lit("message")), [F.col("score"), F.col("date_utc").desc_nulls_last(), F.col("id")], pool).select(*columns)
+
+
 def vector_channel(messages: DataFrame, chunks: DataFrame, query_vector: list[float], filters: Filters = Filters(), pool: int = LIMIT * MULTIPLIER, least: float = 0.0, margin: float = 0.0) -> DataFrame:
     """granularity, id, message_pk, score, rank of the chunks nearest to the query among live messages that pass the
     filters, which come before the cut. chunks: chunk_id, message_pk, embedding."""

@@ -66,6 +66,22 @@ _register("bm25_phrase", [[Phrase(("licensed", "under", "the"), False)]])
 _register("bm25_phrase_prefix", [[Phrase(("gnu", "gen"), True), Phrase(("this", "work"), False)]])
 _register("bm25_column_scope", [[Phrase(("src3",), False)]], column="source")
 
+def _top(name, text, prefix, n=20):
+    """The best rows only, of a term that very many have, of two such, of a beginning of words."""
+    plan = match.strict(text, prefix)
+
+    def run(spark, sf_dir):
+        hits = documents_index(spark, sf_dir).top(plan, n)
+        return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    query(f"WITH {tokens_sql('documents', 'doc_id', ['text', 'source'])},\n{bm25_sql([plan])}\nSELECT doc_id, round(score, 6) AS score FROM hits ORDER BY hits.score, doc_id LIMIT {n}")(run)
+
+
+_top("bm25_top_common", "with", False)
+_top("bm25_top_common_and", "this with", False)
+_top("bm25_top_prefix", "licen wi", True)
+
 RELAXED = [[Phrase(("licensed", "under", "the", "nowhere"), False)], [Phrase(("licensed", "under", "the"), False)], [Phrase(("licensed", "under"), False)]]
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import sqlite3
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import segment_cjk
 from tessera.operators import match, search, vectors
 from tessera.operators.filters import Filters, all_terms, condition
+from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.match import Phrase
 from tessera.operators.postings import build_postings, index_hits, keyword_hits, write_index
 
@@ -317,3 +319,61 @@ def test_vector_store(spark, tmp_path):
     assert own.count() == 0
     with pytest.raises(ImportError):
         vector_store(spark, str(tmp_path / "w"), "broken")
+
+
+@pytest.fixture(scope="module")
+def pruned_index(spark, tmp_path_factory):
+    """Rows of very unlike lengths; one word that two fifths have, some words that few have."""
+    r = random.Random(8)
+    rows = [(i, " ".join([f"w{r.randint(0, 300)}" for _ in range(r.choice([3, 10, 40, 200]))] + ["common"] * r.choice([0, 0, 0, 1, 2]) + ["comet"] * (i % 9 == 0) + ["rare"] * (i % 400 == 7)), f"head {i % 5}") for i in range(2500)]
+    index = KeywordIndex(spark, str(tmp_path_factory.mktemp("pruned") / "i"), "id", ["body", "head"])
+    index.add(spark.createDataFrame(rows, "id long, body string, head string").repartition(3), fresh=True)
+    return index
+
+
+PRUNED = [("common", False), ("common w7", False), ("com", True), ("rare", False), ("common rare", False), ("w1 w2 w3", True), ("nowhere", False), ("common nowhere", False)]
+
+
+def same_top(index, text, prefix, n, allowed=None):
+    plan = match.strict(text, prefix)
+    full = index.hits([plan]).select("doc_id", "score")
+    want = (full if allowed is None else full.join(allowed, "doc_id", "left_semi")).orderBy("score", "doc_id").limit(n).collect()
+    rows, report = index.pruned(plan, n, allowed)
+    assert [(i, round(s, 9)) for i, s in rows] == [(r["doc_id"], round(r["score"], 9)) for r in want], text
+    assert [r["doc_id"] for r in index.top(plan, n, allowed).collect()] == [r["doc_id"] for r in want]
+    return report
+
+
+@pytest.mark.parametrize(("text", "prefix"), PRUNED)
+def test_pruned_searches_equal_full_ones(pruned_index, text, prefix):
+    for n in (1, 20):
+        same_top(pruned_index, text, prefix, n)
+
+
+def test_a_common_term_is_not_read_whole(pruned_index, spark):
+    report = same_top(pruned_index, "common", False, 10)
+    assert report["postings"] > 900 and report["read"] < 0.5 * report["postings"] and report["ranges_read"] < report["ranges"]
+    few = spark.range(0, 2500, 83).select(F.col("id").alias("doc_id"))
+    assert same_top(pruned_index, "common", False, 10, few)["read"] <= report["postings"]
+
+
+def test_pruned_searches_after_changes(spark, tmp_path):
+    """Several segments, rows that are gone or changed, and what is left after a vacuum."""
+    rows = [(i, "common " * (i % 4) + f"w{i % 7} " * (i % 30), "h") for i in range(700)]
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", ["body", "head"])
+    frame = lambda own: spark.createDataFrame(own, "id long, body string, head string")
+    index.add(frame(rows), fresh=True)
+    index.add(frame([(i, "common thing", "h") for i in range(0, 700, 5)] + [(900, "common", "h")]))
+    index.remove(spark.createDataFrame([(i,) for i in range(0, 700, 3)], "id long"))
+    for text, prefix in (("common", False), ("w3", False), ("common w", True), ("thing", False)):
+        same_top(index, text, prefix, 15)
+    before = {tuple(r) for r in index.hits([match.strict("common")]).collect()}
+    now = [(900, "common", "h"), *[(r[0], "common thing" if r[0] % 5 == 0 else r[1], "h") for r in rows if r[0] % 3]]
+    index.add(frame(now), fresh=True)
+    assert index.vacuum() == [1, 2, 3] and index.vacuum() == []
+    assert len(list((tmp_path / "i" / "postings").glob("segment=*"))) == 1
+    after = {tuple(r) for r in index.hits([match.strict("common")]).collect()}
+    assert {(a, b, round(c, 9)) for a, b, c in before} == {(a, b, round(c, 9)) for a, b, c in after}
+    same_top(index, "common", False, 15)
+    index.remove(spark.createDataFrame([(r[0],) for r in now], "id long"))
+    assert index.pruned(match.strict("common"), 5)[0] == []
