@@ -46,8 +46,7 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace, own: Archive) -> list[dict]:
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if args.command == "sync":
-        mailbox.register(own.spark)
-        raw = own.spark.read.format("mailbox").option("exclude", ",".join(own.config.sync.exclude_folders)).load(args.mailbox)
+        raw = mailbox.mails(own.spark, args.mailbox, own.config.sync.max_attachment_mb << 20, exclude=",".join(own.config.sync.exclude_folders))
         return rows(own.sync(raw, args.full, args.budget))
     if args.command == "demo":
         from pyspark.sql import functions as F

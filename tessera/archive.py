@@ -82,7 +82,8 @@ class Archive:
         return planned.withColumn("request", request).withColumn("whole", F.col("request") == "all")
 
     def sync(self, raw: DataFrame, full: bool = False, budget: int | None = None, status: DataFrame | None = None) -> DataFrame:
-        """raw: account, folder, uidvalidity, uid, size_bytes, content, as the mailbox source gives them. New messages, and those
+        """raw: account, folder, uidvalidity, uid, size_bytes, content, as the mailbox source gives them, and parts where large
+        messages are read in part (mailbox.mails, which opens a file only if its message is taken). New messages, and those
         that could not be read before (a few times), are parsed and merged; in folders that are listed whole, messages that are
         not in raw any more are marked as deleted, unless the budget cut the run short. Returns a row a folder: counts and
         status, which is also logged."""
@@ -96,6 +97,7 @@ class Archive:
         messages = self.store("messages")
         current = messages.read(part=True)
         failed = current.where(F.col("error").isNotNull() & (F.coalesce("attempts", F.lit(1)) < self.config.sync.max_attempts)).select(*keys, F.col("attempts").alias("__tries"))
+        raw = raw.drop("header", "path", "number")
         listed = raw.join(plan.select("account", F.col("name").alias("folder"), F.col("epoch").alias("uidvalidity"), "request", "start_uid"), ["account", "folder", "uidvalidity"])
         asked = listed.join(failed, keys, "left").where(F.col("__tries").isNotNull() | (F.col("request") == "all") | ((F.col("request") == "newer") & (sync.uid_number() > F.col("start_uid"))))
         known = current.where(F.col("deleted_at").isNull()).join(failed.select(keys), keys, "left_anti")  # a deleted message that is listed again comes back

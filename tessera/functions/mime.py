@@ -340,7 +340,11 @@ def messages(raw: DataFrame, content: str = "content", most: int = MOST_ATTACHME
 
     mail = raw.withColumn("__m", parse_mail(content)).select(*(c for c in raw.columns if c != content), "__m.*")
     size = F.col("size_bytes") if "size_bytes" in raw.columns else None
-    mail = mail.withColumn("attachments", attachment_policy("attachments", most, download, size)).withColumn("has_attachments", F.coalesce(has_attachments("attachments"), F.lit(False)))
+    attachments = attachment_policy("attachments", most, download, size)
+    if "parts" in raw.columns:  # of a message that was read in part its parts tell what is not here
+        there = F.transform(parts_not_fetched("parts", most), lambda a: F.struct(*[a[n].alias(n) if n not in ("content_id", "sha256", "payload") else F.lit(None).cast("binary" if n == "payload" else "string").alias(n) for n in ("part_index", "content_type", "size_bytes", "content_id", "is_inline", "sha256", "filename", "downloaded", "skip_reason", "payload")]))
+        attachments = F.when(F.col("parts").isNotNull(), there).otherwise(attachments)
+    mail = mail.withColumn("attachments", attachments).drop("parts").withColumn("has_attachments", F.coalesce(has_attachments("attachments"), F.lit(False)))
     mail = mail.withColumn("__md", html_to_markdown_with("text_html", cid_paths("attachments"))).withColumn("__body", compose_body("text_plain", "__md", "subject"))
     blank = F.btrim("__body.plain") == ""
     return mail.withColumns({"body_markdown": F.when(blank, f"*{NO_BODY}*").otherwise(F.col("__body.markdown")), "body_text": F.when(blank, NO_BODY).otherwise(F.col("__body.plain"))}).drop("__md", "__body")
