@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import archive, archive_runs, fixtures, relations, retrieval, texts
+from tessera.plans import archive, archive_runs, relations, retrieval, rules, texts
 
-PARTS = (retrieval.CATALOG, texts.CATALOG, archive.CATALOG, fixtures.CATALOG, relations.CATALOG, archive_runs.CATALOG)
+PARTS = (retrieval.CATALOG, texts.CATALOG, archive.CATALOG, rules.CATALOG, relations.CATALOG, archive_runs.CATALOG)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

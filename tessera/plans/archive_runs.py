@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.archive import Archive
 from tessera.functions.embedding import hashing
-from tessera.plans.fixtures import rows_sql
+from tessera.functions import mime
 from tessera.plans.views import Catalog, table
 from tessera.sources import archive as files
 from tessera.sources import mailbox
@@ -113,89 +113,117 @@ def archive_point_lookup(spark, sf_dir):
 
 # a folder of message files
 
-_BOX = {"INBOX": (1, (1, 2, 10)), "Sent": (3, (4,)), "Spam": (1, (9,)), "Empty": (2, ())}
+_FILES: dict[tuple[str, str], str] = {}
+#: Bytes of a message over which it is read in part; the attachment's share is the text's.
+LARGE = 2000
+_LETTER = "'Subject: No. ' || doc_id || ' of ' || source || chr(13) || chr(10) || 'From: ' || upper(lang) || ' <' || source || '@example.com>' || chr(13) || chr(10) || 'To: me@example.org' || chr(13) || chr(10) || 'Message-ID: <doc-' || doc_id || '@corpus>' || chr(13) || chr(10) || 'Date: ' || strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%d %b %Y %H:%M:%S') || ' +0000' || chr(13) || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(text, '')"
 
 
-def box(spark: SparkSession) -> str:
-    """A few message files in the shared folder, which executors read."""
-    place = fresh_path(spark, "mailbox").removeprefix("file://")
-    for folder, (epoch, uids) in _BOX.items():
-        mailbox.set_epoch(place, folder, epoch)
-        for uid in uids:
-            with open(f"{place}/{folder}/{uid}.eml", "wb") as f:
-                f.write(f"Subject: {folder} {uid}\r\n\r\nbody {uid}\r\n".encode())
-    mailbox.register(spark)
+def _write_files(rows: DataFrame, place: str) -> str:
+    """folder, uid, content as <place>/<folder>/<uid + 1>.eml (uids begin at 1), written by the tasks."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        n = 0
+        for b in batches:
+            for folder, uid, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                os.makedirs(f"{place}/{folder}", exist_ok=True)
+                with open(f"{place}/{folder}/{uid}.eml", "wb") as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("folder", (F.col("uid").cast("long") + 1).cast("string"), "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
     return place
 
 
-@query(rows_sql("folder string, uidvalidity long, uid string, size_bytes long", [("INBOX", 1, "1", 28), ("INBOX", 1, "2", 28), ("INBOX", 1, "10", 30), ("Sent", 3, "4", 27)]))
+def box(spark: SparkSession, sf_dir: str, parts: bool = False) -> str:
+    """The documents as message files of a folder for each source, in the shared folder; with parts each has its text as an
+    attachment too. Made when a session first asks for it."""
+    place = spark.sparkContext.applicationId, f"{sf_dir}{parts}"
+    if place not in _FILES:
+        rows = mails(spark, sf_dir)
+        if parts:
+            body = F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+            mail = F.concat(F.lit(_PARTS[0]), "uid", F.lit(_PARTS[1]), "uid", F.lit(_PARTS[2]), body, F.lit(_PARTS[3]))
+            rows = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("uid"), "text").select("folder", "uid", F.encode(mail, "utf-8").alias("content"))
+        _FILES[place] = _write_files(rows, fresh_path(spark, "mailbox").removeprefix("file://"))
+        mailbox.set_epoch(_FILES[place], "Empty", 2)
+    return _FILES[place]
+
+
+@query(f"SELECT source AS folder, CAST(1 AS BIGINT) AS uidvalidity, CAST(doc_id + 1 AS VARCHAR) AS uid, CAST(strlen({_LETTER}) AS BIGINT) AS size_bytes FROM documents WHERE source <> 'src3'")
 def mailbox_read(spark, sf_dir):
-    """Message files by folder, epoch and uid, with their sizes; an excluded folder is not read."""
-    return spark.read.format("mailbox").option("exclude", "SPAM").load(box(spark)).select("folder", "uidvalidity", "uid", "size_bytes")
+    """Message files by folder, epoch and uid, with their sizes; an excluded folder is not read, and no file opened."""
+    return mailbox.mails(spark, box(spark, sf_dir), exclude="SRC3").select("folder", "uidvalidity", "uid", "size_bytes")
 
 
-@query(rows_sql("folder string, uid string", [("INBOX", "10"), ("Spam", "9"), ("Sent", "4")]))
+@query(f"SELECT source AS folder, CAST(doc_id + 1 AS VARCHAR) AS uid, sha256({_LETTER}) AS digest FROM documents WHERE doc_id + 1 > 100 AND source IN ('src1', 'src2') AND strlen({_LETTER}) < 3000")
 def mailbox_since(spark, sf_dir):
-    """Uids compare as numbers."""
-    return spark.read.format("mailbox").option("since", "2").load(box(spark)).select("folder", "uid")
+    """Conditions reach the listing: uids as numbers, folders, sizes; only what is left is opened."""
+    rows = mailbox.mails(spark, box(spark, sf_dir)).where("number > 100 and folder in ('src1', 'src2') and size_bytes < 3000")
+    return rows.select("folder", "uid", F.sha2("content", 256).alias("digest"))
 
 
-@query(rows_sql("name string, epoch long, messages long, next_uid long", [("Empty", 2, 0, 1), ("INBOX", 1, 3, 11), ("Sent", 3, 1, 5), ("Spam", 1, 1, 10)]))
-def folder_status(spark, sf_dir):
-    return mailbox.folder_status(spark, box(spark)).select("name", "epoch", "messages", "next_uid")
+@query("SELECT source AS folder, CAST(doc_id + 1 AS VARCHAR) AS uid, 'doc-' || doc_id || '@corpus' AS message_id, 'No. ' || doc_id || ' of ' || source AS subject, source || '@example.com' AS sender FROM documents")
+def mailbox_headers(spark, sf_dir):
+    """Envelopes from headers alone: files are read up to the first empty line."""
+    rows = mailbox.mails(spark, box(spark, sf_dir)).select("folder", "uid", "header")
+    return mime.envelopes(rows, "header").select("folder", "uid", "message_id", "subject", "sender")
 
 
-@query(rows_sql("folder string, uid string", [("INBOX", "1"), ("INBOX", "2"), ("INBOX", "10"), ("Sent", "4"), ("Spam", "9")]))
-def mailbox_stream(spark, sf_dir):
-    """The same as a stream, batch by batch, into a table."""
-    place, out = box(spark), fresh_path(spark, "stream-out")
-    stream = spark.readStream.format("mailbox").load(place).select("folder", "uid")
-    stream.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("folder string, uid string").parquet(f"{out}/table")
+_PARTS = ("Subject: No. ", '\r\nContent-Type: multipart/mixed; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nbody of ', "\r\n--b\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename=t.bin\r\nContent-Transfer-Encoding: base64\r\n\r\n", "\r\n--b--\r\n")
 
 
-@query(rows_sql("messages long, subjects boolean, folders boolean, same boolean", [(12, True, True, True)]))
-def demo_mail(spark, sf_dir):
-    """Made-up mail is the same for the same seed, of known subjects and folders."""
-    from tessera.functions.mime import messages
+@query(f"""WITH m AS (SELECT *, strlen(coalesce(text, '')) AS n, CAST(4 * ceil(strlen(coalesce(text, '')) / 3.0) AS BIGINT) AS b FROM documents), l AS (SELECT *, b + 2 * (greatest(b - 1, 0) // 76) AS coded FROM m),
+s AS (SELECT *, coded + {sum(map(len, _PARTS))} + 2 * length(CAST(doc_id AS VARCHAR)) > {LARGE} AS large FROM l)
+SELECT CAST(doc_id + 1 AS VARCHAR) AS uid, 'No. ' || doc_id AS subject, 'body of ' || doc_id AS body_text, 't.bin' AS filename, large AS in_part, NOT large AND n > 0 AS downloaded, CAST(CASE WHEN large THEN coded ELSE n END AS BIGINT) AS size_bytes FROM s""")
+def mailbox_large(spark, sf_dir):
+    """Of messages over a size only header and text are read, by their places in the file; attachments are told of."""
+    rows = mime.messages(mailbox.mails(spark, box(spark, sf_dir, True), LARGE).withColumn("in_part", F.col("parts").isNotNull()), most=LARGE)
+    a = F.get("attachments", F.lit(0))
+    return rows.select("uid", "subject", "body_text", a["filename"].alias("filename"), "in_part", a["downloaded"].alias("downloaded"), a["size_bytes"].alias("size_bytes"))
 
-    own = messages(files.demo_mail(spark, 12))
-    again = files.demo_mail(spark, 12).exceptAll(files.demo_mail(spark, 12)).isEmpty()
-    facts = own.agg(F.count("*"), F.every(F.col("subject").isin(files.DEMO_SUBJECTS)), F.every(F.col("folder").isin(files.DEMO_FOLDERS))).first()
-    return spark.createDataFrame([(*facts, again)], "messages long, subjects boolean, folders boolean, same boolean")
 
+@query("SELECT source AS name, CAST(1 AS BIGINT) AS epoch, count(*) AS messages, max(doc_id) + 2 AS next_uid FROM documents GROUP BY source UNION ALL SELECT 'Empty', 2, 0, 1")
+def folder_status(spark, sf_dir):
+    return mailbox.folder_status(spark, box(spark, sf_dir)).select("name", "epoch", "messages", "next_uid")
 
-@query(rows_sql("kind string, query string", [("relevant", "how to"), ("irrelevant", "moon landing")]))
-def query_file(spark, sf_dir):
-    place = fresh_path(spark, "queries")
-    spark.createDataFrame([("# comment",), ("relevant\thow to",), ("irrelevant\tmoon landing",)], "value string").coalesce(1).write.text(place)
-    return files.read_queries(spark, place)
 
+@query("SELECT source AS folder, CAST(doc_id + 1 AS VARCHAR) AS uid FROM documents")
+def mailbox_stream(spark, sf_dir):
+    """The same as a stream into a table, in batches of a third of the messages at most."""
+    place, out = box(spark, sf_dir), fresh_path(spark, "stream-out")
+    most = table(spark, sf_dir, "documents").count() // 3 + 1
+    stream = spark.readStream.format("mailbox").schema("folder string, uid string").option("max_messages", most).option("checkpoint", f"{out}/checkpoint").load(place)
+    running = stream.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema("folder string, uid string").parquet(f"{out}/table")
 
-@query(rows_sql("name string, value string", [("search.rrf_k", "7"), ("search.default_limit", "3"), ("sync.exclude_folders", "Spam"), ("embedding.chunk_size", "500"), ("embedding.chunk_overlap", "80")]))
-def configuration(spark, sf_dir):
-    """Defaults, a mapping, the environment, and what overrides them all."""
-    from tessera.sources.config import load
 
-    own = load({"search": {"rrf_k": 5, "default_limit": 9}, "sync": {"exclude_folders": ["Spam"]}}, {"TESSERA_SEARCH__RRF_K": "6", "TESSERA_SEARCH__DEFAULT_LIMIT": "3", "TESSERA_EMBEDDING__CHUNK_SIZE": "500"}, {"search": {"rrf_k": 7}})
-    rows = [("search.rrf_k", own.search.rrf_k), ("search.default_limit", own.search.default_limit), ("sync.exclude_folders", ",".join(own.sync.exclude_folders)), ("embedding.chunk_size", own.embedding.chunk_size), ("embedding.chunk_overlap", own.embedding.chunk_overlap)]
-    return spark.createDataFrame([(n, str(v)) for n, v in rows], "name string, value string")
+@query("SELECT CASE WHEN conv_id % 2 = 0 THEN 'relevant' ELSE 'irrelevant' END AS kind, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+def query_file(spark, sf_dir):
+    """A file of queries, each with its kind, made of what users say."""
+    place = fresh_path(spark, "queries")
+    said = F.btrim(F.regexp_replace("text", r"\s+", " "))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat(F.when(F.col("conv_id") % 2 == 0, "relevant").otherwise("irrelevant"), F.lit("\t"), said).alias("value"))
+    rows.union(spark.range(1).select(F.lit("# comment"))).write.text(place)
+    return files.read_queries(spark, place)
 
 
-@query(rows_sql("command string, rows int", [("demo", 4), ("index", 1), ("search", 2), ("list", 3), ("status", 2), ("folders", 4), ("doctor", 2), ("config", 1), ("show", 1)]))
+@query(f"""WITH {_SEEN}, f AS (SELECT DISTINCT lang, source FROM seen)
+SELECT 'folders' AS command, (SELECT count(*) FROM f) AS rows UNION ALL SELECT 'list', least(3, (SELECT count(*) FROM seen WHERE NOT deleted)) UNION ALL SELECT 'show', 1
+UNION ALL SELECT 'status', 1 + least(5, (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents WHERE {FIRST})) + (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents WHERE {SECOND})))
+UNION ALL SELECT 'search', least(4, (SELECT count(*) FROM seen WHERE NOT deleted AND source = 'src3'))""")
 def command_line(spark, sf_dir):
-    """What each command prints, in rows, over an archive of made-up mail."""
+    """How many rows each command prints over the archive."""
     from tessera.__main__ import parser, run
 
-    own = Archive(spark, fresh_path(spark, "cli"), embedder=hashing(64))
-    folders = None
-    out = []
-    for line in ("demo --count 8", "index", "search message --limit 2", "list --limit 3", "status", "folders", "doctor", "config", "show demo-1@example.com"):
-        rows = run(parser().parse_args(line.split()), own)
-        if line.startswith("demo"):
-            folders = len(rows)
-        n = len(rows)
-        if line in ("status", "folders") or line.startswith("demo"):  # a row a folder, of four that made-up mail has
-            n = {"status": 2}.get(line, 4) if n == {"status": 1 + min(5, folders)}.get(line, folders) else -n
-        out.append((line.split()[0], n))
-    return spark.createDataFrame(out, "command string, rows int")
+    lines = ("folders", "list --limit 3", "show doc-42@corpus", "status", "search src3 --scope sender --limit 4")
+    return spark.createDataFrame([(line.split()[0], len(run(parser().parse_args(line.split()), archived(spark, sf_dir)))) for line in lines], "command string, rows long")

@@ -1,5 +1,5 @@
-"""Queries over a few literal rows, whose SQL states the rows that they must give: for what only a tree, a mail or an
-awkward text can show, and the driver's tables have none of."""
+"""Functions over a few literal rows, with the rows that they must give as SQL: for what only a tree, a mail or an awkward
+text can show. The catalogue has queries of the same functions over tables (plans/rules.py)."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from tessera.functions.registry import register
 from tessera.operators import match
 from tessera.operators.filters import Filters
 from tessera.plans.views import Catalog
+from tessera.sources import archive as files
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -296,3 +297,26 @@ def plan_fetch(spark, sf_dir):
     own = spark.createDataFrame(rows, "n int, s binary, size long").withColumn("parts", mime.body_structure("s"))
     names = F.transform(mime.parts_not_fetched("parts"), lambda a: a["filename"])
     return own.select("n", mime.fetch_plan("size", "parts").alias("plan"), mime.text_sections("parts").alias("sections"), names.alias("left_out"))
+
+
+# parameters and made-up mail
+
+@query(rows_sql("messages long, subjects boolean, folders boolean, same boolean", [(12, True, True, True)]))
+def demo_mail(spark, sf_dir):
+    """Made-up mail is the same for the same seed, of known subjects and folders."""
+    from tessera.functions.mime import messages
+
+    own = messages(files.demo_mail(spark, 12))
+    again = files.demo_mail(spark, 12).exceptAll(files.demo_mail(spark, 12)).isEmpty()
+    facts = own.agg(F.count("*"), F.every(F.col("subject").isin(files.DEMO_SUBJECTS)), F.every(F.col("folder").isin(files.DEMO_FOLDERS))).first()
+    return spark.createDataFrame([(*facts, again)], "messages long, subjects boolean, folders boolean, same boolean")
+
+
+@query(rows_sql("name string, value string", [("search.rrf_k", "7"), ("search.default_limit", "3"), ("sync.exclude_folders", "Spam"), ("embedding.chunk_size", "500"), ("embedding.chunk_overlap", "80")]))
+def configuration(spark, sf_dir):
+    """Defaults, a mapping, the environment, and what overrides them all."""
+    from tessera.sources.config import load
+
+    own = load({"search": {"rrf_k": 5, "default_limit": 9}, "sync": {"exclude_folders": ["Spam"]}}, {"TESSERA_SEARCH__RRF_K": "6", "TESSERA_SEARCH__DEFAULT_LIMIT": "3", "TESSERA_EMBEDDING__CHUNK_SIZE": "500"}, {"search": {"rrf_k": 7}})
+    rows = [("search.rrf_k", own.search.rrf_k), ("search.default_limit", own.search.default_limit), ("sync.exclude_folders", ",".join(own.sync.exclude_folders)), ("embedding.chunk_size", own.embedding.chunk_size), ("embedding.chunk_overlap", own.embedding.chunk_overlap)]
+    return spark.createDataFrame([(n, str(v)) for n, v in rows], "name string, value string")
