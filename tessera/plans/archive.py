@@ -8,7 +8,7 @@ from tessera.functions.embedding import hashing
 from tessera.operators import blobs, incremental, sync
 from tessera.plans.views import MESSAGES, Catalog, messages, table
 from tessera.sources.scratch import fresh_path
-from tessera.streaming import index_stream
+from tessera.streaming import index_stream, run_progress
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -130,6 +130,25 @@ def progress_counters(spark, sf_dir):
     return index_stream.batch_progress(log)
 
 
+@query("""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'fetch_plan' WHEN 'error' THEN 'message_failed' WHEN 'purchase' THEN 'folder_done' ELSE 'message_archived' END AS event, CAST(floor(value) AS BIGINT) AS number FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT run_id, max(seq) AS last_plan, max_by(number, seq) AS total FROM l WHERE event = 'fetch_plan' GROUP BY run_id)
+SELECT l.run_id, count(*) AS events, count(*) FILTER (event IN ('message_archived', 'message_failed') AND seq > coalesce(last_plan, -1)) AS done, coalesce(any_value(total), 0) AS total, count(*) FILTER (event = 'message_archived') AS archived,
+  count(*) FILTER (event = 'message_failed') AS failed, count(*) FILTER (event = 'folder_done') AS folders_done, list_sort(list(seq))[-5:] AS last, max(ts) + INTERVAL 1 DAY < (SELECT max(ts) FROM l) - INTERVAL 10 MINUTE AS stalled
+FROM l LEFT JOIN p ON p.run_id = l.run_id GROUP BY l.run_id""")
+def progress_stream(spark, sf_dir):
+    """The same as a stream with state: counters, the last five events of each user, and who had none for a day."""
+    kind = F.when(F.col("event_type") == "signup", "fetch_plan").when(F.col("event_type") == "error", "message_failed").when(F.col("event_type") == "purchase", "folder_done").otherwise("message_archived")
+    place = fresh_path(spark, "progress")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # files in a folder, as they come in; the stream reads them all
+    events.where("user_id is not null and ts is not null").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.lit("").alias("folder"), F.floor("value").cast("long").alias("number"), F.lit("").alias("status"), F.col("ts").cast("timestamp").alias("at")).write.parquet(f"{place}/log")
+    stream = spark.readStream.schema(spark.read.parquet(f"{place}/log").schema).parquet(f"{place}/log")
+    out = run_progress.run_progress(stream, stall=86400)
+    out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/updates/batch={n}")).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.schema(f"{run_progress.OUT}, batch int").parquet(f"{place}/updates")
+    return run_progress.latest(updates).select("run_id", "events", "done", "total", "archived", "failed", "folders_done", "last", "stalled")
+
+
 @query("""WITH a AS (SELECT doc_id AS attachment_id, sha256(text) AS h FROM documents), f AS (SELECT h, min(attachment_id) AS first FROM a GROUP BY h)
 SELECT attachment_id, 'blobs/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h AS blob_path, attachment_id <> first AS reused FROM a JOIN f USING (h)""")
 def attachment_reuse(spark, sf_dir):
