@@ -16,9 +16,11 @@ from tessera.functions.chunking import ChunkPolicy
 from tessera.functions.embedding import Backend, backend
 from tessera.functions.text import archive_name, fingerprint, safe_path
 from tessera.operators import blobs, incremental, search, sync
-from tessera.operators.filters import Filters, pending_index
+from tessera.operators.filters import Filters, condition, pending_index
 from tessera.operators.keyword_index import KeywordIndex
+from tessera.operators.paging import ROWS_PER_FILE, Page, SortedPages
 from tessera.sources import archive as files
+from tessera.sources.cancel import Cancellation
 from tessera.sources.config import Config
 from tessera.sources.folders import locked, unlock
 from tessera.sources.scratch import written
@@ -62,6 +64,11 @@ class Archive:
         """Held by the one writer; another one is refused."""
         return locked(self.spark, f"{self.root}/.lock")
 
+    def cancellation(self) -> Cancellation:
+        """Calls off a sync or an index run that is under way: it ends with Cancelled, and no table's version counts that was
+        not whole before."""
+        return Cancellation(self.spark, self.root)
+
     def unlock(self) -> bool:
         """Takes away what a writer that died has left."""
         return unlock(self.spark, f"{self.root}/.lock")
@@ -87,7 +94,7 @@ class Archive:
         that could not be read before (a few times), are parsed and merged; in folders that are listed whole, messages that are
         not in raw any more are marked as deleted, unless the budget cut the run short. Returns a row a folder: counts and
         status, which is also logged."""
-        with self.writing():
+        with self.writing(), self.cancellation().work():
             return self._sync(raw, full, budget, status)
 
     def _sync(self, raw: DataFrame, full: bool, budget: int | None, status: DataFrame | None) -> DataFrame:
@@ -111,6 +118,7 @@ class Archive:
         none = F.lit(None).cast("timestamp")
         rows = mails.withColumns({"message_pk": F.xxhash64(*keys), "content_hash": fingerprint("subject", "body_text"), "local_markdown_path": path, "attachment_names": F.transform("attachments", lambda a: a["filename"]), "attempts": F.when(F.col("error").isNotNull(), F.coalesce("__tries", F.lit(0)) + 1), "synced_at": started, "updated_at": started, "indexed_at": none, "deleted_at": none, "part": part_of()}).drop("__tries")
         rows = written(rows, "sync-mails")  # parsed once
+        self.cancellation().check()
         columns = [c for c in messages.columns if c != "duplicate_of"]
         incoming = sync.copies_of(rows.select(*columns, "part"), current).select(*messages.columns, "part")
 
@@ -119,6 +127,7 @@ class Archive:
         missing = sync.missing_uids(current.join(whole, ["account", "folder"], "left_semi"), listed_keys) if not cut else current.where("false")
         missing = written(missing.select(*keys, "part"), "sync-missing")
         touched = [r["part"] for r in rows.select("part").union(missing.select("part")).distinct().collect()]  # parts, not rows
+        self.cancellation().check()
         if touched:
             there = current.where(F.col("part").isin(touched)).join(missing.select(*keys, F.lit(True).alias("__gone")), keys, "left")
             there = there.withColumn("deleted_at", F.when(F.col("__gone"), started).otherwise(F.col("deleted_at"))).drop("__gone").select(*messages.columns, "part")
@@ -180,7 +189,7 @@ class Archive:
     def index(self, rebuild: bool = False) -> DataFrame:
         """Chunks and vectors of what is pending, or of all live messages anew; the chunks of messages deleted since go. Returns
         the run's counters."""
-        with self.writing():
+        with self.writing(), self.cancellation().work():
             return self._index(rebuild)
 
     def _index(self, rebuild: bool) -> DataFrame:
@@ -196,6 +205,7 @@ class Archive:
         fresh = incremental.chunked(own, self.policy)
         made = incremental.with_vectors(fresh, before.where("false" if rebuild else "true"), self.embedder)
         made = written(made.join(own.select("message_pk", "part"), "message_pk").select(*chunks.columns, "part"), "index-chunks")
+        self.cancellation().check()
         redone = own.select("message_pk").union(gone.select("message_pk"))
         kept = before.join(redone, "message_pk", "left_anti") if not rebuild else before.where("false")
         old = before.join(redone, "message_pk", "left_semi").select("chunk_id")
@@ -233,6 +243,18 @@ class Archive:
     def page(self, filters: Filters = Filters(), limit: int = 50, offset: int = 0, order: str = "date_desc") -> DataFrame:
         return search.page(self.table("messages"), filters, limit, offset, order)
 
+    @property
+    def pages(self) -> SortedPages:
+        return SortedPages(self.spark, f"{self.root}/pages")
+
+    def build_pages(self, rows_per_file: int = ROWS_PER_FILE) -> None:
+        """Sorts what lists show of all messages, for page_after(); as of now."""
+        self.pages.build(self.table("messages").select(*search.LISTED, "deleted_at", "updated_at"), rows_per_file)
+
+    def page_after(self, after: tuple[int, int] | None = None, limit: int = 50, filters: Filters = Filters()) -> Page:
+        """The next page of live messages, newest first, after a page's `next`."""
+        return self.pages.page(limit, after, condition(filters))
+
     def message(self, reference: str) -> DataFrame:
         """One message with its attachments, by number or Message-ID."""
         own = search.resolve(self.table("messages"), reference)

@@ -12,6 +12,7 @@ from tessera.operators import match, search, vectors
 from tessera.operators.cell_store import CellStore
 from tessera.operators.filters import Filters, all_terms, condition, pending_index
 from tessera.operators.match import Phrase
+from tessera.operators.paging import SortedPages
 from tessera.operators.postings import keyword_hits
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.plans.views import MESSAGES, QUERY_VECTOR, Catalog, bm25_sql, keyword_index, messages, query_vector, table, tokens_sql
@@ -198,6 +199,17 @@ def pending_index_count(spark, sf_dir):
     return messages(spark, sf_dir).where(pending_index()).groupBy("folder").agg(F.count("*").alias("pending"))
 
 
+@query(f"WITH {MESSAGES}, live AS (SELECT message_pk, subject, folder, date_utc FROM messages WHERE deleted_at IS NULL) SELECT message_pk, subject, folder FROM live WHERE (date_utc, message_pk) < (SELECT (date_utc, message_pk) FROM live ORDER BY date_utc DESC, message_pk DESC LIMIT 1 OFFSET 39) ORDER BY date_utc DESC, message_pk DESC LIMIT 20")
+def list_page_keyset(spark, sf_dir):
+    """The third page of twenty, each after the last row of the one before, over a sorted copy."""
+    own = SortedPages(spark, fresh_path(spark, "pages"))
+    own.build(messages(spark, sf_dir).select("message_pk", "subject", "folder", "date_utc", "deleted_at"))
+    page = own.page(20, None, F.col("deleted_at").isNull())
+    for _ in range(2):
+        page = own.page(20, page.next, F.col("deleted_at").isNull())
+    return page.rows.select("message_pk", "subject", "folder")
+
+
 @query(f"WITH {MESSAGES} SELECT message_pk, subject, folder FROM messages WHERE message_pk = 42")
 def resolve_reference(spark, sf_dir):
     return search.resolve(messages(spark, sf_dir), "<doc-42@corpus>").select("message_pk", "subject", "folder")

@@ -36,6 +36,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(own, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own, fs = _path(spark, path)
+    return bool(fs.exists(own))
+
+
+def put(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    own, fs = _path(spark, path)
+    fs.create(own, True).close()
+
+
 class Locked(RuntimeError):
     """Another writer is at work."""
 
