@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
 from tessera.llm.common import dealt, row_key, written
 
 #: Sites from which on a line is boilerplate.
@@ -39,9 +40,12 @@ def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
 
 
 def without(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    """The text without the lines at these positions; it is split once."""
+
+    def kept(lines: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+
+    return F.when(gone.isNull(), text).otherwise(let(F.split(text, "\n"), lambda lines: F.array_join(kept(lines), "\n")))
 
 
 def hits(rows: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:

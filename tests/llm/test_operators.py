@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,15 @@ def test_line_dedup_counts_near_lines_exactly(spark):
     assert {"line 8", "line 9"} <= kept
 
 
+def test_a_text_of_very_many_lines(spark):
+    """Lines of one text are taken out in one pass over it."""
+    rows = [(s, "\n".join(["shared by all", *(f"own {s} {i}" for i in range(100_000 if s == 3 else 2)), "shared by all"]), "en", f"site{s}", 1) for s in range(12)]
+    begun = time.time()
+    out = {r["doc_id"]: r for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert out[3]["n_lines"] == 100_002 and out[3]["n_removed"] == 2 and out[3]["text"] == "\n".join(f"own 3 {i}" for i in range(100_000))
+    assert out[0]["n_removed"] == 1 and time.time() - begun < 60
+
+
 def test_a_line_in_every_document(spark, monkeypatch):
     """Very common lines, near the threshold and over it, are dealt over tasks."""
     monkeypatch.setattr(linededup, "dealt", lambda *a: common.dealt(*a, hot=5))
