@@ -62,11 +62,13 @@ def clean(value: str | None) -> str | None:
     return None if value is None else " ".join(value.split()) or None
 
 
-def page_records(page: int | None, url: str | None, payload: bytes, first: int | None, mark: str, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page: a response, cut into segments if it is long, or a revisit of page `first`."""
-    name, shared = f"urn:page:{'' if page is None else page}:{mark}", [("WARC-Target-URI", clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", "sha1:" + digest_of(payload))]
+def page_records(page: int | None, url: str | None, payload: bytes, first: int | None, mark: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one page: a response, cut into segments if it is long, or a revisit of page `first`. Without a mark it is
+    the response that revisits of this payload refer to, and its name holds the payload's digest."""
+    digest = digest_of(payload)
+    name, shared = f"urn:page:{'' if page is None else page}:{mark or digest}", [("WARC-Target-URI", clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", "sha1:" + digest)]
     if first is not None:
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *shared, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>"), ("Content-Type", "application/http; msgtype=response")], HTTP)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *shared, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}:{digest}>"), ("Content-Type", "application/http; msgtype=response")], HTTP)]
     block = HTTP + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     kind = ("Content-Type", "application/http; msgtype=response")
@@ -140,23 +142,33 @@ def payload_of(block: bytes) -> bytes:
 
 def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT, file_bytes: int = FILE_BYTES) -> None:
     """Writes pages as gzipped WARC files of about file_bytes at most. Of equal payloads of least_revisit_bytes or more the
-    least page id is a response, the others revisit it. Only payloads that occur again are looked up, and a very common one
-    is dealt over tasks."""
+    least page id is a response, the others revisit it. Where several rows have that id, all are responses and one of them is
+    referred to. Only payloads that occur again are looked up, and a very common one is dealt over tasks."""
     prepare(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    again = own.where(F.octet_length("html") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    by_page = own.where(F.octet_length("html") >= least_revisit_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    again = written(by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("n", "page_id").alias("firsts"), F.sum("n").alias("n")).where("n > 1"), "payloads")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, n = uuid.uuid4().hex[:16], 0
         for batch in batches:
             out = []
-            for page, url, html, to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += page_records(page, url, html.encode("utf-8", "surrogatepass"), to if to != page else None, f"{mark}{n}", segment)
+            for page, url, html, to, named in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                out += page_records(page, url, html.encode("utf-8", "surrogatepass"), to if to != page else None, None if named else f"{mark}{n}", segment)
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["record"])
 
-    joined = dealt(own, written(again, "payloads"), ["digest"], ["page_id", "url"], how="left").select("page_id", "url", "html", "first")
-    (joined.mapInArrow(lines, "record binary").select(F.col("record").cast("string").alias("value"))
+    joined = dealt(own, again, ["digest"], ["page_id", "url"], how="left")
+    is_first = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    rows = joined.select("page_id", "url", "html", "first", is_first.alias("named"))
+    if not again.where("firsts > 1").isEmpty():  # repeated rows: of those with one id and payload the first by url is referred to
+        several = is_first & (F.col("firsts") > 1)
+        counted = joined.where(several).groupBy("digest", "page_id", "url").agg(F.first("html").alias("html"), F.first("first").alias("first"), F.count("*").alias("n"))
+        least = counted.groupBy("digest").agg(F.min(F.struct("url")).alias("least"))
+        numbered = counted.join(least, "digest").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        repeated = numbered.select("page_id", "url", "html", "first", ((F.col("i") == 1) & F.struct("url").eqNullSafe(F.col("least"))).alias("named"))
+        rows = joined.where(~F.coalesce(several, F.lit(False))).select("page_id", "url", "html", "first", is_first.alias("named")).unionByName(repeated)
+    (rows.mapInArrow(lines, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (segment + 1024))).text(folder))
 
 
