@@ -16,8 +16,8 @@ __all__ = ["by_batch", "checkpointed", "dealt", "prepare", "row_key", "scratch",
 
 #: Rows and bytes of one Arrow batch at most (a single row may be larger).
 BATCH_ROWS, BATCH_BYTES = 512, "4m"
-#: Rows of a key that one task may have, unless it has less than a thousandth of all; and tasks that share a larger one.
-HOT, SALTS = 1000, 64
+#: Rows of a key that one task may have, and the most keys that can have more than a task's share of all rows.
+HOT, MOST_HOT = 1000, 100_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,15 +37,17 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*marked), F.xxhash64(F.lit(17), *reversed(marked))
 
 
-def dealt(rows: DataFrame, marks: DataFrame, on: list[str], by: list[str], hot: int = HOT, salts: int = SALTS, how: str = "inner") -> DataFrame:
-    """rows joined with marks: one row a key, with n, how many rows have it, which goes. Rows of a key that over `hot` rows and
-    over a thousandth of all marked ones have (so a thousand keys at most) are dealt over tasks by a hash of the columns `by`.
+def dealt(rows: DataFrame, marks: DataFrame, on: list[str], by: list[str], hot: int = HOT, how: str = "inner") -> DataFrame:
+    """rows joined with marks: one row a key, with n, how many rows have it, which goes. A task's share of a key is `hot` rows,
+    or a 100 000th of all marked ones where that is more; a key that more rows have is dealt over as many tasks as it has
+    shares, by a hash of the columns `by`. So at most 100 000 keys are told apart, whatever the input.
     how: inner, or left where rows without a mark stay."""
     total = marks.agg(F.sum("n")).first()[0] or 0
-    many = marks.where(F.col("n") > max(hot, total // 1000)).select(*on, F.lit(True).alias("__hot"))
-    salted = rows.join(F.broadcast(many), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
-    all_salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = marks.drop("n").join(F.broadcast(many), on, "left").withColumn("__salt", F.explode(all_salts)).drop("__hot")
+    share = max(hot, total // MOST_HOT)
+    many = marks.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("__salts"))
+    salted = rows.join(F.broadcast(many), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    all_salts = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
+    spread = marks.drop("n").join(F.broadcast(many), on, "left").withColumn("__salt", F.explode(all_salts)).drop("__salts")
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
