@@ -16,6 +16,9 @@ SHINGLE = 3
 RADIUS = 3
 #: A segment's bits; two segments, and of at most RADIUS differing bits one segment has at most one.
 SEGMENT = 32
+#: Fingerprints that may share a segment before they are told apart by the halves of their other one, and the most values
+#: of segments that more can share.
+SHARED, MOST_SHARED = 4096, 200_000
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
@@ -56,10 +59,25 @@ def _segments(fp: Column) -> list[Column]:
     return [F.shiftrightunsigned(fp, SEGMENT), fp.bitwiseAND(F.lit((1 << SEGMENT) - 1))]
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def _ball(value: Column, bits: int) -> Column:
+    """A value of so many bits and all that differ from it in one."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    return F.concat(F.array(value), flips)
+
+
+def _halves(fp: Column, seg: Column) -> list[Column]:
+    """Both halves of the segment that is not `seg`."""
+    high, low = _segments(fp)
+    other, half = F.when(seg == 0, low).otherwise(high), SEGMENT // 2
+    return [F.shiftrightunsigned(other, half), other.bitwiseAND(F.lit((1 << half) - 1))]
+
+
+def links(nodes: DataFrame, shared: int = SHARED) -> DataFrame:
     """nodes: fp long (distinct), rep long. Returns u, v long: reps of fingerprints at RADIUS bits or fewer, each pair once
     a segment at least. Each fingerprint stands in a table twice, once a segment, and looks up the balls of radius one
-    around its own segments. Of two segments that differ in one bit only the one with a zero there looks the other up."""
+    around its own segments. Of two segments that differ in one bit only the one with a zero there looks the other up.
+    Where over `shared` fingerprints, and over a 200 000th of all, have one value of a segment, their other segment's halves
+    go into the key, and balls of radius one around these are looked up: of RADIUS bits at most one half has at most one."""
     fp = F.col("fp")
     table = nodes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), s.alias("val")) for i, s in enumerate(_segments(fp))])).alias("k")).select(F.col("k.seg").alias("seg"), F.col("k.val").alias("val"), F.col("fp").alias("fp_t"), F.col("rep").alias("v"))
 
@@ -69,8 +87,22 @@ def links(nodes: DataFrame) -> DataFrame:
 
     probes = nodes.select("fp", "rep", F.explode(F.concat(*[ball(i, s) for i, s in enumerate(_segments(fp))])).alias("k")).select(F.col("k.seg").alias("seg"), F.col("k.val").alias("val"), F.col("k.same").alias("same"), F.col("fp").alias("fp_p"), F.col("rep").alias("u"))
     near = (F.bit_count(F.col("fp_t").bitwiseXOR(F.col("fp_p"))) <= RADIUS) & (F.col("fp_t") != F.col("fp_p")) & (~F.col("same") | (F.col("fp_p") < F.col("fp_t")))
-    p, t = probes.alias("p"), table.alias("t")
-    return p.join(t, (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & near).select("u", "v")
+    often = written(table.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > shared), "shared-segments")
+    many = often.where(F.col("n") > nodes.count() // MOST_SHARED).select("seg", "val", F.lit(True).alias("many"))
+
+    def keyed(rows: DataFrame, name: str, keys) -> DataFrame:
+        """With the half's number and value; -1 and 0 where few share the segment."""
+        def numbered(i: int, values: Column) -> Column:
+            return F.transform(values, lambda x: F.struct(F.lit(i).alias("half"), x.alias("sub")))
+
+        own = [numbered(i, keys(h)) for i, h in enumerate(_halves(F.col(name), F.col("seg")))]
+        alone = numbered(-1, F.array(F.lit(0).cast("long")))
+        return rows.join(F.broadcast(many), ["seg", "val"], "left").withColumn("h", F.explode(F.when(F.col("many"), F.concat(*own)).otherwise(alone))).select("*", "h.half", "h.sub").drop("many", "h")
+
+    p = keyed(probes, "fp_p", lambda h: _ball(h, SEGMENT // 2)).alias("p")
+    t = keyed(table, "fp_t", F.array).alias("t")
+    same_key = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("seg", "val", "half", "sub")]
+    return p.join(t, same_key[0] & same_key[1] & same_key[2] & same_key[3] & near).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +111,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Null doc_id: a fingerprint, and the component of the rows that it links to where one has an id; it never names
     a component. Repeated rows: each keeps its row. Empty docs: no rows. Other columns are not read."""
     fps = written(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))  # null where only rows without an id have it
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")  # null where only rows without an id have it
     found = connected_components(links(nodes.select("fp", F.col("fp").alias("rep"))))
     member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     least = member.groupBy("group").agg(F.min("first").alias("component_id"))
