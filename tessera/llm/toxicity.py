@@ -17,9 +17,14 @@ from tessera.llm.quality import held_out_rows, training_sample
 
 # What a written sign may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "á": "a", "à": "a", "â": "a", "ä": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "ì": "i", "î": "i", "ï": "i", "ó": "o", "ò": "o", "ô": "o", "ö": "o", "ú": "u", "ù": "u", "û": "u", "ü": "u", "ç": "c", "ñ": "n"}
-#: Signs between the letters of a word that is spaced out.
-GAPS = " .-_*~"
+# Letters of other scripts that look like one of these, and signs that take no room.
+CONFUSABLE = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "х": "x", "у": "y", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ı": "i"}
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+LEET |= CONFUSABLE
+#: Signs between the letters of a word that is spaced out; white space of any kind is a space here.
+GAPS = " .-_*~/,"
 GAP = re.compile(f"[{re.escape(GAPS)}]+")
+LONG_GAP = re.compile(f"[\\s{re.escape(GAPS)}]{{2,}}|[^\\S ]")
 #: Symbols of the language model: 0 for all that is no letter, a to z, and one for bytes beyond ASCII.
 SYMBOLS, ORDER = 28, 4
 CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
@@ -80,6 +85,13 @@ class CharModel:
 
 
 WORD = re.compile(r"[^\W\d_]+")
+NO_ROOM = dict.fromkeys(map(ord, UNSEEN))
+
+
+def plain_gaps(text: str) -> str:
+    """A text in lower case, without signs that take no room, each run of gaps one sign: a space if it holds white space,
+    else its first. So gaps of any length read alike."""
+    return LONG_GAP.sub(lambda m: m[0][0] if m[0].isascii() and not any(map(str.isspace, m[0])) else " ", text.lower().translate(NO_ROOM))
 
 
 def readings(sign: str) -> list[tuple[str, float]]:
@@ -131,13 +143,13 @@ def single(word: str) -> str:
     return REPEATS.sub(r"\1", word)
 
 
-SUSPECT = re.compile(r"(?<!\S)\S(?:[ .\-_*~]\S){2,}(?!\S)|\S+")
-ODD = re.compile(r"[^\W\d_]*(?:[0-9@$!|+(€£]|(.)\1\1|\w[.\-_*~]\w)")
+SUSPECT = re.compile(rf"(?<!\S)\S(?:[{re.escape(GAPS)}]\S){{2,}}(?!\S)|\S+")
+ODD = re.compile(rf"[^\W\d_]*(?:[0-9@$!|+(€£]|(.)\1\1|\w[{re.escape(GAPS)}]\w|[a-z][{''.join(CONFUSABLE)}]|[{''.join(CONFUSABLE)}][a-z])")
 
 
 def restored(text: str, model: CharModel, memo: dict[str, str]) -> set[str]:
     """The words of a text, obfuscated spans decoded: signs that stand for letters, letters spaced out, letters repeated."""
-    low = text.lower()
+    low = plain_gaps(text)
     words = set(WORD.findall(low))
     for m in SUSPECT.finditer(low):
         span = m.group().strip(".,;:?\"'")
@@ -156,12 +168,13 @@ def _class(signs: set[str]) -> str:
 
 def lattice_pattern(stems: list[str]) -> re.Pattern | None:
     """Matches every span whose lattice holds a word that begins with a stem: each letter, or a sign that may stand for
-    it, once or more, with or without a gap after any of them, no letter or digit before. It may match more: the decoder
-    decides. Runs are never tried again, and of a run of equal first signs only the start counts, so time is linear."""
+    it, once or more, with or without a gap after any of them (one sign: see plain_gaps), no letter or digit before. It may
+    match more: the decoder decides. Runs are never tried again, and of a run of equal first signs only the start counts, so time is linear."""
     if not stems:
         return None
     signs = {c: {c} | {s for s, reads in LEET.items() if c in reads} for w in stems for c in w}
-    gap, one_gap = f"(?:[{re.escape(GAPS)}]{{1,2}})?", f"[{re.escape(GAPS)}]"
+    one_gap = f"[{re.escape(GAPS)}]"
+    gap = one_gap + "?"
     ways = []
     for w in sorted(stems, key=lambda w: (-len(w), w)):  # the longest first: a spaced word's span ends with its stem
         runs: list[set[str]] = []
@@ -171,7 +184,7 @@ def lattice_pattern(stems: list[str]) -> re.Pattern | None:
             else:
                 runs.append(signs[c])
         x, marks = _class(runs[0]), {s for s in runs[0] if not s.isalnum()}
-        start = f"(?<={x})(?<![\\W_]{x}{one_gap}{x})(?<![\\W_]{x}{one_gap}{one_gap}{x})" + (f"(?<![\\W_]{_class(marks)}{x})" if marks else "")
+        start = f"(?<={x})(?<![\\W_]{x}{one_gap}{x})" + (f"(?<![\\W_]{_class(marks)}{x})" if marks else "")
         body = f"(?:{gap}{x})*+" + "".join(f"{gap}{y}(?:{gap}{y})*+" for y in map(_class, runs[1:-1]))
         y = _class(runs[-1])
         last = "" if not runs[1:] else gap + (f"{y}++" if len(runs[-1]) == len(signs[w[-1]]) and w[-1] != w[-2] else f"{y}(?:{gap}{y})*+")  # the next word may begin with the last letter
@@ -207,7 +220,7 @@ class ToxicWords:
         """The words with a scored beginning that the text has once its spans are decoded. Only lattices that hold such a
         word are decoded, each whole; where the decoder reads another word the search goes on inside the span."""
         out: set[str] = set()
-        low = text.lower()
+        low = plain_gaps(text)
         m = self.pattern.search(low) if self.pattern is not None else None
         while m:
             span = m.group()

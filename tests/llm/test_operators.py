@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -287,6 +288,29 @@ def test_multi_index_links_find_all_near_fingerprints(spark):
     assert found == {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if (own[i] ^ own[j]).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("shared", [4096, 20])
+def test_links_of_a_family_that_shares_a_segment(spark, shared):
+    """Against all pairs: 600 fingerprints with one upper segment or one bit off it, near each other and not."""
+    r = np.random.default_rng(2)
+    own = sorted({(0x80F0F0F0 ^ (i % 4 == 0) << 31) << 32 | int(x) ^ sum(1 << int(b) for b in r.integers(0, 32, 2)) for x in r.integers(0, 1 << 32, 60) for i in range(10)})
+    signed = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(own)]
+    found = {tuple(sorted((x["u"], x["v"]))) for x in simhash.links(spark.createDataFrame(signed, "fp long, rep long"), shared).collect()}
+    want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if (own[i] ^ own[j]).bit_count() <= 3}
+    assert found == want and len(want) > 300
+
+
+def test_links_of_a_large_family_are_bounded(spark):
+    """20 000 with one upper segment, against all masks of up to three bits."""
+    r = np.random.default_rng(3)
+    rows = [((7 << 32) | int(x), i) for i, x in enumerate(sorted({int(x) for x in r.integers(0, 1 << 32, 20_000)}))]
+    found = simhash.links(spark.createDataFrame(rows, "fp long, rep long"))
+    values = np.array([x for x, _ in rows], np.uint64)
+    place = {int(v): i for i, v in enumerate(values)}
+    masks = [sum(1 << b for b in bits) for n in (1, 2, 3) for bits in itertools.combinations(range(32), n)]
+    near = {tuple(sorted((i, place[v ^ m]))) for m in masks for v, i in place.items() if v ^ m in place}
+    assert {tuple(sorted(x)) for x in found.collect()} == near
+
+
 def test_links_over_a_row_without_an_id(spark, monkeypatch):
     """Two documents that only meet through such a row are one component, and the row is in it."""
     prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": (1 << 40) - 1}
@@ -614,6 +638,20 @@ def test_toxicity_decodes_whole_spans_with_gaps_anywhere():
         assert model.score(endless) < 0.1
 
 
+def test_toxicity_reads_gaps_of_any_length_and_letters_that_look_alike():
+    model = _toxic_model()
+    for gap in ("...", "   ", "--", "/", ",", "\u200b", "\n", " \n\t ", "_" * 500, " . ", "\u00a0\u00a0"):
+        assert model.score(f"you {gap.join('loser')} you") > 0.8, gap
+        assert model.score(f"you lo{gap}ser you") > 0.8, gap
+    for odd in ("l\u043eser", "l\u043es\u0435r", "L\u041eS\u0415R", "l\u03bfser", "l \u043e   s...e r"):
+        assert model.score(f"you {odd} you") > 0.8, odd
+    for clean in ("a   loss", "so ,, later", "more...on", "moor\n\nonly", "\u0441\u043e\u0440\u0435\u0432\u043d\u043e\u0432\u0430\u043d\u0438\u0435"):
+        assert model.score(f"you {clean} you") < 0.1, clean
+    for endless in ("l   " * 100_000, "m...o...\n" * 50_000, "." * 300_000, "\u200b" * 300_000):
+        assert model.score(endless) < 0.1
+    assert toxicity.plain_gaps("A\u200bB..c \n d\u2003e\tf-_g") == "ab.c d e f-g"
+
+
 def test_viterbi_finds_the_cheapest_reading():
     """Against all readings of short spans: each sign read, dropped as a gap or a repeat, or taken as a boundary."""
     model = _toxic_model().chars
@@ -690,6 +728,30 @@ def test_bad_and_foreign_records_are_set_aside(spark, tmp_path):
     assert sum("missing" in r["error"] for r in bad) == 2 and sum(r["file"] is not None for r in bad) == 7
 
 
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_revisits_refer_to_a_record_of_the_archive(spark, tmp_path, repeats):
+    """Every Refers-To is the id of one response with that payload, and ids occur once, also where rows repeat."""
+    rows = [(i, f"u{i}", f"body {i % 4}" * 2000) for i in range(20)] + [(2, f"u{k % 3}" if k else None, "body 2" * 2000) for k in range(1, repeats)] + [(None, "u", "body 3" * 2000), (50, "u", "alone"), (51, "u", None)]
+    folder = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
+    heads = [h for f in (tmp_path / "warc").glob("*.gz") for _, h, _, e in warc.records_of(warc.unzipped(f.read_bytes())) if not e]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids))
+    digest = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+    back = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(back) == 17 and len(digest) == len(rows) - 17
+    assert all(digest[h["warc-refers-to"]] == h["warc-payload-digest"] for h in back)
+    assert len(warc.read_archives(spark, folder).collect()) == len(rows)
+
+
+def test_salts_follow_a_keys_rows(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) k", "id v")
+    for hot in (2000, 500, 10, 1):
+        marks = spark.createDataFrame([(0, 1000, "a"), (1, 1, "b"), (2, 1, "c")], "k long, n long, m string")
+        out = common.dealt(rows, marks, ["k"], ["v"], hot)
+        assert plain(out.select("k", "v", "m").collect()) == plain([(0, i, "a") for i in range(0, 3000, 3)] + [(1, 1, "b"), (2, 2, "c")])
+
+
 def test_a_very_common_payload(spark, monkeypatch):
     monkeypatch.setattr(warc, "dealt", lambda *a, **k: common.dealt(*a, hot=5, **k))
     rows = [(i, f"u{i}", "error" if i % 3 else f"own {i}") for i in range(300)]
