@@ -69,3 +69,30 @@ def migration(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
     first = own.groupBy("sha256").agg(F.min("attachment_id").alias("__first"))
     state = F.when(~is_digest("sha256"), "unknown").when(F.col("__blob"), "relink").when(F.col("attachment_id") == F.col("__first"), "adopt").otherwise("relink")
     return own.join(first, "sha256", "left").withColumn("action", state).drop("__blob", "__first")
+
+
+def repair(attachments: DataFrame, files: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What verification finds wrong, mended. files: path, payload; blobs: sha256, payload. A blob with another hash than its
+    name is none. Returns (contents, attachments): contents (sha256, blob_path, payload) are the blobs to write, each from
+    the first file by path that still has the content; attachments get repaired: ok, relinked (its file is gone or changed,
+    and it points to the blob now), restored (so is its blob, from a file), lost (no copy is left: not downloaded any more,
+    skip_reason lost), or null where nothing was to check (not downloaded, no digest). Contents that are whole do not move."""
+    wanted = attachments.where(F.col("downloaded") & is_digest("sha256")).select("sha256").distinct()
+    good = blobs.where(F.sha2("payload", 256) == F.col("sha256")).select("sha256").distinct()
+    hashed = files.where(F.col("payload").isNotNull()).withColumn("__hash", F.sha2("payload", 256))
+    missing = wanted.join(good, "sha256", "left_anti")
+    source = hashed.select(F.col("__hash").alias("sha256"), "path").join(missing, "sha256", "left_semi").groupBy("sha256").agg(F.min("path").alias("path"))
+    found = source.join(hashed.groupBy("path", "__hash").agg(F.first("payload").alias("payload")).withColumnRenamed("__hash", "sha256"), ["sha256", "path"])
+    contents = found.select("sha256", blob_path("sha256").alias("blob_path"), "payload")
+    state = good.withColumn("__blob", F.lit("good")).unionByName(source.select("sha256", F.lit("made").alias("__blob")))
+    at = hashed.select(F.col("path").alias("local_path"), F.col("__hash").alias("__is")).distinct().groupBy("local_path").agg(F.collect_set("__is").alias("__is"))
+    own = attachments.join(state, "sha256", "left").join(at, "local_path", "left")
+    whole = F.coalesce(F.array_contains("__is", F.col("sha256")), F.lit(False))
+    checked = F.coalesce(F.col("downloaded"), F.lit(False)) & F.coalesce(is_digest("sha256"), F.lit(False))
+    done = F.when(~checked, F.lit(None)).when(F.col("__blob").isNull(), "lost").when(F.col("__blob") == "made", "restored").when(whole, "ok").otherwise("relinked")
+    mended = own.withColumn("repaired", done).withColumns({
+        "local_path": F.when(checked & F.col("__blob").isNotNull() & ~whole, blob_path("sha256")).otherwise(F.col("local_path")),
+        "downloaded": F.when(F.col("repaired") == "lost", F.lit(False)).otherwise(F.col("downloaded")),
+        "skip_reason": F.when(F.col("repaired") == "lost", F.lit("lost")).otherwise(F.col("skip_reason") if "skip_reason" in attachments.columns else F.lit(None).cast("string")),
+    })
+    return contents, mended.select(*dict.fromkeys([*attachments.columns, "skip_reason", "repaired"]))

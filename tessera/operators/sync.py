@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
+
 KEY = ["account", "folder", "uidvalidity", "uid"]
 
 
@@ -89,6 +91,34 @@ def copies_of(fresh: DataFrame, current: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_of", F.when(other, F.col("__first.message_pk"))).drop("__first")
 
 
+def handed_on(messages: DataFrame, gone: DataFrame, heirs: bool = True) -> DataFrame:
+    """messages without those that are gone (message_pk). What was a copy of one that is gone becomes a copy of what that was a
+    copy of, through any number that are gone; where none is left, the least id of these copies is the first now, and the
+    others are its copies where they lie in other folders. With heirs false their duplicate_of is null. Nulls and ids that no
+    message has change nothing. The way up is found by doubling: rounds follow the logarithm of its length."""
+    gone = gone.select("message_pk").where("message_pk is not null").distinct()
+    left = messages.join(gone, "message_pk", "left_anti")
+    if not heirs:
+        dead = gone.select(F.col("message_pk").alias("duplicate_of"), F.lit(True).alias("__dead"))
+        return left.join(dead, "duplicate_of", "left").withColumn("duplicate_of", F.when(F.col("__dead").isNull(), F.col("duplicate_of"))).select(messages.columns)
+    up = written(messages.join(gone, "message_pk", "left_semi").select(F.col("message_pk").alias("__dead"), F.coalesce("duplicate_of", "message_pk").alias("__up")), "gone")
+    for _ in range(64):
+        over = up.select(F.col("__dead").alias("__up"), F.col("__up").alias("__over"))
+        now = written(up.join(over, "__up", "left").select("__dead", F.coalesce("__over", "__up").alias("__up"), (F.coalesce("__over", "__up") != F.col("__up")).alias("__moved")), "gone")
+        up, moved = now.drop("__moved"), now.where("__moved").isEmpty()
+        if moved:
+            break
+    else:
+        raise RuntimeError("copies of copies run in a circle")
+    joined = left.join(up.withColumnRenamed("__dead", "duplicate_of"), "duplicate_of", "left")
+    none_left = up.select(F.col("__up")).join(gone.select(F.col("message_pk").alias("__up")), "__up", "left_semi").distinct()
+    first = joined.join(none_left, "__up", "left_semi").groupBy("__up").agg(F.min_by(F.struct("message_pk", "folder"), "message_pk").alias("__first"))
+    named = joined.join(first, "__up", "left")
+    other = (F.col("__first.message_pk") != F.col("message_pk")) & ~F.col("__first.folder").eqNullSafe(F.col("folder"))
+    to = F.when(F.col("__up").isNull(), F.col("duplicate_of")).when(F.col("__first").isNull(), F.col("__up")).when(other, F.col("__first.message_pk"))
+    return named.withColumn("duplicate_of", to).select(messages.columns)
+
+
 def dedup_key(message_id: str = "message_id", folder: str = "folder", epoch: str = "uidvalidity", uid: str = "uid") -> Column:
     by_place = F.concat_ws(":", F.lit("uid"), folder, F.coalesce(F.col(epoch).cast("string"), F.lit("None")), uid)
     return F.when(F.coalesce(F.col(message_id), F.lit("")) != "", F.concat(F.lit("mid:"), message_id)).otherwise(by_place)

@@ -69,6 +69,30 @@ def first_seen_duplicate(spark, sf_dir):
     return sync.first_copies(own).select("message_pk", "duplicate_of")
 
 
+_COPIES = """m AS (SELECT doc_id, lang, source, sha256(text) AS mid FROM documents), f AS (SELECT lang, mid, min(doc_id) AS pk, min_by(source, doc_id) AS folder FROM m GROUP BY ALL),
+  d AS (SELECT doc_id, source, CASE WHEN f.pk < doc_id AND f.folder <> source THEN f.pk END AS dup FROM m JOIN f USING (lang, mid)), alive AS (SELECT * FROM d WHERE doc_id % 3 <> 0)"""
+
+
+def _copies(spark, sf_dir):
+    own = messages(spark, sf_dir).withColumn("message_id", F.sha2("body_text", 256))
+    return sync.first_copies(own).select("message_pk", "folder", "duplicate_of")
+
+
+@query(f"""WITH {_COPIES}, h AS (SELECT dup AS root, min(doc_id) AS pk, min_by(source, doc_id) AS folder FROM alive WHERE dup % 3 = 0 GROUP BY ALL)
+SELECT doc_id AS message_pk, CASE WHEN dup % 3 <> 0 THEN dup WHEN h.pk <> doc_id AND h.folder <> source THEN h.pk END AS duplicate_of FROM alive LEFT JOIN h ON root = dup""")
+def duplicate_handed_on(spark, sf_dir):
+    """A third of the messages go; of the copies of one that went the least is the first now."""
+    own = _copies(spark, sf_dir)
+    return sync.handed_on(own, own.where("message_pk % 3 = 0")).select("message_pk", "duplicate_of")
+
+
+@query(f"WITH {_COPIES} SELECT doc_id AS message_pk, CASE WHEN dup % 3 <> 0 THEN dup END AS duplicate_of FROM alive")
+def duplicate_set_null(spark, sf_dir):
+    """The same without heirs."""
+    own = _copies(spark, sf_dir)
+    return sync.handed_on(own, own.where("message_pk % 3 = 0"), heirs=False).select("message_pk", "duplicate_of")
+
+
 _EVENTS = "SELECT user_id, event_id, ts, event_type, value FROM events"
 
 
@@ -192,3 +216,28 @@ def stream_incremental_equals_batch(spark, sf_dir):
     stream = spark.readStream.schema(own.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("at"))
     index_stream.merge_batches(stream, f"{place}/table", f"{place}/checkpoint", ["user_id"], "at").awaitTermination()
     return index_stream.latest_version(spark, f"{place}/table").select("user_id", "event_type", "ts")
+
+
+_STORED = """a AS (SELECT doc_id, text, sha256(text) AS h, coalesce(quality = 1, FALSE) AS file FROM documents LEFT JOIN labels USING (doc_id)),
+  b AS (SELECT sha256(text) AS h FROM documents WHERE n_chars > 1000 GROUP BY ALL HAVING min(doc_id) % 2 = 0), s AS (SELECT DISTINCT h FROM a WHERE file)"""
+
+
+def _repaired(spark, sf_dir):
+    """Labelled texts have a file, good ones the right one; long ones a blob, every other one damaged."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("sha256"), F.col("text").cast("binary").alias("payload"))
+    files = own.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("quality") == 1, F.col("payload")).otherwise(F.encode(F.lit("other"), "utf-8")).alias("payload"))
+    first = own.where("n_chars > 1000").groupBy("sha256").agg(F.min_by(F.struct("doc_id", "payload"), "doc_id").alias("f"))
+    stored = first.select("sha256", F.when(F.col("f.doc_id") % 2 == 0, F.col("f.payload")).otherwise(F.encode(F.lit("damaged"), "utf-8")).alias("payload"))
+    attachments = own.select(F.col("doc_id").alias("attachment_id"), "sha256", F.col("doc_id").cast("string").alias("local_path"), F.lit(True).alias("downloaded"))
+    return blobs.repair(attachments, files, stored)
+
+
+@query(f"""WITH {_STORED} SELECT doc_id AS attachment_id, CASE WHEN h IN (SELECT h FROM b) THEN CASE WHEN file THEN 'ok' ELSE 'relinked' END WHEN h IN (SELECT h FROM s) THEN 'restored' ELSE 'lost' END AS repaired,
+  CASE WHEN file OR h NOT IN (SELECT h FROM b UNION ALL SELECT h FROM s) THEN CAST(doc_id AS VARCHAR) ELSE 'blobs/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h END AS local_path FROM a""")
+def attachments_repaired(spark, sf_dir):
+    return _repaired(spark, sf_dir)[1].select("attachment_id", "repaired", "local_path")
+
+
+@query(f"WITH {_STORED} SELECT h AS sha256, any_value(strlen(text)) AS size FROM a WHERE h IN (SELECT h FROM s) AND h NOT IN (SELECT h FROM b) GROUP BY h")
+def blobs_restored(spark, sf_dir):
+    return _repaired(spark, sf_dir)[0].select("sha256", F.octet_length("payload").cast("long").alias("size"))

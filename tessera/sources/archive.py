@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import archive_name, safe_path
+from tessera.sources.markdown_sink import export
 from tessera.sources.scratch import written
 
 # The fields of the front matter, in order, and what stands for a body that is not there.
@@ -69,31 +70,11 @@ def documents(messages: DataFrame, body: str = "body_markdown") -> DataFrame:
 
 
 def write_markdown(messages: DataFrame, path: str, body: str = "body_markdown") -> DataFrame:
-    """Writes each message's file under path, on any store that Arrow's file systems know. A file is written beside its place
-    and then moved there, so a task that runs again leaves whole files only. Returns message_pk, path of what is there."""
-    root = path if "://" in path else None
-
-    def write(batches):
-        import uuid
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root) if root else (fs.LocalFileSystem(), path)
-        made: set[str] = set()
-        for batch in batches:
-            for to, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                folder = f"{base}/{to.rpartition('/')[0]}"
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                part = f"{base}/{to}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as f:
-                    f.write(text.encode())
-                store.move(part, f"{base}/{to}")
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["message_pk", "path"])
-
-    return written(documents(messages, body).mapInArrow(write, "message_pk long, path string"), "markdown")
+    """Each message's file under path, in place of the export that was there; where a task fails for good, the old one stays
+    whole. Returns message_pk, path of what is there."""
+    named = documents(messages, body)
+    export(named, path)
+    return written(named.select("message_pk", "path"), "markdown")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_markdown_round_trip(spark, tmp_path):
     rows = [(1, "a/b", 'Quote "x": y\\z', "7", "2024-03-01 10:00:00", "# body\n\n---\ntext", True, ['b".txt', "报.pdf"], "l@x", "Li"), (2, "c", "plain", "8", None, "", False, None, "h@x", ""), (3, "a/b", 'Quote "x": y\\z', "7", "2024-03-01 10:00:00", "other", False, None, None, None)]
     own = spark.createDataFrame(rows, schema).withColumn("date_utc", F.to_timestamp("d")).drop("d")
     made = {r["message_pk"]: r["path"] for r in archive.write_markdown(own, str(tmp_path / "md 1+2")).collect()}
-    assert sorted(str(p.relative_to(tmp_path / "md 1+2")) for p in (tmp_path / "md 1+2").rglob("*") if p.is_file()) == sorted(made.values())
+    assert sorted(str(p.relative_to(tmp_path / "md 1+2")) for p in (tmp_path / "md 1+2").rglob("*") if p.is_file() and not p.name.startswith("_")) == sorted(made.values())
     assert made[1].startswith("a/b/20240301_100000_Quote") and made[3] == made[1].replace(".md", "_1.md")
     out = {r["path"]: r for r in archive.read_markdown(spark, str(tmp_path / "md 1+2")).collect()}
     assert set(out) == set(made.values())
@@ -77,6 +77,37 @@ def test_markdown_round_trip(spark, tmp_path):
     assert yaml.safe_load(text.split("---")[1])["attachments"] == ['b".txt', "报.pdf"]
 
 
+def test_a_failed_export_leaves_the_old_one(spark, tmp_path):
+    """Tasks that fail, a driver lost between its two moves, and folders that are no export."""
+    import pytest
+    from tessera.sources.markdown_sink import MARK, export
+
+    to = tmp_path / "md"
+    held = lambda: {str(p.relative_to(to)): p.read_text() for p in to.rglob("*") if p.is_file() and p.name != MARK}
+    rows = lambda n, tag: spark.range(n).repartition(3).selectExpr("concat('f', id % 2, '/', id, '.md') path", f"concat('{tag}', id) document")
+    export(rows(20, "old"), str(to))
+    old = {f"f{i % 2}/{i}.md": f"old{i}" for i in range(20)}
+    assert held() == old
+    with pytest.raises(Exception, match="no place"):
+        export(rows(20, "new").selectExpr("if(path = 'f1/7.md', '../7.md', path) path", "document"), str(to))
+    assert held() == old and [p.name for p in tmp_path.iterdir()] == ["md"]
+    with pytest.raises(Exception, match="overwrite"):
+        rows(1, "x").write.format("markdown_export").mode("append").save(str(to))
+    export(rows(5, "new"), f"file://{to}")
+    assert held() == {f"f{i % 2}/{i}.md": f"new{i}" for i in range(5)}
+    to.rename(tmp_path / "md.old")
+    with pytest.raises(Exception, match="no place"):
+        export(rows(3, "x").selectExpr("'/a.md' path", "document"), str(to))
+    assert len(held()) == 5 and [p.name for p in tmp_path.iterdir()] == ["md"]
+    export(rows(0, "x"), str(to))
+    assert held() == {} and (to / MARK).exists()
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "letter.txt").write_text("keep")
+    with pytest.raises(Exception, match="no export"):
+        export(rows(3, "x"), str(tmp_path / "mine"))
+    assert [p.name for p in (tmp_path / "mine").iterdir()] == ["letter.txt"]
+
+
 def test_queries_snapshot_and_demo(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("# comment\nrelevant\thow to\nirrelevant\tmoon\n")
     assert [tuple(r) for r in archive.read_queries(spark, str(tmp_path / "q.tsv")).collect()] == [("relevant", "how to"), ("irrelevant", "moon")]

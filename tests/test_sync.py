@@ -144,3 +144,63 @@ def test_blobs(spark):
 def test_keys_must_match(spark):
     with pytest.raises(Exception):  # noqa: B017
         sync.new_uids(keys(spark, [("a", "f", 1, "1")]).drop("uid"), keys(spark, [])).count()
+
+
+def _handed(rows, gone):
+    """One message after another, by hand."""
+    up, left = {k: d for k, _, d in rows}, [r for r in rows if r[0] not in gone]
+
+    def top(d):
+        while d in gone and up.get(d) is not None:
+            d = up[d]
+        return d
+
+    to = {k: top(d) if d in gone and d in up else d for k, _, d in left}
+    folder, out = {k: f for k, f, _ in left}, {}
+    for k, f, _ in left:
+        d = to[k]
+        if d in gone and d in up:
+            heir = min(x for x in to if to[x] == d)
+            d = heir if heir != k and folder[heir] != f else None
+        out[k] = d
+    return out
+
+
+def test_copies_are_handed_on(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice("abc") if i % 17 else None, r.choice([None, *range(max(1, i - 6), i)]) if i > 1 else None) for i in range(1, 120)]
+    rows += [(200 + i, "x" if i % 2 else "y", 200 + i - 1 if i else None) for i in range(40)]  # a long chain
+    own = spark.createDataFrame(rows, "message_pk long, folder string, duplicate_of long")
+    for gone in (set(), {1}, {k for k, _, _ in rows if k % 3 == 0}, set(range(200, 239)), {5, 7, 999, None}, {k for k, _, _ in rows}):
+        lost = spark.createDataFrame([(g, g) for g in gone], "message_pk long, folder long")
+        out = sync.handed_on(own, lost)
+        assert out.columns == own.columns
+        assert {x["message_pk"]: x["duplicate_of"] for x in out.collect()} == _handed(rows, gone - {None})
+        bare = {x["message_pk"]: x["duplicate_of"] for x in sync.handed_on(own, lost, heirs=False).collect()}
+        assert bare == {k: None if d in gone else d for k, _, d in rows if k not in gone}
+    circle = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (3, "c", 1), (4, "d", 1)], own.schema)
+    import pytest
+
+    with pytest.raises(RuntimeError, match="circle"):
+        sync.handed_on(circle, circle.where("message_pk < 4"))
+
+
+def test_stored_contents_are_repaired(spark):
+    import hashlib
+
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    place = lambda d: f"blobs/{d[:2]}/{d[2:4]}/{d}"
+    a, b, c, d = (h(x) for x in (b"a", b"b", b"c", b"d"))
+    attachments = spark.createDataFrame([(1, a, "p1", True), (2, a, "gone", True), (3, b, "p3", True), (4, b, "p1", True), (5, c, "p5", True), (6, d, "p6", False), (7, "none", "p7", True), (8, None, None, None), (3, b, "p3", True)], "attachment_id long, sha256 string, local_path string, downloaded boolean")
+    files = spark.createDataFrame([("p1", b"a"), ("p3", b"b"), ("p5", b"changed"), ("p9", b"b"), ("p0", None), ("p3", b"b")], "path string, payload binary")
+    stored = spark.createDataFrame([(a, b"a"), (b, b"damaged"), (d, None), (a, b"a")], "sha256 string, payload binary")
+    contents, out = blobs.repair(attachments, files, stored)
+    assert [(x["sha256"], x["blob_path"], bytes(x["payload"])) for x in contents.collect()] == [(b, place(b), b"b")]
+    got = sorted((x["attachment_id"], x["repaired"], x["local_path"], x["downloaded"], x["skip_reason"]) for x in out.collect() if x["attachment_id"] < 8)
+    assert got == [(1, "ok", "p1", True, None), (2, "relinked", place(a), True, None), (3, "restored", "p3", True, None), (3, "restored", "p3", True, None), (4, "restored", place(b), True, None), (5, "lost", "p5", False, "lost"), (6, None, "p6", False, None), (7, None, "p7", True, None)]
+    whole = stored.where("sha256 = '" + a + "'").unionByName(contents.select("sha256", "payload"))
+    again = blobs.repair(out.drop("repaired"), files, whole)
+    assert again[0].count() == 0 and {x["repaired"] for x in again[1].collect()} == {"ok", "relinked", None}
+    assert blobs.repair(attachments.limit(0), files, stored)[1].count() == 0
