@@ -104,15 +104,20 @@ def backend(name: str = "auto", **options) -> Backend:
     raise LookupError("no backend")
 
 
-def embed(c: Column | str, own: Backend) -> Column:
-    """array<float> of unit length for each text."""
+def embedder(own: Backend):
+    """A backend as a UDF that gets batches."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(own.embed(s.tolist()))
+            yield pd.Series(own.embed(["" if x is None else x for x in s]))
+
+    return run
 
-    return run(c)
+
+def embed(c: Column | str, own: Backend) -> Column:
+    """array<float> of unit length for each text; a null is an empty text."""
+    return embedder(own)(c)
 
 
 def embedding_text(subject: Column | str, text: Column | str, placeholder: str = "(无主题)") -> Column:

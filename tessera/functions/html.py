@@ -253,7 +253,9 @@ def to_markdown(html: str | None, cids: dict[str, str] | None = None) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def _each(function, kind: str = "string"):
+def batched(function, kind: str = "string"):
+    """A function of one value as a UDF that gets batches."""
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -263,15 +265,15 @@ def _each(function, kind: str = "string"):
 
 
 def clean_html(c: Column | str) -> Column:
-    return _each(lambda x: written(cleaned(x)))(c)
+    return batched(lambda x: written(cleaned(x)))(c)
 
 
 def html_to_markdown(c: Column | str) -> Column:
-    return _each(to_markdown)(c)
+    return batched(to_markdown)(c)
 
 
 def html_to_text(c: Column | str) -> Column:
-    return _each(to_text)(c)
+    return batched(to_text)(c)
 
 
 def html_to_markdown_with(c: Column | str, cids: Column | str) -> Column:

@@ -1,13 +1,13 @@
-"""The functions that SQL can call: scalar UDFs, and a table function of chunks."""
+"""The functions that SQL can call: UDFs over batches, table functions and an aggregate."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from tessera.functions import html
+from tessera.functions import embedding, html
 from tessera.functions.chunking import packed, tokens_of, units_of
-from tessera.functions.embedding import backend
+from tessera.operators import table_functions
 
 
 class Chunks:
@@ -19,10 +19,11 @@ class Chunks:
 
 
 def register(spark: SparkSession, embedder: str = "hashing") -> None:
-    """chunks (a table function), html_to_markdown, html_to_text, clean_html and embed_text."""
-    own = backend(embedder)
+    """chunks (a table function), html_to_markdown, html_to_text, clean_html and embed_text (UDFs over batches), and what
+    operators.table_functions has: bm25 over tables, index_tokens, and the aggregate rrf."""
     spark.udtf.register("chunks", udtf(Chunks, returnType="chunk_index int, text string, token_count int"))
-    spark.udf.register("html_to_markdown", html.to_markdown, "string")
-    spark.udf.register("html_to_text", html.to_text, "string")
-    spark.udf.register("clean_html", lambda x: html.written(html.cleaned(x)), "string")
-    spark.udf.register("embed_text", lambda x: own.embed([x or ""])[0], "array<float>")
+    spark.udf.register("html_to_markdown", html.batched(html.to_markdown))
+    spark.udf.register("html_to_text", html.batched(html.to_text))
+    spark.udf.register("clean_html", html.batched(lambda x: html.written(html.cleaned(x))))
+    spark.udf.register("embed_text", embedding.embedder(embedding.backend(embedder)))
+    table_functions.register(spark)

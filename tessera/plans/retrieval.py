@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashing, embed
 from tessera.functions.text import snippet
-from tessera.operators import match, search, vectors
+from tessera.operators import match, search, table_functions, vectors
 from tessera.operators.cell_store import CellStore
 from tessera.operators.filters import Filters, all_terms, condition, pending_index
 from tessera.operators.match import Phrase
@@ -67,6 +67,25 @@ _register("bm25_phrase", [[Phrase(("licensed", "under", "the"), False)]])
 _register("bm25_phrase_prefix", [[Phrase(("gnu", "gen"), True), Phrase(("this", "work"), False)]])
 _register("bm25_column_scope", [[Phrase(("src3",), False)]], column="source")
 
+
+def _table_function(name, text, prefix, columns=("text", "source")):
+    """The same without an index, as a function of a table that SQL calls."""
+    plan = match.strict(text, prefix)
+
+    def run(spark, sf_dir):
+        table_functions.register(spark)
+        table(spark, sf_dir, "documents").createOrReplaceTempView("searched_documents")
+        return spark.sql(table_functions.bm25_statement("searched_documents", text, list(columns), prefix)).select("doc_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    query(f"WITH {tokens_sql('documents', 'doc_id', list(columns))},\n{bm25_sql([plan])}\nSELECT doc_id, round(score, 6) AS score FROM hits")(run)
+
+
+_table_function("bm25_table_and", "license version", False)
+_table_function("bm25_table_prefix", "licen wi", True)
+_table_function("bm25_table_one_column", "licensed gnu", True, columns=("text",))
+
+
 def _top(name, text, prefix, n=20):
     """The best rows only, of a term that very many have, of two such, of a beginning of words."""
     plan = match.strict(text, prefix)
@@ -336,6 +355,15 @@ _fused("rrf_weighted", {"keyword": 2.0, "vector": 0.5}, "CASE c WHEN 'keyword' T
 _fused("rrf_zero_weight", {"vector": 0.0}, "1.0 / (60 + rank)", "WHERE c = 'keyword'")
 
 
+@query(f"WITH {_KEYWORD_CTES}, {_VECTOR_CTES} SELECT message_pk, round(sum(CASE c WHEN 'keyword' THEN 2.0 ELSE 0.5 END / (60 + rank)), 6) AS fused FROM (SELECT 'keyword' AS c, * FROM keyword UNION ALL SELECT 'vector', * FROM vector) GROUP BY message_pk")
+def rrf_aggregate(spark, sf_dir):
+    """Fusion by the aggregate that SQL can call."""
+    table_functions.register(spark)
+    for name, rows in _channels(spark, sf_dir).items():
+        rows.createOrReplaceTempView(f"ranked_by_{name}")
+    return spark.sql("SELECT message_pk, round(rrf(rank, weight), 6) AS fused FROM (SELECT message_pk, rank, 2.0D AS weight FROM ranked_by_keyword UNION ALL SELECT message_pk, rank, 0.5D FROM ranked_by_vector) GROUP BY message_pk")
+
+
 def _text_chunks(spark, sf_dir):
     """One chunk a message, which has its body and its vector if there is one."""
     own = messages(spark, sf_dir).select("message_pk", "subject", "sender", F.col("body_text").alias("text"))
