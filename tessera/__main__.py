@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     for name, text in (("status", "counts and the last runs"), ("folders", "counts by folder"), ("doctor", "whether the archive is in order"), ("config", "the parameters in force")):
         add(name, text)
     add("verify-blobs", "check stored attachments").add_argument("--deep", action="store_true")
+    add("repair-blobs", "bring stored attachments back from files").add_argument("--found", help="a folder of files")
     add("backup", "copy the tables").add_argument("path")
     add("restore", "take the tables from a copy").add_argument("path")
     return top
@@ -69,6 +70,9 @@ def run(args: argparse.Namespace, own: Archive) -> list[dict]:
         return [own.health(), *rows(own.verify())]
     if args.command == "verify-blobs":
         return rows(own.verify(args.deep))
+    if args.command == "repair-blobs":
+        found = own.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.found).withColumnRenamed("content", "payload") if args.found else None
+        return rows(own.repair(found))
     if args.command == "config":
         return [asdict(own.config)]
     getattr(own, args.command)(args.path)

@@ -301,6 +301,28 @@ class Archive:
         there = stored.select(F.col("blob_path").alias("path"), (F.sha2("payload", 256) if deep else F.col("sha256")).alias("sha256"))
         return blobs.verification_summary(blobs.verification(self.table("attachments"), there, stored.select("sha256"), deep))
 
+    def repair(self, found: DataFrame | None = None) -> DataFrame:
+        """Stored contents that are damaged or gone come back from files that still have them (found: path, payload), whatever
+        their names are. A damaged content of which no copy is left goes, so that mail which brings it again stores it, and its
+        attachments are lost: not downloaded any more. Only parts that change are written. Returns repaired (ok, restored,
+        relinked, lost, or null where nothing was to check) and attachments."""
+        with self.writing():
+            contents_of, table = self.store("blobs"), self.store("attachments")
+            stored = contents_of.read(part=True)
+            there = stored.select(F.col("blob_path").alias("path"), "payload")
+            made, mended = blobs.repair(table.read(part=True), there if found is None else there.unionByName(found.select("path", "payload")), stored)
+            mended = written(mended, "mended-attachments")
+            made = written(made.withColumn("part", F.substring("sha256", 1, 2)), "mended-contents")
+            whole = F.coalesce(F.sha2("payload", 256) == F.col("sha256"), F.lit(False))
+            parts = [r[0] for r in made.select("part").union(stored.where(~whole).select("part")).distinct().collect()]
+            if parts:
+                kept = contents_of.read(parts, part=True).where(whole).join(made.select("sha256"), "sha256", "left_anti")
+                contents_of.write(kept.select(*contents_of.columns, "part").unionByName(made.select(*contents_of.columns, "part")), parts)
+            parts = [r[0] for r in mended.where(F.col("repaired").isin("restored", "relinked", "lost")).select("part").distinct().collect()]
+            if parts:
+                table.write(mended.where(F.col("part").isin(parts)).select(*table.columns, "part"), parts)
+            return mended.groupBy("repaired").agg(F.count("*").alias("attachments"))
+
     def export(self, path: str) -> DataFrame:
         """Every live message as a Markdown file under path. Returns message_pk and path."""
         return files.write_markdown(self.table("messages").where("deleted_at is null"), path)

@@ -199,3 +199,43 @@ def test_deleted_messages_leave_the_index(spark, tmp_path):
     own.sync(_raw(spark, mail[1:]), full=True)
     own.index()
     assert own.table("chunks").count() == 2 and own.indexes.chunks.counts()[0] == 2 and own.search("word1", mode="keyword").count() == 0
+
+
+def test_stored_contents_come_back_from_files(spark, tmp_path):
+    """One content is damaged and one gone; a folder still has a file of the first, under another name."""
+    from email.message import EmailMessage
+
+    def mail(subject, data):
+        m = EmailMessage()
+        m["Subject"], m["Message-ID"] = subject, f"<{subject}@x>"
+        m.set_content("see file")
+        m.add_attachment(data, maintype="application", subtype="pdf", filename="a.pdf")
+        return bytes(m)
+
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    own.sync(_raw(spark, [("me", "A", 1, "1", mail("one", b"same")), ("me", "B", 1, "1", mail("two", b"same")), ("me", "C", 1, "1", mail("three", b"other")), ("me", "D", 1, "1", mail("four", b"whole"))]))
+    assert {tuple(r) for r in own.repair().collect()} == {("ok", 4)}
+    before = {name: own.store(name).parts() for name in ("blobs", "attachments")}
+    assert {tuple(r) for r in own.repair().collect()} == {("ok", 4)} and {name: own.store(name).parts() for name in before} == before
+    stored = own.store("blobs").read(part=True)
+    own.store("blobs").write(stored.where(F.col("payload") != b"other").withColumn("payload", F.when(F.col("payload") == b"same", F.lit(b"bad")).otherwise(F.col("payload"))))
+    assert not own.verify(deep=True).first()["healthy"]
+    (tmp_path / "found" / "deep").mkdir(parents=True)
+    (tmp_path / "found" / "deep" / "saved.bin").write_bytes(b"same")
+    (tmp_path / "found" / "other.pdf").write_bytes(b"changed")
+    got = run(parser().parse_args(["repair-blobs", "--found", str(tmp_path / "found")]), own)
+    assert {r["repaired"]: r["attachments"] for r in got} == {"restored": 2, "lost": 1, "ok": 1}
+    assert sorted(bytes(r["payload"]) for r in own.table("blobs").collect()) == [b"same", b"whole"] and own.verify(deep=True).first()["healthy"]
+    lost = own.table("attachments").where("skip_reason = 'lost'").collect()
+    assert len(lost) == 1 and not lost[0]["downloaded"] and own.table("attachments").count() == 4
+    own.sync(_raw(spark, [("me", "C", 1, "2", mail("five", b"other"))]))
+    assert sorted(bytes(r["payload"]) for r in own.table("blobs").collect()) == [b"other", b"same", b"whole"] and own.verify(deep=True).first()["healthy"]
+
+
+def test_a_damaged_content_without_a_copy_goes(spark, tmp_path):
+    from tessera.archive import BLOBS
+
+    own = Archive(spark, str(tmp_path / "a"), embedder=hashing(64))
+    assert own.repair().count() == 0
+    own.store("blobs").write(spark.createDataFrame([("ab" * 32, "x", bytearray(b"bad"), "ab")], f"{BLOBS}, part string"))
+    assert own.repair().count() == 0 and own.table("blobs").count() == 0
