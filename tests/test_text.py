@@ -22,6 +22,8 @@ def test_segment(spark, given_, want):
 def test_sizes_and_durations(spark):
     sizes = [one(spark, text.human_size(F.lit(n))) for n in (0, 512, 2048, 5 * 1024**2, 3 * 1024**3)]
     assert sizes == ["0B", "512B", "2.0KB", "5.0MB", "3.0GB"]
+    halves = [one(spark, text.human_size(F.lit(n))) for n in (5 * 2**18, 7 * 2**18, 1280, 1792, 1075, 1076, 2**20 - 1, 5 * 2**28, None)]
+    assert halves == ["1.2MB", "1.8MB", "1.2KB", "1.8KB", "1.0KB", "1.1KB", "1024.0KB", "1.2GB", None]
     assert [one(spark, text.duration(F.lit(s))) for s in (5, 65, 3661)] == ["0:05", "1:05", "1:01:01"]
 
 
