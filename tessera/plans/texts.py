@@ -159,7 +159,7 @@ def hash_embed(spark, sf_dir):
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS length FROM embeddings")
 def vector_norms(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(embedding.norm("embedding"), 6).alias("length"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", embedding.rounded(embedding.norm("embedding"), 6).alias("length"))
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
