@@ -59,6 +59,19 @@ def test_redaction(spark):
     assert one(spark, text.clip(F.lit("x" * 200), 10)) == "x" * 9 + "…"
 
 
+@pytest.mark.parametrize(("given_", "want"), [("é" + "Ab1" * 9 + "报", "é" + text.HIDDEN + "报"), ("报token: x", "报token=" + text.HIDDEN), ("éBearer abcdefgh1", "éBearer " + text.HIDDEN), ("ſpa\u017f\u017fword=abc", "ſpa\u017f\u017fword=" + text.HIDDEN), ("token\x0b=abc", "token\x0b=abc"), ("token=a\x0bb", "token=" + text.HIDDEN), ("my_token=a", "my_token=a")])
+def test_redaction_beside_other_scripts(spark, given_, want):
+    assert one(spark, text.redact(F.lit(given_))) == want
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from math import copysign
+
+    got = one(spark, F.transform(F.array(*map(F.lit, (-4e-7, 4e-7, -0.0, 0.0, 2.5e-6, -2.5e-6, 1.0000005))), lambda x: embedding.rounded(x, 6)))
+    assert got == [0.0, 0.0, 0.0, 0.0, 3e-6, -3e-6, 1.000001 if 1.0000005 * 1e6 >= 1000000.5 else 1.0]
+    assert [copysign(1, x) for x in got[:4]] == [-1, 1, -1, 1]
+
+
 def test_addresses_and_headers(spark):
     assert [one(spark, text.mask_address(F.lit(a))) for a in ("abc@d.e", "ab@d.e", "nothing")] == ["ab***@d.e", "a***@d.e", "***"]
     assert one(spark, text.bare_address(F.lit("Li <Li@X.com>"))) == "li@x.com" and one(spark, text.display_name(F.lit('"Li" <Li@X.com>'))) == "Li"
