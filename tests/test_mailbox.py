@@ -165,3 +165,13 @@ def test_batches_with_a_limit_and_a_restart(spark, box, tmp_path_factory):
     assert batches[-1] == {("Sent", "77")} and len(batches) == 6
     with pytest.raises(Exception, match="checkpoint"):
         spark.readStream.format("mailbox").option("max_messages", 7).load(str(box)).writeStream.format("noop").option("checkpointLocation", str(tmp_path_factory.mktemp("other"))).start().processAllAvailable()
+
+
+def test_stream_alone(spark, tmp_path):
+    """The query's stream works in a session that has not read any mail before."""
+    from tessera.plans import archive_runs
+
+    rows = [(i, f"text {i}", "en", f"src{i % 2}") for i in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = archive_runs.mailbox_stream(spark.newSession(), str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((s, str(i + 1)) for i, _, _, s in rows)
