@@ -13,7 +13,7 @@ from tessera.operators import match, search, vectors
 from tessera.operators.filters import Filters, all_terms, condition
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.operators.match import Phrase
-from tessera.operators.postings import build_postings, index_hits, keyword_hits, write_index
+from tessera.operators.postings import build_postings, index_hits, keyword_hits, token_columns, write_index
 
 ROWS = [
     (1, "Invoice march", "please pay the invoice for march, invoice 2024"),
@@ -377,3 +377,19 @@ def test_pruned_searches_after_changes(spark, tmp_path):
     same_top(index, "common", False, 15)
     index.remove(spark.createDataFrame([(r[0],) for r in now], "id long"))
     assert index.pruned(match.strict("common"), 5)[0] == []
+
+
+def test_postings_of_like_rows_are_one(spark, tmp_path):
+    """Rows of like length share their postings of a term: a row a term and range, not one a token; what it says is the same."""
+    texts = ["Édition licensed under the licensed licence", "licensed 报销2024 under the İstanbul", "", None, "the the under_licensed xy ǅ ½", "a" * 50 + " licensed under the"]
+    docs = spark.createDataFrame([(i, texts[i % 6], "src") for i in range(600)], "id long, text string, source string")
+    index = KeywordIndex(spark, str(tmp_path / "i"), "id", ["text", "source"])
+    index.add(docs)
+    whole = token_columns(docs, "id", ["text", "source"])
+    assert index.counts() == (600, whole.agg(F.sum("len")).first()[0])
+    want = whole.select("doc_id", "len", F.explode("cols").alias("c")).select("doc_id", F.col("c.col").alias("col"), "len", F.posexplode("c.tokens").alias("pos", "term")).collect()
+    rows = spark.read.parquet(str(tmp_path / "i/postings")).withColumn("segment", F.lit(1))
+    assert sorted(map(tuple, index._occurrences(rows).select("doc_id", "col", "len", "pos", "term").collect())) == sorted(map(tuple, want))
+    assert rows.count() < len(want) / 20
+    plan = [[Phrase(("licensed", "under", "the"), False)], [Phrase(("licen",), True)]]
+    assert sorted(map(repr, index.hits(plan).collect())) == sorted(map(repr, keyword_hits(docs, "id", ["text", "source"], plan).collect()))
