@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, linededup, nearcopies, packing, quality
+from tessera.llm import decontaminate, linededup, nearcopies, packing, quality, simhash
 from tessera.llm.common import prepare, row_key, table, written
+from tessera.llm.components import connected_components
 from tessera.sources.scratch import MADE, discard
 
 #: Columns by which a stage finds its own rows again.
@@ -37,13 +38,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _either(by_set: DataFrame, by_hash: DataFrame) -> DataFrame:
+    """by_set (KEY, doc_id, component) with components that share a group of by_hash (KEY, group) joined into one."""
+    ends = by_set.select(*KEY, "component").distinct().join(by_hash.select(*KEY, "group").distinct(), list(KEY)).select("group", "component").distinct()
+    spans = ends.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    edges = ends.join(spans, "group").where("component != least").select(F.col("component").alias("u"), F.col("least").alias("v"))
+    joined = connected_components(edges).withColumnRenamed("component", "whole")
+    return by_set.join(joined, by_set.component == joined.node, "left").select(*KEY, "doc_id", F.coalesce("whole", "component").alias("component"))
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more, linked in any number of steps)
-    one row stays, of the least doc_id. Rows are told apart by doc_id and text; a row without doc_id stays."""
+    """Of each group of near copies one row stays, of the least doc_id. Copies are linked by SimHash, fingerprints at 3 bits
+    or fewer as op4 has them; a check by exact sets follows, which links edited texts too (five-word shingles, Jaccard
+    similarity of 0.8 or more). Links of either kind count, in any number of steps. Rows are told apart by doc_id and text; a
+    row without doc_id stays."""
     prepare(spark)
     keyed = _keyed(docs)
     own = F.struct("doc_id", *KEY)
-    rows = written(nearcopies.near_copies(keyed.withColumn("doc_id", F.col("doc_id").cast("long")), [*KEY, "doc_id"]), "near-copies").where("doc_id is not null")
+    key = [*KEY, "doc_id"]
+    numbered = keyed.withColumn("doc_id", F.col("doc_id").cast("long"))
+    by_hash = written(simhash.grouped(numbered, key), "near-hashes")
+    by_set = written(nearcopies.near_copies(numbered, key), "near-copies")
+    rows = _either(by_set, by_hash).where("doc_id is not null")
     least = rows.groupBy("component").agg(F.min(own).alias("least"))
     stays = own == F.col("least")
     marks = written(rows.join(least, "component").groupBy(*KEY).agg(F.first(stays).alias("__stays"), F.count("*").alias("n")).where("not __stays or n > 1").drop("n"), "near-marks")

@@ -49,10 +49,24 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp long (the fingerprint's 64 bits). One row a row of docs; null text: no words."""
+    return _marked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
+
+
+def _marked(docs: DataFrame, key: list[str]) -> DataFrame:
+    """The key (long columns), fp of rows with a text."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    made = by_batch(lambda b: (b.column(0), fingerprints(texts_of(b.column(1))).view(np.int64)), schema)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, "doc_id long, fp long")
+    schema = pa.schema([(k, pa.int64()) for k in [*key, "fp"]])
+    made = by_batch(lambda b: (*b.columns[: len(key)], fingerprints(texts_of(b.column(len(key)))).view(np.int64)), schema)
+    return docs.select(*key, "text").mapInArrow(made, ", ".join(f"{k} long" for k in [*key, "fp"]))
+
+
+def grouped(docs: DataFrame, key: list[str]) -> DataFrame:
+    """The key (long columns, null allowed), group: rows with one group are linked through fingerprints, as in
+    near_duplicates(). One row a row of docs."""
+    fps = written(_marked(docs, key), "fingerprints")
+    nodes = written(fps.select("fp").distinct(), "nodes")
+    found = connected_components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    return fps.join(found, fps.fp == found.node, "left").select(*key, F.coalesce("component", "fp").alias("group"))
 
 
 def _segments(fp: Column) -> list[Column]:

@@ -57,6 +57,18 @@ def test_stage_removes_edited_copies(spark):
     assert len(kept) < len(by_simhash)
 
 
+def test_stage_links_by_simhash(spark):
+    """Texts of one fingerprint are copies, though their sets of shingles are far apart: most of either is one line, repeated."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    line = " ".join(word() for _ in range(11))
+    tail = lambda: " ".join(word() for _ in range(100))
+    rows = [(4, " ".join([line] * 200 + [tail()])), (2, " ".join([line] * 200 + [tail()])), (9, tail()), (None, " ".join([line] * 200 + [tail()]))]
+    assert not alike(brute_set(rows[0][1]), brute_set(rows[1][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(docs_of(corpus_pipeline.near_stage(spark, docs, ""), "doc_id", "text"), key=repr) == sorted(rows[1:], key=repr)
+
+
 def test_repeated_doc_ids(spark):
     """A unique text stays though its doc_id has a near copy too; of repeated rows one stays; without doc_id all stay."""
     (_, base), (_, other), (_, third) = [edited_rows()[i] for i in (0, 19, 38)]
