@@ -199,3 +199,28 @@ def test_yaml_configuration(tmp_path):
     (tmp_path / "d.yaml").write_text("- 1")
     with pytest.raises(ValueError, match="mapping"):
         config.from_yaml(str(tmp_path / "d.yaml"))
+
+
+def test_tables_are_read_in_small_batches(spark, tmp_path):
+    """What a worker of a UDF holds at once does not follow the number or the length of texts."""
+    from tessera.sources import tables
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.range(5000).selectExpr("id", "repeat('x', 5000) AS text").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+
+        def count(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"id": [b.num_rows]})
+
+        sizes = tables.read(spark, str(tmp_path), "t").mapInArrow(count, "id long")
+        assert max(r[0] for r in sizes.collect()) <= tables.BATCH_ROWS
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        tables.small_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "64"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
