@@ -393,3 +393,16 @@ def test_postings_of_like_rows_are_one(spark, tmp_path):
     assert rows.count() < len(want) / 20
     plan = [[Phrase(("licensed", "under", "the"), False)], [Phrase(("licen",), True)]]
     assert sorted(map(repr, index.hits(plan).collect())) == sorted(map(repr, keyword_hits(docs, "id", ["text", "source"], plan).collect()))
+
+
+def test_rare_terms_cost_rows_by_size(spark, tmp_path):
+    """An index of words that one row has each keeps few rows of postings, and finds each word, its beginnings and phrases."""
+    docs = spark.range(2000).select("id", F.concat_ws(" ", F.lit("every"), *[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(5)], F.lit("゛Ωµ")).alias("text"), (F.col("id") * -(1 << 52)).alias("key"))
+    index = KeywordIndex(spark, str(tmp_path / "i"), "key", ["text"])
+    index.add(docs)
+    assert spark.read.parquet(str(tmp_path / "i/postings")).count() < 2000
+    word, other = docs.where("id = 77").select(F.split("text", " ")[3], F.split("text", " ")[4]).first()
+    plan = [[Phrase((word,), False)], [Phrase((word, other), False)], [Phrase((other, word), False)], [Phrase((word[:9],), True)], [Phrase(("every",), False)]]
+    found = sorted(map(repr, index.hits(plan).collect()))
+    assert found == sorted(map(repr, keyword_hits(docs, "key", ["text"], plan).collect())) and len(found) == 3 + 2000
+    same_top(index, f"every {word}", False, 3)
