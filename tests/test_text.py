@@ -189,3 +189,26 @@ def test_embeddings(spark):
     assert one(spark, embedding.l2_normalize(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8]
     assert one(spark, embedding.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0)))) == 3.0
     assert one(spark, embedding.embedding_text(F.lit("s"), F.lit("t"))) == "s\nt" and one(spark, embedding.embedding_text(F.lit("(无主题)"), F.lit("t"))) == "t"
+
+
+@pytest.mark.parametrize("value", ["", " a　", "\x1c a \x1c\n", "a  ", "x \n\n\n\n y\r\n| |\n--- \n*b* \\* [c](d) ![e](f)", "| a |  |\t|\n[]( )\xa0", "# h\n> q\n\ta  b_c_`d`", None])
+def test_guarded_expressions_give_what_the_plain_ones_give(spark, value):
+    c = F.lit(value).cast("string")
+    assert one(spark, text.stripped(c)) == one(spark, F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    for name, rule in cleaning.MARKS.items():
+        assert one(spark, text.replaced(c, *rule, *cleaning.SIGNS[name])) == one(spark, F.regexp_replace(c, *rule))
+    assert chunking.units_of(value) == one(spark, chunking.units(c))
+
+
+def test_what_has_a_vector_is_not_embedded(spark):
+    from tessera.operators import incremental
+
+    def embed(texts):
+        assert not any("known" in t for t in texts)
+        return [[float(len(t))] for t in texts]
+
+    fresh = spark.createDataFrame([(1, "s", "known", "h1"), (2, "s", "other", "h2"), (3, "s", None, "h3")], "message_pk long, subject string, text string, embed_hash string")
+    old = spark.createDataFrame([(1, "h1", [7.0], "m"), (2, "h2", [8.0], "another model")], "message_pk long, embed_hash string, embedding array<float>, model string")
+    got = incremental.with_vectors(fresh, old, embedding.Backend("m", embed, 1))
+    assert {r["message_pk"]: (r["embedding"], r["reused"]) for r in got.collect()} == {1: ([7.0], True), 2: ([7.0], False), 3: ([0.0], False)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
