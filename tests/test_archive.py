@@ -239,3 +239,20 @@ def test_a_damaged_content_without_a_copy_goes(spark, tmp_path):
     assert own.repair().count() == 0
     own.store("blobs").write(spark.createDataFrame([("ab" * 32, "x", bytearray(b"bad"), "ab")], f"{BLOBS}, part string"))
     assert own.repair().count() == 0 and own.table("blobs").count() == 0
+
+
+def test_queries_of_mail_take_no_index_run(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import archive_runs
+
+    spark.createDataFrame([(i, ("en", "de")[i % 2], f"src{i % 4}", f"text of {i}") for i in range(45)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        for name in ("archive_messages", "archive_sync_log", "archive_folders", "archive_field_search", "archive_point_lookup", "markdown_export"):
+            found = archive_runs.CATALOG.queries[name](spark, str(tmp_path))
+            told = db.execute(archive_runs.CATALOG.sql[name])
+            columns = [c[0] for c in told.description]
+            assert sorted(map(str, found.select(columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, told.df().itertuples(index=False, name=None))), name
+    made = [a for place, a in archive_runs._MADE.items() if place[1] == str(tmp_path)]
+    assert len(made) == 1 and not made[0].store("chunks").parts() and made[0].indexes.messages.counts()[0] == 45
