@@ -119,6 +119,11 @@ def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).drop("c_u", "c_v")
 
 
+def _edges(joined: DataFrame) -> DataFrame:
+    """u, v: components as edges, so that what was joined before is not joined again."""
+    return joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def near_copies(docs: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """The key (long columns, null allowed), component: rows with one component are linked through texts whose sets of
     shingles (words lower-cased in A-Z) have a Jaccard similarity of ALIKE or more. One row a row of docs; equal sets are
@@ -140,9 +145,8 @@ def near_copies(docs: DataFrame, key: list[str], text_col: str = "text") -> Data
     stars = live.join(pivots, "bucket").where((F.col("node") != F.col("u")) & _could("size", "alone", "size_u", "alone_u")).groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("n"))
     stars = written(stars, "stars")
     best = stars.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
-    links = _alike(best, sets, "first-links")
-    links = links.union(_alike(_apart(stars.select("u", "v"), connected_components(links)), sets, "star-links"))
-    joined = connected_components(links)
+    first_joined = connected_components(_alike(best, sets, "first-links"))
+    joined = connected_components(_edges(first_joined).union(_alike(_apart(stars.select("u", "v"), first_joined), sets, "star-links")))
     every = live.groupBy("node", "size", "alone").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # BANDS at most
     placed = written(live.select("bucket", "node").join(every, "node").join(joined, "node", "left").select("bucket", "node", "size", "alone", "all", F.coalesce("component", "node").alias("c")), "placed")
     several = placed.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("bucket")
@@ -151,5 +155,5 @@ def near_copies(docs: DataFrame, key: list[str], text_col: str = "text") -> Data
     first = F.array_min(F.array_intersect("all_u", "all_v"))  # each pair in one of its buckets
     rest = end("u").join(end("v"), "bucket").where((F.col("c_u") < F.col("c_v")) & _could("size_u", "alone_u", "size_v", "alone_v") & (first == F.col("bucket"))).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     seen = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    found = connected_components(links.union(_alike(rest.join(seen, ["u", "v"], "left_anti"), sets, "other-links")))
+    found = connected_components(_edges(joined).union(_alike(rest.join(seen, ["u", "v"], "left_anti"), sets, "other-links")))
     return signed.select("node", *key).join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
