@@ -91,7 +91,8 @@ def links(nodes: DataFrame, shared: int = SHARED) -> DataFrame:
     a segment at least. Each fingerprint stands in a table twice, once a segment, and looks up the balls of radius one
     around its own segments. Of two segments that differ in one bit only the one with a zero there looks the other up.
     Where over `shared` fingerprints, and over a 200 000th of all, have one value of a segment, their other segment's halves
-    go into the key, and balls of radius one around these are looked up: of RADIUS bits at most one half has at most one."""
+    go into the key, and balls of radius one around these are looked up: of RADIUS bits at most one half has at most one.
+    Both sides are shuffled: Spark takes an explode's size for its input's, and would broadcast what is many times larger."""
     fp = F.col("fp")
     table = nodes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), s.alias("val")) for i, s in enumerate(_segments(fp))])).alias("k")).select(F.col("k.seg").alias("seg"), F.col("k.val").alias("val"), F.col("fp").alias("fp_t"), F.col("rep").alias("v"))
 
@@ -116,7 +117,7 @@ def links(nodes: DataFrame, shared: int = SHARED) -> DataFrame:
     p = keyed(probes, "fp_p", lambda h: _ball(h, SEGMENT // 2)).alias("p")
     t = keyed(table, "fp_t", F.array).alias("t")
     same_key = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("seg", "val", "half", "sub")]
-    return p.join(t, same_key[0] & same_key[1] & same_key[2] & same_key[3] & near).select("u", "v")
+    return p.join(t.hint("merge"), same_key[0] & same_key[1] & same_key[2] & same_key[3] & near).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -311,6 +311,16 @@ def test_links_of_a_large_family_are_bounded(spark):
     assert {tuple(sorted(x)) for x in found.collect()} == near
 
 
+def test_links_are_shuffled_however_small_their_table_is_taken_for(spark):
+    """Spark takes an explode for as large as its input, so it would broadcast the balls of a table of some megabytes."""
+    r = np.random.default_rng(11)
+    nodes = spark.createDataFrame([(int(x), int(x)) for x in r.integers(0, 1 << 63, 500)], "fp long, rep long")
+    found = simhash.links(nodes)
+    assert found.collect() == []
+    final = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[seg#\w+, val#\w+, half", final) and not re.search(r"BroadcastHashJoin \[seg#\w+, val#\w+, half", final)
+
+
 def test_links_over_a_row_without_an_id(spark, monkeypatch):
     """Two documents that only meet through such a row are one component, and the row is in it."""
     prints = {"a": 0, "b": 0b111, "c": 0b111111, "far": (1 << 40) - 1}
