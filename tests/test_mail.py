@@ -73,6 +73,15 @@ def test_messages(spark):
 STRUCTURE = b'1 (UID 7 BODYSTRUCTURE ((("text" "plain" ("charset" "utf-8") NIL NIL "base64" 120 3 NIL NIL NIL)("text" "html" NIL NIL NIL "7bit" 400 9) "alternative")("application" "pdf" ("name" "=?utf-8?B?5oql?=") NIL NIL "base64" 99999999 NIL ("attachment" ("filename" "x.pdf")))("message" "rfc822" NIL NIL NIL "7bit" 50 NIL ("text" "plain" NIL NIL NIL "7bit" 5 1)) "mixed"))'
 
 
+def test_dates_beyond_nanoseconds(spark):
+    """Mail of any year is read; 64 bits of nanoseconds would end in 2262."""
+    dates = ["Fri, 01 Jan 2400 10:00:00 +0800", "Sat, 01 Jan 1600 00:00:00 +0000", "whenever", "Fri, 31 Dec 9999 23:00:00 -0500"]
+    raw = spark.createDataFrame([(str(i), build(Date=d)) for i, d in enumerate(dates)], "uid string, content binary")
+    for rows in (mime.messages(raw), mime.envelopes(raw)):
+        out = rows.orderBy("uid").select(F.date_format("date_utc", "yyyy-MM-dd HH:mm:ss"), "subject").collect()
+        assert [tuple(r) for r in out] == [("2400-01-01 02:00:00", "报销 report"), ("1600-01-01 00:00:00", "报销 report"), (None, "报销 report"), (None, "报销 report")]
+
+
 def test_body_structures(spark):
     parts = mime.leaf_parts(STRUCTURE)
     assert [p["section"] for p in parts] == ["1.1", "1.2", "2", "3", "3.1"]
