@@ -171,6 +171,26 @@ def test_contents_are_stored_once_and_only_touched_parts_are_written(spark, tmp_
     assert len(made) == 4 and sum(1 for _ in (tmp_path / "md").rglob("*.md")) == 4
 
 
+def test_a_small_part_is_one_file(spark, tmp_path):
+    """However many shuffle partitions there are: files would be parts times tasks else, and each read lists them. A part over
+    the advised size is several."""
+    from tessera.sources.store import Table
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    rows = spark.range(0, 3000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"), F.when(F.col("id") < 40, F.col("id") % 10).otherwise(99).cast("string").alias("part"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        own = Table(spark, f"{tmp_path}/t", "id long, text string")
+        own.write(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = lambda part: len(list((tmp_path / "t" / "data" / "version=1" / f"part={part}").glob("*.parquet")))
+    assert [files(i) for i in range(10)] == [1] * 10 and files(99) > 1
+    assert own.read(part=True).count() == 3000 and own.read(["3"]).count() == 4
+
+
 def test_a_damaged_backup_is_refused(spark, tmp_path):
     import pytest
 
